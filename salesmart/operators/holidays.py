@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FIRST_YEAR = 1984
@@ -65,18 +65,15 @@ def holidays_co(years: DataFrame) -> DataFrame:
     One row per holiday; two holidays may share a date. Years before 1984 raise, since the
     Monday rule did not hold then.
     """
-
-    def on(month: int, day: int) -> Column:
-        return F.make_date("year", F.lit(month), F.lit(day))
-
-    dated = [(on(month, day), name) for month, day, name in FIXED]
-    dated += [(F.next_day(F.date_sub(on(m, d), 1), "MON"), name) for m, d, name in MOVED]
-    dated += [(F.date_add("easter", days), name) for days, name in AROUND_EASTER]
-    rows = F.array(*(F.struct(day.alias("holiday_date"), F.lit(n).alias("name")) for day, n in dated))
-    too_early = F.raise_error(F.lit(f"built-in holidays start in {FIRST_YEAR}")).cast("int")
-    checked = years.select(
-        F.when(F.col("year") < FIRST_YEAR, too_early).otherwise(F.col("year")).alias("year")
-    )
-    return with_easter(checked).select(F.explode(rows).alias("holiday")).select(
-        F.lit("CO").alias("country"), "holiday.holiday_date", "holiday.name"
+    rules = [(f"make_date(year, {month}, {day})", name) for month, day, name in FIXED]
+    rules += [
+        (f"next_day(date_sub(make_date(year, {month}, {day}), 1), 'MON')", name)
+        for month, day, name in MOVED
+    ]
+    rules += [(f"date_add(easter, {days})", name) for days, name in AROUND_EASTER]
+    rows = ", ".join(f'struct({day} AS holiday_date, "{name}" AS name)' for day, name in rules)
+    checked = years.selectExpr(
+        f"IF(year < {FIRST_YEAR}, raise_error('built-in holidays start in {FIRST_YEAR}'), year)"
+        " AS year"
     )
+    return with_easter(checked).selectExpr("'CO' AS country", f"inline(array({rows}))")

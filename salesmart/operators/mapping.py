@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def apply_mapping(frame: DataFrame, mappings: Iterable[tuple[str, str, str, str]]) -> DataFrame:
@@ -14,9 +13,9 @@ def apply_mapping(frame: DataFrame, mappings: Iterable[tuple[str, str, str, str]
     Each mapping is ``(source, source type, target, target type)``; the source is read as its
     stated type and then cast to the target type.
     """
-    return frame.select(
+    return frame.selectExpr(
         *(
-            F.col(source).cast(source_type).cast(target_type).alias(target)
+            f"CAST(CAST(`{source}` AS {source_type}) AS {target_type}) AS `{target}`"
             for source, source_type, target, target_type in mappings
         )
     )

@@ -22,11 +22,14 @@ DATE_KEYS = ["InvoiceDateKey", *DATE_PARTITIONS]
 
 @dataclass(frozen=True)
 class Star:
-    """The curated tables the reports read."""
+    """The curated tables the reports read; only the artist report needs tracks.
+
+    Any object with these attributes will do.
+    """
 
     fact_sales: DataFrame
     dim_date: DataFrame
-    dim_track: DataFrame
+    dim_track: DataFrame | None = None
 
 
 def _calendar(dim_date: DataFrame, *columns: str) -> DataFrame:

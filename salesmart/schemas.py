@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 DATE_PARTITIONS = ["partition_year", "partition_month", "partition_day"]
@@ -68,8 +67,8 @@ TABLES = {
 def conform(frame: DataFrame, table: str, *, keep_extra: bool = False) -> DataFrame:
     """Cast to the declared columns of ``table``; extra columns are dropped or kept at the end."""
     schema = TABLES[table].schema
-    columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
+    columns = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields]
     if keep_extra:
         declared = {name.lower() for name in schema.names}
-        columns += [F.col(f"`{name}`") for name in frame.columns if name.lower() not in declared]
-    return frame.select(*columns)
+        columns += [f"`{name}`" for name in frame.columns if name.lower() not in declared]
+    return frame.selectExpr(*columns)

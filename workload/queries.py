@@ -29,9 +29,9 @@ from salesmart.schemas import DATE_PARTITIONS, TABLES
 from workload.mart import sample_mart
 from workload.sample import (
     SNAPSHOT_DAY,
+    SampleStar,
     given,
     sample_fact,
-    sample_star,
     sample_tables,
     sample_tracks,
 )
@@ -129,8 +129,8 @@ def q_track_lookup_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_inner_calendar_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    star = sample_star(spark, sf_dir)
-    shorter = Star(star.fact_sales, dim_date(spark, "1996-02-10", "2000-06-20"), star.dim_track)
+    star = SampleStar(spark, sf_dir)
+    shorter = Star(star.fact_sales, dim_date(spark, "1996-02-10", "2000-06-20"))
     return calendar_totals(shorter, "Year", "Month")
 
 
@@ -138,16 +138,16 @@ def q_inner_calendar_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _report(name: str) -> Query:
-    return lambda spark, sf_dir: REPORTS[name](sample_star(spark, sf_dir))
+    return lambda spark, sf_dir: REPORTS[name](SampleStar(spark, sf_dir))
 
 
 def q_weekday_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_day_of_week(sample_star(spark, sf_dir), k=7)
+    return best_day_of_week(SampleStar(spark, sf_dir), k=7)
 
 
 def q_top_artist_null_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With no units sold all artists of a month tie, the unknown one among them."""
-    star = sample_star(spark, sf_dir)
+    star = SampleStar(spark, sf_dir)
     unsold = star.fact_sales.withColumn("Quantity", F.lit(0))
     return top_artist_by_month(Star(unsold, star.dim_date, star.dim_track))
 

@@ -6,13 +6,14 @@ left out so that lookups have unmatched rows.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from salesmart.operators.calendar import dim_date
 from salesmart.plans.dimensions import dim_track
 from salesmart.plans.facts import fact_sales
-from salesmart.plans.reports import Star
-from salesmart.operators.calendar import dim_date
 from salesmart.sources.tables import ReadTable
 
 # Calendar covering the given orders, and the day of the sample snapshots.
@@ -20,8 +21,22 @@ CALENDAR_START, CALENDAR_END = "1995-01-01", "2001-12-31"
 SNAPSHOT_DAY = "2001-12-31"
 
 
+# The columns used of the given tables, declared so that no read infers a schema.
+GIVEN = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ",
+}
+
+
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(GIVEN[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sample_tables(spark: SparkSession, sf_dir: str) -> ReadTable:
@@ -153,9 +168,21 @@ def sample_tracks(read: ReadTable) -> DataFrame:
     return dim_track(*(read(t) for t in ("track", "album", "artist", "genre", "media_type")))
 
 
-def sample_star(spark: SparkSession, sf_dir: str) -> Star:
-    """Fact, calendar and tracks computed straight from the given tables."""
-    read = sample_tables(spark, sf_dir)
-    return Star(
-        sample_fact(read), dim_date(spark, CALENDAR_START, CALENDAR_END), sample_tracks(read)
-    )
+class SampleStar:
+    """Fact, calendar and tracks computed straight from the given tables, each when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self._spark = spark
+        self._read = sample_tables(spark, sf_dir)
+
+    @cached_property
+    def fact_sales(self) -> DataFrame:
+        return sample_fact(self._read)
+
+    @cached_property
+    def dim_date(self) -> DataFrame:
+        return dim_date(self._spark, CALENDAR_START, CALENDAR_END)
+
+    @cached_property
+    def dim_track(self) -> DataFrame:
+        return sample_tracks(self._read)
