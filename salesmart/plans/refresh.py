@@ -56,9 +56,12 @@ def refresh_facts(
 
 
 def refresh_history(read: ReadTable, base: str, as_of: date | str | None = None) -> None:
-    """Write the snapshots of one day, replacing any earlier ones of that day."""
+    """Write the snapshots of one day, today by default, replacing any earlier ones of that day."""
+    customer = read("customer")
+    if as_of is None:
+        as_of = customer.sparkSession.sql("SELECT current_date()").first()[0]
     frames = {
-        "customer_history": customer_history(read("customer"), as_of),
+        "customer_history": customer_history(customer, as_of),
         "employee_reports_history": employee_reports(read("employee"), as_of),
     }
     for name, frame in frames.items():

@@ -1,0 +1,167 @@
+from datetime import date, datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from salesmart.plans.facts import fact_sales, invoices_between
+from salesmart.plans.history import customer_history, employee_reports, snapshot
+
+INVOICE = "invoice_id int, customer_id int, invoice_date timestamp"
+LINE = "invoice_id int, track_id int, unit_price decimal(10,2), quantity int"
+CUSTOMER = "customer_id int, support_rep_id int"
+
+
+def frames(spark, invoices, lines, customers):
+    return (
+        spark.createDataFrame(invoices, INVOICE),
+        spark.createDataFrame(lines, LINE),
+        spark.createDataFrame(customers, CUSTOMER),
+    )
+
+
+def test_lines_orphans_and_unknown_customers(spark):
+    sales = fact_sales(
+        *frames(
+            spark,
+            [
+                (1, 10, datetime(2024, 2, 29, 23, 59)),
+                (2, 99, datetime(2024, 3, 1)),
+                (3, 10, None),
+                (4, None, datetime(2024, 3, 1)),
+            ],
+            [
+                (1, 100, Decimal("0.99"), 2),
+                (1, 101, Decimal("1.99"), 1),
+                (2, 100, Decimal("0.99"), 1),
+                (3, 100, Decimal("0.99"), 1),
+                (4, 100, Decimal("0.99"), 3),
+                (5, 100, Decimal("0.99"), 1),
+            ],
+            [(10, 3)],
+        )
+    )
+    assert sales.dtypes == [
+        ("CustomerKey", "int"),
+        ("TrackKey", "int"),
+        ("InvoiceDateKey", "int"),
+        ("EmployeeKey", "int"),
+        ("Quantity", "int"),
+        ("UnitPrice", "decimal(10,2)"),
+        ("TotalAmount", "decimal(10,2)"),
+        ("partition_year", "int"),
+        ("partition_month", "int"),
+        ("partition_day", "int"),
+    ]
+    cents = Decimal("0.99")
+    assert sorted((tuple(r) for r in sales.collect()), key=str) == sorted(
+        [
+            (10, 100, 20240229, 3, 2, cents, Decimal("1.98"), 2024, 2, 29),
+            (10, 101, 20240229, 3, 1, Decimal("1.99"), Decimal("1.99"), 2024, 2, 29),
+            (99, 100, 20240301, None, 1, cents, cents, 2024, 3, 1),
+            (10, 100, None, 3, 1, cents, cents, None, None, None),
+            (None, 100, 20240301, None, 3, cents, Decimal("2.97"), 2024, 3, 1),
+        ],
+        key=str,
+    )
+
+
+def test_amount_beyond_the_type_raises_or_is_null(spark):
+    made = frames(
+        spark,
+        [(1, 1, datetime(2024, 1, 1))],
+        [(1, 1, Decimal("99999999.99"), 1), (1, 2, Decimal("99999999.99"), 2)],
+        [(1, 1)],
+    )
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        fact_sales(*made).collect()
+    rows = fact_sales(*made, strict=False).collect()
+    assert {r.TrackKey: r.TotalAmount for r in rows} == {1: Decimal("99999999.99"), 2: None}
+
+
+def test_a_hot_invoice_and_a_hot_customer_are_split(spark, conf, plan):
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
+        spark__sql__adaptive__skewJoin__skewedPartitionFactor="2",
+        spark__sql__adaptive__advisoryPartitionSizeInBytes="10KB",
+        spark__sql__adaptive__coalescePartitions__minPartitionSize="1KB",
+    )
+    n = 30_000
+    invoices = spark.range(n, numPartitions=8).select(
+        F.col("id").alias("invoice_id"),
+        F.when(F.col("id") % 3 == 0, 5).otherwise(F.col("id")).alias("customer_id"),
+        F.lit(datetime(2024, 1, 1)).alias("invoice_date"),
+    )
+    lines = spark.range(n, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("invoice_id"),
+        F.col("id").alias("track_id"),
+        F.lit(Decimal("1.00")).alias("unit_price"),
+        F.lit(1).alias("quantity"),
+    )
+    customers = spark.range(n).select(
+        F.col("id").alias("customer_id"), (F.col("id") + 1).alias("support_rep_id")
+    )
+    sales = fact_sales(invoices, lines, customers)
+    rows = {r.TrackKey: (r.CustomerKey, r.EmployeeKey) for r in sales.collect()}
+    assert plan(sales).split("Initial Plan")[0].count("skew=true") >= 2
+
+    def expected(line):
+        invoice = 1 if line % 3 == 0 else line
+        customer = 5 if invoice % 3 == 0 else invoice
+        return customer, customer + 1
+
+    assert rows == {i: expected(i) for i in range(n)}
+
+
+def test_day_bounds_are_inclusive_and_reach_the_scan(spark, tmp_path, plan):
+    path = str(tmp_path / "invoice")
+    spark.createDataFrame(
+        [
+            (1, 1, datetime(2024, 1, 1, 23, 59, 59)),
+            (2, 1, datetime(2024, 1, 2)),
+            (3, 1, datetime(2024, 1, 3, 23, 59, 59)),
+            (4, 1, datetime(2024, 1, 4)),
+            (5, 1, None),
+        ],
+        INVOICE,
+    ).write.option("compression", "none").parquet(path)
+    invoices = spark.read.parquet(path)
+    kept = invoices_between(invoices, "2024-01-02", date(2024, 1, 3))
+    assert sorted(r.invoice_id for r in kept.collect()) == [2, 3]
+    assert "GreaterThanOrEqual(invoice_date" in plan(kept)
+    assert invoices_between(invoices).count() == 5
+    assert sorted(r.invoice_id for r in invoices_between(invoices, until="2024-01-01").collect()) == [1]
+
+
+def test_snapshot_copies_everything(spark):
+    frame = spark.createDataFrame([(1, "x")], "a int, b string")
+    assert tuple(snapshot(frame, "2024-02-29").first()) == (1, "x", date(2024, 2, 29))
+    today = spark.sql("SELECT current_date()").first()[0]
+    assert snapshot(frame).first().snapshot_date >= today
+
+
+def test_customer_history_keeps_further_source_columns(spark):
+    columns = "first_name last_name company address city state country postal_code phone fax email"
+    ddl = ", ".join(f"{c} string" for c in columns.split())
+    frame = spark.createDataFrame(
+        [(1, *["x"] * 11, 3, "vip")], f"customer_id long, {ddl}, support_rep_id long, tier string"
+    )
+    copy = customer_history(frame, "2024-01-01")
+    assert copy.columns == [*frame.columns[:-1], "snapshot_date", "tier"]
+    assert dict(copy.dtypes)["customer_id"] == "int"
+
+
+def test_manager_names(spark):
+    employees = spark.createDataFrame(
+        [(1, "Ann", "A", "Boss", None), (2, "Bob", None, "Rep", 1), (3, "Cy", "C", "Rep", 2), (4, "Di", "D", "Rep", 9)],
+        "employee_id int, first_name string, last_name string, title string, reports_to int",
+    )
+    rows = employee_reports(employees, "2024-01-01").orderBy("EmployeeKey").collect()
+    assert [(r.EmployeeKey, r.ReportsToEmployeeKey, r.ReportsToName) for r in rows] == [
+        (1, None, ""),
+        (2, 1, "Ann A"),
+        (3, 2, "Bob"),
+        (4, 9, ""),
+    ]

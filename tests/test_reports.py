@@ -1,0 +1,116 @@
+from decimal import Decimal
+
+import pytest
+
+from salesmart.operators.calendar import dim_date
+from salesmart.plans.reports import (
+    REPORTS,
+    Star,
+    best_day_of_week,
+    best_sales_month,
+    top_artist_by_month,
+    tracks_sold_by_day,
+)
+from salesmart.schemas import TABLES
+
+# 2024-01-01 is a Monday.
+SALES = [
+    # (track, day key, quantity, amount)
+    (1, 20240101, 2, "2.00"),
+    (2, 20240101, 2, "2.00"),
+    (3, 20240102, 2, "9.00"),
+    (1, 20240108, 1, "1.00"),
+    (2, 20240109, 3, "3.00"),
+    (4, 20240201, 5, "5.00"),
+    (5, 20240202, 5, "5.50"),
+    (9, 20240202, 50, "1.00"),
+    (1, 20300101, 99, "1.00"),
+    (1, None, 99, "1.00"),
+]
+
+
+@pytest.fixture
+def star(spark):
+    facts = [
+        (1, track, day, None, quantity, Decimal("1.00"), Decimal(amount))
+        + ((day // 10000, day // 100 % 100, day % 100) if day else (None, None, None))
+        for track, day, quantity, amount in SALES
+    ]
+    tracks = [(1, "B"), (2, "A"), (3, None), (4, None), (5, "Z")]
+    return Star(
+        spark.createDataFrame(facts, TABLES["fact_sales"].schema),
+        dim_date(spark, "2024-01-01", "2024-12-31"),
+        spark.createDataFrame(
+            [(k, "t", None, artist, None, None, None, 1) for k, artist in tracks],
+            TABLES["dim_track"].schema,
+        ),
+    )
+
+
+def test_registry():
+    assert set(REPORTS) == {
+        "tracks_sold_by_day",
+        "top_artist_by_month",
+        "best_day_of_week",
+        "best_sales_month",
+    }
+
+
+def test_tracks_sold_by_day(star):
+    assert [tuple(r) for r in tracks_sold_by_day(star).collect()] == [
+        ("2024-01-01", 4),
+        ("2024-01-02", 2),
+        ("2024-01-08", 1),
+        ("2024-01-09", 3),
+        ("2024-02-01", 5),
+        ("2024-02-02", 55),
+    ]
+
+
+def test_top_artist_by_month(star):
+    """A leads January; in February Z ties with an unknown artist and a track is not in the table."""
+    assert [tuple(r) for r in top_artist_by_month(star).collect()] == [
+        (2024, 1, "A", 5),
+        (2024, 2, "Z", 5),
+    ]
+    assert [tuple(r) for r in top_artist_by_month(star, k=2).collect()] == [
+        (2024, 1, "A", 5),
+        (2024, 1, "B", 3),
+        (2024, 2, "Z", 5),
+        (2024, 2, None, 5),
+    ]
+
+
+def test_best_day_of_week(spark, star):
+    assert [tuple(r) for r in best_day_of_week(star).collect()] == [("Friday", 55, 2)]
+    january = Star(star.fact_sales, dim_date(spark, "2024-01-01", "2024-01-31"))
+    assert [tuple(r) for r in best_day_of_week(january, k=7).collect()] == [
+        ("Monday", 5, 3),
+        ("Tuesday", 5, 2),
+    ]
+
+
+def test_full_ties_are_ordered_by_key(spark, star):
+    two_days = star.fact_sales.filter("InvoiceDateKey IN (20240201, 20240102)").replace(
+        {5: 2}, subset=["Quantity"]
+    )
+    tied = Star(two_days, star.dim_date)
+    assert [r.DayOfWeek for r in best_day_of_week(tied, k=7).collect()] == ["Thursday", "Tuesday"]
+
+
+def test_best_sales_month(star):
+    assert [tuple(r) for r in best_sales_month(star, k=12).collect()] == [
+        (2024, 2, 60, Decimal("11.50")),
+        (2024, 1, 10, Decimal("17.00")),
+    ]
+    assert dict(best_sales_month(star).dtypes)["revenue"] == "decimal(20,2)"
+
+
+def test_facts_are_summed_before_joins(star, plan):
+    """Only partial sums are shuffled; the calendar join meets one row per day."""
+    lines = plan(tracks_sold_by_day(star)).splitlines()
+    join = next(i for i, line in enumerate(lines) if "Join" in line)
+    below = [line for line in lines[join:] if "HashAggregate" in line]
+    assert len(below) == 2 and "partial_sum" in below[1]
+    assert "WindowGroupLimit" in plan(top_artist_by_month(star))
+    assert "TakeOrderedAndProject" in plan(best_sales_month(star))
