@@ -9,7 +9,7 @@ from salesmart.schemas import TABLES
 
 def register_tables(spark: SparkSession, database: str, base: str) -> None:
     """Create the database and the six external tables over ``base`` where they do not exist."""
-    base = base.rstrip("/")
+    base = base.rstrip("/").replace("'", "\\'")
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{base}'")
     for name, table in TABLES.items():
         columns = ", ".join(c for c in (table.columns, table.partitions) if c)

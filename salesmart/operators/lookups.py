@@ -25,9 +25,8 @@ def lookup_chain(frame: DataFrame, lookups: Iterable[tuple[DataFrame, str]]) ->
 def bounded_broadcast(frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``frame`` if it is counted to hold at most ``max_rows``, else return it unhinted.
 
-    Meant for narrow frames, such as calendar columns: the count stops at the bound and reads no
-    column data. Beyond the bound the planner is free to choose a shuffled join.
+    Meant for narrow frames, such as the integer columns of a calendar. The count is a
+    distributed sum that reads no column of a Parquet table. Beyond the bound the planner is
+    free to choose a shuffled join.
     """
-    if frame.select(F.lit(1)).limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(frame)
-    return frame
+    return F.broadcast(frame) if frame.count() <= max_rows else frame

@@ -15,7 +15,7 @@ from salesmart.plans.dimensions import dim_customer, dim_track
 from salesmart.plans.facts import fact_sales, invoices_between
 from salesmart.plans.history import customer_history, employee_reports
 from salesmart.schemas import DATE_PARTITIONS, SNAPSHOT_PARTITIONS
-from salesmart.sinks.parquet import write_partitions, write_table
+from salesmart.sinks.parquet import gather_partitions, write_partitions, write_table
 from salesmart.sources.tables import ReadTable
 
 
@@ -44,15 +44,22 @@ def refresh_facts(
     since: date | str | None = None,
     until: date | str | None = None,
     *,
+    replace: bool = False,
     strict: bool = True,
 ) -> None:
     """Rewrite the fact partitions of the days from ``since`` to ``until``, or of all days.
 
-    A day that no longer has any sale is not rewritten and keeps its old rows.
+    Readers see the old partitions until the new ones are complete. A day that no longer has
+    any sale is not rewritten and keeps its old rows; ``replace`` reloads the whole table and
+    drops such days, but leaves readers without data while it runs.
     """
+    if replace and (since is not None or until is not None):
+        raise ValueError("replace reloads all days: give no bounds")
     invoices = invoices_between(read("invoice"), since, until)
     sales = fact_sales(invoices, read("invoice_line"), read("customer"), strict=strict)
-    write_partitions(sales, f"{base}/fact_sales", DATE_PARTITIONS, rebalance=True)
+    sales = gather_partitions(sales, DATE_PARTITIONS)
+    write = write_table if replace else write_partitions
+    write(sales, f"{base}/fact_sales", DATE_PARTITIONS)
 
 
 def refresh_history(read: ReadTable, base: str, as_of: date | str | None = None) -> None:

@@ -7,23 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 
 
+def gather_partitions(frame: DataFrame, partition_by: Sequence[str]) -> DataFrame:
+    """Bring the rows of each partition together, so that it gets few files.
+
+    The rebalance hint lets adaptive execution split a partition larger than
+    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` over several tasks and merge small
+    ones, so one hot day is never written by a single task.
+    """
+    return frame.hint("rebalance", *partition_by)
+
+
 def write_table(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     """Replace the whole table at ``path``."""
     writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "static")
     writer.partitionBy(*partition_by).parquet(path)
 
 
-def write_partitions(
-    frame: DataFrame, path: str, partition_by: Sequence[str], *, rebalance: bool = False
-) -> None:
-    """Replace only the partitions that occur in ``frame``; all others stay as they are.
-
-    ``rebalance`` first gathers each partition's rows, so a partition gets few files rather
-    than one from every task. Adaptive execution then splits a partition larger than
-    ``spark.sql.adaptive.advisoryPartitionSizeInBytes`` over several tasks and merges small
-    ones, so one hot day is never written by a single task.
-    """
-    if rebalance:
-        frame = frame.hint("rebalance", *partition_by)
+def write_partitions(frame: DataFrame, path: str, partition_by: Sequence[str]) -> None:
+    """Replace only the partitions that occur in ``frame``; all others stay as they are."""
     writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_by).parquet(path)

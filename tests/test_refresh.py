@@ -16,7 +16,7 @@ from salesmart.plans.refresh import (
 )
 from salesmart.plans.reports import REPORTS, Star
 from salesmart.schemas import DATE_PARTITIONS, TABLES
-from salesmart.sinks.parquet import write_partitions
+from salesmart.sinks.parquet import gather_partitions, write_partitions
 from salesmart.sources.tables import SOURCE_TABLES, curated_tables, parquet_tables
 
 SOURCES = {
@@ -89,7 +89,6 @@ def test_refresh_twice_changes_nothing(spark, read, base):
 
 def test_reload_of_one_day_leaves_the_others(spark, read, base):
     refresh_facts(read, base)
-    changed = dict(SOURCES)
 
     def corrected(name):
         frame = read(name)
@@ -99,10 +98,27 @@ def test_reload_of_one_day_leaves_the_others(spark, read, base):
     sales = curated_tables(spark, base)("fact_sales")
     by_day = {r.InvoiceDateKey: (r.lines, r.top) for r in sales.groupBy("InvoiceDateKey").agg(
         F.count("*").alias("lines"), F.max("Quantity").alias("top")).collect()}
-    assert sum(lines for lines, _ in by_day.values()) == len(changed["invoice_line"][1])
+    assert sum(lines for lines, _ in by_day.values()) == len(SOURCES["invoice_line"][1])
     assert {day for day, (_, top) in by_day.items() if top == 100} == {20240103}
 
 
+def test_replace_drops_days_without_sales(spark, read, base):
+    def later(name):
+        return read(name).filter("invoice_id <> 0 AND invoice_id % 5 <> 3") if name == "invoice" else read(name)
+
+    def days():
+        return curated_tables(spark, base)("fact_sales").select("InvoiceDateKey").distinct().count()
+
+    refresh_facts(read, base)
+    assert days() == 10
+    refresh_facts(later, base)
+    assert days() == 10
+    refresh_facts(later, base, replace=True)
+    assert days() == 8
+    with pytest.raises(ValueError):
+        refresh_facts(read, base, "2024-01-01", replace=True)
+
+
 def test_a_null_date_is_stored_and_read_back(spark, read, base):
     def undated(name):
         frame = read(name)
@@ -151,7 +167,7 @@ def test_a_hot_day_is_written_by_several_tasks(spark, conf, base):
         F.lit(1).alias("partition_month"),
         F.when(F.col("id") % 3 != 0, 1).otherwise(1 + F.col("id") % 31).alias("partition_day"),
     )
-    write_partitions(frame, base, DATE_PARTITIONS, rebalance=True)
+    write_partitions(gather_partitions(frame, DATE_PARTITIONS), base, DATE_PARTITIONS)
     written = spark.read.parquet(base)
     assert written.agg(F.count("*"), F.countDistinct("id")).first()[:] == (n, n)
     files = written.select("partition_day", F.input_file_name().alias("file")).distinct()

@@ -1,3 +1,6 @@
+import tempfile
+from types import SimpleNamespace
+
 import pytest
 
 from salesmart.sinks.scratch import scratch_path
@@ -19,15 +22,20 @@ def test_curated_tables_use_the_declared_schema(spark, tmp_path):
     assert curated_tables(spark, str(tmp_path))("dim_customer").columns[0] == "CustomerKey"
 
 
-def test_scratch_path_is_new_and_in_the_shared_folder(spark, conf):
-    conf(spark__checkpoint__dir="/shared/folder/")
-    one, other = scratch_path(spark, "x"), scratch_path(spark, "x")
+def session(shared, master="local[2]"):
+    """Stand-in for a session: the setting is fixed once a real one has started."""
+    return SimpleNamespace(
+        conf={"spark.checkpoint.dir": shared}, sparkContext=SimpleNamespace(master=master)
+    )
+
+
+def test_scratch_path_is_new_and_in_the_shared_folder():
+    shared = session("/shared/folder/", "yarn")
+    one, other = scratch_path(shared, "x"), scratch_path(shared, "x")
     assert one != other and one.startswith("/shared/folder/x-")
 
 
-def test_scratch_path_without_a_shared_folder(spark, conf, monkeypatch):
-    conf(spark__checkpoint__dir="")
-    assert scratch_path(spark, "x")
-    monkeypatch.setattr(type(spark.sparkContext), "master", property(lambda self: "yarn"))
+def test_scratch_path_without_a_shared_folder():
+    assert scratch_path(session(None), "x").startswith(tempfile.gettempdir())
     with pytest.raises(RuntimeError):
-        scratch_path(spark, "x")
+        scratch_path(session(None, "yarn"), "x")
