@@ -46,20 +46,18 @@ def jdbc_tables(
     are pushed into the query by Spark.
     """
 
+    def reader():
+        return spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **options)
+
     def read(name: str) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **options)
+        table = reader().option("dbtable", name)
         column = (split_on or {}).get(name)
         if column is not None:
-            ends = reader.option(
-                "query", f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}"
-            ).load()
-            low, high = ends.first()
-            reader = spark.read.format("jdbc").options(
-                url=url, fetchsize=str(fetch_size), **options
-            )
+            query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}"
+            low, high = reader().option("query", query).load().first()
             if low is not None:
-                reader = reader.options(**split_options(column, low, high, partitions))
-        return reader.option("dbtable", name).load()
+                table = table.options(**split_options(column, int(low), int(high), partitions))
+        return table.load()
 
     return read
 

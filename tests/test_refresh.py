@@ -227,3 +227,15 @@ def test_a_calendar_filter_prunes_fact_partitions(spark, database, conf, plan):
         january = spark.table(f"{database}.{name}").filter("Year = 2024 AND Month = 1")
         fact_scan = next(l for l in plan(january).splitlines() if "FileScan" in l and "Quantity" in l)
         assert "dynamicpruning" in fact_scan
+
+
+def test_views_do_not_broadcast_a_large_calendar(spark, database, conf, plan, monkeypatch):
+    discover_partitions(spark, database)
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    register_views(spark, database)
+    assert "BroadcastHashJoin" in plan(spark.table(f"{database}.v_best_sales_month"))
+    monkeypatch.setattr("salesmart.catalog.views.MAX_BROADCAST_ROWS", 59)
+    register_views(spark, database)
+    unhinted = spark.table(f"{database}.v_best_sales_month")
+    assert "BroadcastHashJoin" not in plan(unhinted)
+    assert unhinted.count() == 2

@@ -4,7 +4,7 @@ from types import SimpleNamespace
 import pytest
 
 from salesmart.sinks.scratch import scratch_path
-from salesmart.sources.tables import curated_tables, split_options
+from salesmart.sources.tables import curated_tables, jdbc_tables, split_options
 
 
 def test_split_options_cover_the_range():
@@ -17,6 +17,47 @@ def test_split_options_cover_the_range():
     assert split_options("id", 5, 6, 64)["numPartitions"] == "2"
 
 
+class RecordingReader:
+    """Stand-in for ``spark.read``: keeps the options of every load and answers bound queries."""
+
+    def __init__(self, loads, bounds, options=()):
+        self.loads, self.bounds, self.settings = loads, bounds, dict(options)
+
+    def format(self, source):
+        return RecordingReader(self.loads, self.bounds, self.settings | {"format": source})
+
+    def options(self, **more):
+        return RecordingReader(self.loads, self.bounds, self.settings | more)
+
+    def option(self, key, value):
+        return self.options(**{key: value})
+
+    def load(self):
+        self.loads.append(self.settings)
+        return SimpleNamespace(first=lambda: self.bounds)
+
+
+def test_jdbc_tables_are_read_in_ranges_of_the_split_column():
+    loads = []
+    spark = SimpleNamespace(read=RecordingReader(loads, (1, 1000)))
+    read = jdbc_tables(spark, "jdbc:x", split_on={"track": "track_id"}, partitions=4, user="u")
+    read("genre")
+    read("track")
+    common = {"format": "jdbc", "url": "jdbc:x", "fetchsize": "10000", "user": "u"}
+    assert loads == [
+        common | {"dbtable": "genre"},
+        common | {"query": "SELECT MIN(track_id) AS lo, MAX(track_id) AS hi FROM track"},
+        common | {"dbtable": "track"} | split_options("track_id", 1, 1000, 4),
+    ]
+
+
+def test_an_empty_jdbc_table_is_not_split():
+    loads = []
+    spark = SimpleNamespace(read=RecordingReader(loads, (None, None)))
+    jdbc_tables(spark, "jdbc:x", split_on={"track": "track_id"})("track")
+    assert "partitionColumn" not in loads[-1]
+
+
 def test_curated_tables_use_the_declared_schema(spark, tmp_path):
     spark.range(0).write.parquet(str(tmp_path / "dim_customer"))
     assert curated_tables(spark, str(tmp_path))("dim_customer").columns[0] == "CustomerKey"
