@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
+from salesmart.__main__ import main
 from salesmart.catalog.tables import discover_partitions, register_tables
 from salesmart.catalog.views import VIEWS, register_views
 from salesmart.plans.refresh import (
@@ -239,3 +240,19 @@ def test_views_do_not_broadcast_a_large_calendar(spark, database, conf, plan, mo
     unhinted = spark.table(f"{database}.v_best_sales_month")
     assert "BroadcastHashJoin" not in plan(unhinted)
     assert unhinted.count() == 2
+
+
+def test_jobs_build_the_mart_in_order(spark, read, base, tmp_path):
+    source = ["--target", base, "--source", str(tmp_path / "source")]
+    main(["calendar", "--target", base, "--start", "2024-01-01", "--end", "2024-02-29"])
+    main(["dimensions", *source])
+    main(["facts", *source])
+    main(["facts", *source, "--since", "2024-01-03", "--until", "2024-01-04"])
+    main(["history", *source, "--as-of", "2024-03-01"])
+    database = f"mart_{uuid.uuid4().hex}"
+    main(["tables", "--target", base, "--database", database])
+    assert spark.table(f"{database}.fact_sales").count() == 40
+    assert spark.table(f"{database}.v_best_sales_month").count() == 2
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+    with pytest.raises(SystemExit):
+        main(["calendar", "--target", base, "--start", "yesterday"])

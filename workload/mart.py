@@ -8,6 +8,8 @@ nor lose rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +31,22 @@ RELOADED_DAYS = ("2000-02-01", "2000-02-29")
 _marts: dict[tuple[str, str], SampleMart] = {}
 
 
+@contextmanager
+def more_write_tasks(spark: SparkSession) -> Iterator[None]:
+    """Let adaptive execution keep partitions below 1 MB while a small table is written.
+
+    A small load over thousands of days would otherwise be merged into one task that opens all
+    files in turn. A large load has larger partitions and is not affected.
+    """
+    key = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "16KB")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 class SampleMart:
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
@@ -47,8 +65,9 @@ class SampleMart:
             refresh_dimensions(self.source, self.base)
             refresh_dimensions(self.source, self.base)
         elif part == "facts":
-            refresh_facts(self.source, self.base)
-            refresh_facts(self.source, self.base, *RELOADED_DAYS)
+            with more_write_tasks(self.spark):
+                refresh_facts(self.source, self.base)
+                refresh_facts(self.source, self.base, *RELOADED_DAYS)
         elif part == "history":
             refresh_history(self.source, self.base, EARLIER_SNAPSHOT_DAY)
             refresh_history(self.source, self.base, SNAPSHOT_DAY)

@@ -45,117 +45,98 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> ReadTable:
     def table(name: str) -> DataFrame:
         return given(spark, sf_dir, name)
 
-    def null(name: str):
-        return F.lit(None).cast("string").alias(name)
-
     def customer() -> DataFrame:
-        nations = table("nation").select(
-            F.col("n_nationkey").alias("c_nationkey"), "n_name", "n_regionkey"
-        )
-        regions = table("region").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-        key = F.col("c_custkey")
-        name = F.split("c_name", "#")
+        places = table("nation").join(table("region"), F.expr("n_regionkey = r_regionkey"))
         return (
             table("customer")
-            .join(nations.join(regions, "n_regionkey"), "c_nationkey")
-            .select(
-                key.alias("customer_id"),
-                name[0].alias("first_name"),
-                name[1].alias("last_name"),
-                F.col("c_mktsegment").alias("company"),
-                null("address"),
-                F.concat(F.lit("City "), (key % 97).cast("string")).alias("city"),
-                F.col("r_name").alias("state"),
-                F.col("n_name").alias("country"),
-                null("postal_code"),
-                null("phone"),
-                null("fax"),
-                F.concat(F.lit("c"), key.cast("string"), F.lit("@example.com")).alias("email"),
-                F.col("c_nationkey").alias("support_rep_id"),
+            .join(places, F.expr("c_nationkey = n_nationkey"))
+            .selectExpr(
+                "c_custkey AS customer_id",
+                "split(c_name, '#')[0] AS first_name",
+                "split(c_name, '#')[1] AS last_name",
+                "c_mktsegment AS company",
+                "CAST(NULL AS STRING) AS address",
+                "concat('City ', c_custkey % 97) AS city",
+                "r_name AS state",
+                "n_name AS country",
+                "CAST(NULL AS STRING) AS postal_code",
+                "CAST(NULL AS STRING) AS phone",
+                "CAST(NULL AS STRING) AS fax",
+                "concat('c', c_custkey, '@example.com') AS email",
+                "c_nationkey AS support_rep_id",
             )
         )
 
     def track() -> DataFrame:
-        return table("part").select(
-            F.col("p_partkey").alias("track_id"),
-            F.col("p_name").alias("name"),
-            F.col("p_size").alias("album_id"),
-            F.col("p_type").alias("genre_id"),
-            F.col("p_brand").alias("media_type_id"),
-            null("composer"),
-            (F.col("p_size") * 1000).alias("milliseconds"),
+        return table("part").selectExpr(
+            "p_partkey AS track_id",
+            "p_name AS name",
+            "p_size AS album_id",
+            "p_type AS genre_id",
+            "p_brand AS media_type_id",
+            "CAST(NULL AS STRING) AS composer",
+            "p_size * 1000 AS milliseconds",
         )
 
     def album() -> DataFrame:
-        return (
-            table("part")
-            .select("p_size")
-            .distinct()
-            .select(
-                F.col("p_size").alias("album_id"),
-                F.concat(F.lit("Album "), F.col("p_size").cast("string")).alias("title"),
-                (F.col("p_size") % 25).alias("artist_id"),
-            )
+        sizes = table("part").select("p_size").distinct()
+        return sizes.selectExpr(
+            "p_size AS album_id", "concat('Album ', p_size) AS title", "p_size % 25 AS artist_id"
         )
 
     def artist() -> DataFrame:
         return (
             table("nation")
             .filter("n_nationkey <> 24")
-            .select(F.col("n_nationkey").alias("artist_id"), F.col("n_name").alias("name"))
+            .selectExpr("n_nationkey AS artist_id", "n_name AS name")
         )
 
     def genre() -> DataFrame:
-        types = table("part").select(F.col("p_type").alias("genre_id")).distinct()
-        return types.withColumn("name", F.col("genre_id"))
+        return table("part").select("p_type").distinct().selectExpr("p_type AS genre_id", "p_type AS name")
 
     def media_type() -> DataFrame:
-        brands = table("part").select(F.col("p_brand").alias("media_type_id")).distinct()
-        return brands.filter("media_type_id <> 'Brand#13'").withColumn(
-            "name", F.col("media_type_id")
-        )
+        brands = table("part").select("p_brand").distinct().filter("p_brand <> 'Brand#13'")
+        return brands.selectExpr("p_brand AS media_type_id", "p_brand AS name")
 
     def invoice() -> DataFrame:
-        return table("orders").select(
-            F.col("o_orderkey").alias("invoice_id"),
-            F.col("o_custkey").alias("customer_id"),
-            F.col("o_orderdate").alias("invoice_date"),
+        return table("orders").selectExpr(
+            "o_orderkey AS invoice_id", "o_custkey AS customer_id", "o_orderdate AS invoice_date"
         )
 
     def invoice_line() -> DataFrame:
-        return table("lineitem").select(
-            F.col("l_orderkey").alias("invoice_id"),
-            F.col("l_partkey").alias("track_id"),
-            F.col("l_extendedprice").cast("decimal(10,2)").alias("unit_price"),
-            F.col("l_quantity").cast("int").alias("quantity"),
+        return table("lineitem").selectExpr(
+            "l_orderkey AS invoice_id",
+            "l_partkey AS track_id",
+            "CAST(l_extendedprice AS DECIMAL(10,2)) AS unit_price",
+            "CAST(l_quantity AS INT) AS quantity",
         )
 
     def employee() -> DataFrame:
-        nations = table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-        key = F.col("s_suppkey")
-        name = F.split("s_name", "#")
         return (
             table("supplier")
-            .join(nations, "s_nationkey")
-            .select(
-                key.alias("employee_id"),
-                name[0].alias("first_name"),
-                name[1].alias("last_name"),
-                F.col("n_name").alias("title"),
-                F.when(key % 10 != 0, key - key % 10).alias("reports_to"),
+            .join(table("nation"), F.expr("s_nationkey = n_nationkey"))
+            .selectExpr(
+                "s_suppkey AS employee_id",
+                "split(s_name, '#')[0] AS first_name",
+                "split(s_name, '#')[1] AS last_name",
+                "n_name AS title",
+                "IF(s_suppkey % 10 <> 0, s_suppkey - s_suppkey % 10, NULL) AS reports_to",
             )
         )
 
     makers = {
-        "customer": customer,
-        "track": track,
-        "album": album,
-        "artist": artist,
-        "genre": genre,
-        "media_type": media_type,
-        "invoice": invoice,
-        "invoice_line": invoice_line,
-        "employee": employee,
+        maker.__name__: maker
+        for maker in (
+            customer,
+            track,
+            album,
+            artist,
+            genre,
+            media_type,
+            invoice,
+            invoice_line,
+            employee,
+        )
     }
     return lambda name: makers[name]()
 
