@@ -21,9 +21,9 @@ def register_tables(spark: SparkSession, database: str, base: str) -> None:
 
 
 def discover_partitions(spark: SparkSession, database: str) -> None:
-    """Make partitions written since the last call visible to queries."""
+    """Make partitions written or removed since the last call known to queries."""
     for name, table in TABLES.items():
         if table.partition_by:
-            spark.sql(f"MSCK REPAIR TABLE {database}.{name}")
+            spark.sql(f"MSCK REPAIR TABLE {database}.{name} SYNC PARTITIONS")
         else:
             spark.catalog.refreshTable(f"{database}.{name}")

@@ -71,9 +71,12 @@ def holidays_co(years: DataFrame) -> DataFrame:
         for month, day, name in MOVED
     ]
     rules += [(f"date_add(easter, {days})", name) for days, name in AROUND_EASTER]
-    rows = ", ".join(f'struct({day} AS holiday_date, "{name}" AS name)' for day, name in rules)
+    structs = []
+    for day, name in rules:
+        quoted = name.replace("'", "\\'")
+        structs.append(f"struct({day} AS holiday_date, '{quoted}' AS name)")
     checked = years.selectExpr(
         f"IF(year < {FIRST_YEAR}, raise_error('built-in holidays start in {FIRST_YEAR}'), year)"
         " AS year"
     )
-    return with_easter(checked).selectExpr("'CO' AS country", f"inline(array({rows}))")
+    return with_easter(checked).selectExpr("'CO' AS country", f"inline(array({', '.join(structs)}))")

@@ -200,6 +200,23 @@ def test_tables_show_partitions_after_discovery(spark, database, read, base):
     assert spark.table(f"{database}.customer_history").count() == 8
 
 
+def test_discovery_after_a_reload_and_a_replacement(spark, database, read, base):
+    discover_partitions(spark, database)
+    sales = f"{database}.fact_sales"
+    assert spark.table(sales).count() == 40
+    refresh_facts(read, base)
+    discover_partitions(spark, database)
+    assert spark.table(sales).agg(F.sum("Quantity")).first()[0] == 79
+
+    def fewer(name):
+        return read(name).filter("invoice_id % 5 <> 3") if name == "invoice" else read(name)
+
+    refresh_facts(fewer, base, replace=True)
+    discover_partitions(spark, database)
+    assert spark.table(sales).count() == 32
+    assert spark.sql(f"SHOW PARTITIONS {sales}").count() == 8
+
+
 def test_views_agree_with_reports(spark, database, base):
     discover_partitions(spark, database)
     register_views(spark, database)

@@ -29,25 +29,40 @@ def sorted_rows(columns: list[str], rows: list) -> list[tuple[str, ...]]:
     return [header, *sorted(tuple(str(row[i]) for i in order) for row in rows)]
 
 
+# DuckDB's name of each Spark type that occurs.
+TYPE_NAMES = {"int": "INTEGER", "bigint": "BIGINT", "string": "VARCHAR"}
+
+
 def spark_rows(frame: DataFrame) -> list[tuple[str, ...]]:
     return sorted_rows(frame.columns, [tuple(row) for row in frame.collect()])
 
 
+def spark_types(frame: DataFrame) -> dict[str, str]:
+    return {name: TYPE_NAMES.get(kind, kind.upper()) for name, kind in frame.dtypes}
+
+
 def oracle_rows(connection: duckdb.DuckDBPyConnection, sql: str) -> list[tuple[str, ...]]:
     connection.execute(sql)
     columns = [column[0] for column in connection.description]
     return sorted_rows(columns, connection.fetchall())
 
 
+def oracle_types(connection: duckdb.DuckDBPyConnection, sql: str) -> dict[str, str]:
+    connection.execute(f"DESCRIBE {sql}")
+    return {row[0]: row[1].replace(" ", "") for row in connection.fetchall()}
+
+
 def differences(spark: SparkSession, sf_dir: str, name: str) -> tuple[int, list]:
-    """Number of rows in Spark's result, and up to five rows found on one side only."""
-    actual = spark_rows(QUERIES[name](spark, sf_dir))
-    expected = oracle_rows(connect(sf_dir), ORACLES[name])
-    if actual == expected:
-        return len(actual) - 1, []
-    odd = [("spark", r) for r in actual if r not in set(expected)][:5]
-    odd += [("oracle", r) for r in expected if r not in set(actual)][:5]
-    return len(actual) - 1, odd or [("rows", len(actual), len(expected))]
+    """Number of rows in Spark's result, and types and up to five rows found on one side only."""
+    frame, connection, sql = QUERIES[name](spark, sf_dir), connect(sf_dir), ORACLES[name]
+    actual, expected = spark_rows(frame), oracle_rows(connection, sql)
+    found, wanted = spark_types(frame), oracle_types(connection, sql)
+    odd = [("types", found, wanted)] if found != wanted else []
+    if actual != expected:
+        odd += [("rows", len(actual) - 1, len(expected) - 1)]
+        odd += [("spark", r) for r in actual if r not in set(expected)][:5]
+        odd += [("oracle", r) for r in expected if r not in set(actual)][:5]
+    return len(actual) - 1, odd
 
 
 def main(sf_dir: str = "/root/testdata/sf0.01", *names: str) -> int:
