@@ -1,3 +1,4 @@
+import uuid
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from salesmart.plans.facts import fact_sales, invoices_between
 from salesmart.plans.history import customer_history, employee_reports, snapshot
+from salesmart.sources.tables import catalog_tables
 
 INVOICE = "invoice_id int, customer_id int, invoice_date timestamp"
 LINE = "invoice_id int, track_id int, unit_price decimal(10,2), quantity int"
@@ -115,6 +117,32 @@ def test_a_hot_invoice_and_a_hot_customer_are_split(spark, conf, plan):
     assert rows == {i: expected(i) for i in range(n)}
 
 
+def test_bucketed_lines_are_not_shuffled(spark, conf, plan, tmp_path):
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__bucketing__coalesceBucketsInJoin__enabled="false",
+    )
+    invoice, line, customer = frames(
+        spark,
+        [(i, i % 3, datetime(2024, 1, 1)) for i in range(50)],
+        [(i % 50, i, Decimal("1.00"), 1) for i in range(200)],
+        [(i, i) for i in range(3)],
+    )
+    database = f"source_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{tmp_path}'")
+    for name, frame in {"invoice": invoice, "invoice_line": line}.items():
+        frame.write.bucketBy(4, "invoice_id").saveAsTable(f"{database}.{name}")
+    customer.write.saveAsTable(f"{database}.customer")
+    read = catalog_tables(spark, database)
+    sales = fact_sales(read("invoice"), read("invoice_line"), read("customer"))
+    lines = plan(sales).splitlines()
+    scan = next(i for i, text in enumerate(lines) if "FileScan" in text and "track_id" in text)
+    above = lines[lines.index(next(t for t in lines if "SortMergeJoin [invoice_id" in t)) : scan]
+    assert not any("Exchange" in text for text in above)
+    assert sales.count() == 200
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
 def test_day_bounds_are_inclusive_and_reach_the_scan(spark, tmp_path, plan):
     path = str(tmp_path / "invoice")
     spark.createDataFrame(

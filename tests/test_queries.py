@@ -1,6 +1,7 @@
 """Every registered query against DuckDB on the same tables."""
 
 import os
+import re
 
 import pytest
 
@@ -20,6 +21,16 @@ def test_entry(spark):
     assert frame.count() == 80
 
 
+def test_scans_read_only_needed_columns(spark, conf, plan):
+    conf(spark__sql__maxMetadataStringLength="10000")
+    text = plan(contract.queries()["report_tracks_sold_by_day"](spark, SF_DIR))
+    schemas = set(re.findall(r"ReadSchema: struct<([^>]*)>", text))
+    assert "l_orderkey:bigint,l_quantity:double" in schemas
+    assert "o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz" in schemas
+    assert "PushedFilters: [IsNotNull(l_orderkey)]" in text
+    assert "holiday" not in text
+
+
 @pytest.mark.parametrize("name", sorted(contract.queries()))
 def test_query_equals_sql(spark, name):
     rows, odd = differences(spark, SF_DIR, name)
