@@ -10,18 +10,18 @@ from salesmart.schemas import TABLES
 
 ReadTable = Callable[[str], DataFrame]
 
-# Names of the transactional tables.
-SOURCE_TABLES = [
-    "customer",
-    "track",
-    "album",
-    "artist",
-    "genre",
-    "media_type",
-    "invoice",
-    "invoice_line",
-    "employee",
-]
+# The transactional tables and the numeric column each is read in ranges of.
+SOURCE_KEYS = {
+    "customer": "customer_id",
+    "track": "track_id",
+    "album": "album_id",
+    "artist": "artist_id",
+    "genre": "genre_id",
+    "media_type": "media_type_id",
+    "invoice": "invoice_id",
+    "invoice_line": "invoice_id",
+    "employee": "employee_id",
+}
 
 
 def parquet_tables(spark: SparkSession, base: str) -> ReadTable:
@@ -49,18 +49,19 @@ def jdbc_tables(
 ) -> ReadTable:
     """Source tables in a relational database.
 
-    ``split_on`` names an indexed numeric column per table, best its unique key; such a table
-    is read as ``partitions`` ranges between the column's least and greatest value, which are
-    asked of the database first. Other tables are read by one task. Filters and column lists
-    are pushed into the query by Spark.
+    A table is read as ``partitions`` ranges of its key, between the least and the greatest
+    value, which are asked of the database first. ``split_on`` names other columns: invoice
+    lines are best split on a unique key of their own if they have one, since all lines of one
+    invoice fall into one range. Filters and column lists are pushed into the query by Spark.
     """
+    columns = SOURCE_KEYS | dict(split_on or {})
 
     def reader():
         return spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **options)
 
     def read(name: str) -> DataFrame:
         table = reader().option("dbtable", name)
-        column = (split_on or {}).get(name)
+        column = columns.get(name)
         if column is not None:
             query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}"
             low, high = reader().option("query", query).load().first()

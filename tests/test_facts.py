@@ -183,7 +183,12 @@ def test_customer_history_keeps_further_source_columns(spark):
 
 def test_manager_names(spark):
     employees = spark.createDataFrame(
-        [(1, "Ann", "A", "Boss", None), (2, "Bob", None, "Rep", 1), (3, "Cy", "C", "Rep", 2), (4, "Di", "D", "Rep", 9)],
+        [
+            (1, "Ann", "A", "Boss", None),
+            (2, "Bob", None, "Rep", 1),
+            (3, "Cy", "C", "Rep", 2),
+            (4, "Di", "D", "Rep", 9),
+        ],
         "employee_id int, first_name string, last_name string, title string, reports_to int",
     )
     rows = employee_reports(employees, "2024-01-01").orderBy("EmployeeKey").collect()

@@ -30,7 +30,12 @@ def test_dim_customer_keeps_eight_columns(spark):
 def test_dim_track_keeps_tracks_without_matches(spark):
     tracks = dim_track(
         spark.createDataFrame(
-            [(1, "a", 10, 1, 1, "c", 5), (2, "b", None, None, None, None, None), (3, "d", 99, 9, 9, None, 6), (4, "e", 11, 1, 1, None, 7)],
+            [
+                (1, "a", 10, 1, 1, "c", 5),
+                (2, "b", None, None, None, None, None),
+                (3, "d", 99, 9, 9, None, 6),
+                (4, "e", 11, 1, 1, None, 7),
+            ],
             "track_id int, name string, album_id int, genre_id int, media_type_id int, "
             "composer string, milliseconds int",
         ),

@@ -40,21 +40,24 @@ class RecordingReader:
 def test_jdbc_tables_are_read_in_ranges_of_the_split_column():
     loads = []
     spark = SimpleNamespace(read=RecordingReader(loads, (1, 1000)))
-    read = jdbc_tables(spark, "jdbc:x", split_on={"track": "track_id"}, partitions=4, user="u")
-    read("genre")
+    read = jdbc_tables(spark, "jdbc:x", split_on={"invoice_line": "line_id"}, partitions=4, user="u")
     read("track")
+    read("invoice_line")
+    read("unknown")
     common = {"format": "jdbc", "url": "jdbc:x", "fetchsize": "10000", "user": "u"}
     assert loads == [
-        common | {"dbtable": "genre"},
         common | {"query": "SELECT MIN(track_id) AS lo, MAX(track_id) AS hi FROM track"},
         common | {"dbtable": "track"} | split_options("track_id", 1, 1000, 4),
+        common | {"query": "SELECT MIN(line_id) AS lo, MAX(line_id) AS hi FROM invoice_line"},
+        common | {"dbtable": "invoice_line"} | split_options("line_id", 1, 1000, 4),
+        common | {"dbtable": "unknown"},
     ]
 
 
 def test_an_empty_jdbc_table_is_not_split():
     loads = []
     spark = SimpleNamespace(read=RecordingReader(loads, (None, None)))
-    jdbc_tables(spark, "jdbc:x", split_on={"track": "track_id"})("track")
+    jdbc_tables(spark, "jdbc:x")("track")
     assert "partitionColumn" not in loads[-1]
 
 
