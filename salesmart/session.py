@@ -13,6 +13,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64MB")
         .config("spark.sql.sources.parallelPartitionDiscovery.parallelism", "8")
     )
     for key, value in conf.items():

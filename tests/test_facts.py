@@ -81,8 +81,10 @@ def test_amount_beyond_the_type_raises_or_is_null(spark):
     assert {r.TrackKey: r.TotalAmount for r in rows} == {1: Decimal("99999999.99"), 2: None}
 
 
-def test_a_hot_invoice_and_a_hot_customer_are_split(spark, conf, plan):
+@pytest.mark.parametrize("hash_join_limit", ["0", "64MB"])
+def test_a_hot_invoice_and_a_hot_customer_are_split(spark, conf, plan, hash_join_limit):
     conf(
+        spark__sql__adaptive__maxShuffledHashJoinLocalMapThreshold=hash_join_limit,
         spark__sql__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
         spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes="10KB",
@@ -107,7 +109,9 @@ def test_a_hot_invoice_and_a_hot_customer_are_split(spark, conf, plan):
     )
     sales = fact_sales(invoices, lines, customers)
     rows = {r.TrackKey: (r.CustomerKey, r.EmployeeKey) for r in sales.collect()}
-    assert plan(sales).split("Initial Plan")[0].count("skew=true") >= 2
+    final = plan(sales).split("Initial Plan")[0]
+    assert final.count("skew=true") >= 2
+    assert ("ShuffledHashJoin" in final) == (hash_join_limit != "0")
 
     def expected(line):
         invoice = 1 if line % 3 == 0 else line
