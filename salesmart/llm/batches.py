@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 #: Bytes of text handed to Python code at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
 
-Compute = Callable[[list], list[pa.Array]]
+Compute = Callable[[pa.Array], list[pa.Array]]
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
@@ -34,10 +34,10 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = BATCH_BYTES) -> Iter
 def with_columns(
     frame: DataFrame, column: str, added: T.StructType, setup: Callable[[], Compute]
 ) -> DataFrame:
-    """``frame`` with the columns ``added``, computed from ``column`` (its values, null as None).
+    """``frame`` with the columns ``added``, computed from ``column``.
 
-    ``setup`` runs once in a task and returns the function that maps a list of values to one Arrow
-    array for each added column. A column of ``frame`` with the name of an added one is replaced.
+    ``setup`` runs once in a task and returns the function that maps an Arrow array of the column's
+    values to one array for each added column. A column of ``frame`` with the name of an added one is replaced.
     """
     names = {f.name.lower() for f in added}
     if column.lower() in names:
@@ -49,7 +49,7 @@ def with_columns(
         compute = setup()
         for batch in batches:
             for part in slices(batch, column):
-                columns = compute(part.column(column).to_pylist())
+                columns = compute(part.column(column))
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(f.name) for f in kept), *columns],
                     names=[f.name for f in schema],

@@ -15,9 +15,13 @@ Arcs that a text asks for are looked up there once and then stand in a transitio
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -28,8 +32,12 @@ from salesmart.llm.batches import with_columns
 SPLIT = (
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 )
+#: The same pattern for texts of Latin letters, for which the standard library has the classes; and
+#: what it does not hold for: separators, fractions and superscripts, and characters from U+0250.
+_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+_RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 #: Distinct words and arcs remembered by a task; beyond that the memory starts anew.
-CACHED = 1 << 19
+CACHED = 3 << 18
 _NEVER = 1 << 60
 
 
@@ -51,8 +59,10 @@ class MergeAutomaton:
         self.removed: dict[tuple[int, int], int] = {}
         for rank, (u, v, w) in enumerate(merges):
             self._gadget(rank, u, v, w)
-        self.trie, self.token_at = self._trie()
-        self.arcs: dict[tuple[int, int], bool] = {}
+        self.sizes = {token: len(label) for token, label in labels.items()}
+        self.widest = max(self.sizes.values(), default=0)
+        self.trie, self.longest, self.shorter = self._trie()
+        self.arcs: dict[int, bool] = {}  # by last token << 20 | token
 
     def _gadget(self, rank: int, u: int, v: int, w: int) -> None:
         if self.has_arc(u, v):
@@ -82,63 +92,67 @@ class MergeAutomaton:
                 return True
             state, until = right[state], born[state]
 
-    def _trie(self) -> tuple[dict[int, int], list[int]]:
-        """Transitions over bytes, ``node << 8 | byte``, and the token that ends at each node."""
-        trie: dict[int, int] = {}
-        token_at = [-1]
-        for token, label in self.labels.items():
-            if len(label) > 1 and token not in self.born:
-                continue
-            node = 0
-            for byte in label:
-                key = node << 8 | byte
-                if key not in trie:
-                    trie[key] = len(token_at)
-                    token_at.append(-1)
-                node = trie[key]
-            if label:
-                token_at[node] = token
-        return trie, token_at
+    def _trie(self) -> tuple[ahocorasick.Automaton, dict[str, int], dict[int, int]]:
+        """Transitions over bytes, written as characters; for each node the longest token on the
+        way to it, and for each token the longest other one that is a prefix of it."""
+        tokens = {
+            label.decode("latin-1"): token
+            for token, label in self.labels.items()
+            if label and (len(label) == 1 or token in self.born)
+        }
+        trie = ahocorasick.Automaton()
+        longest: dict[str, int] = {}
+        shorter: dict[int, int] = {}
+        for name, token in tokens.items():
+            trie.add_word(name, token)
+            last = -1
+            for end in range(1, len(name) + 1):
+                node = name[:end]
+                if end == len(name):
+                    shorter[token] = last
+                last = longest[node] = tokens.get(node, last)
+        return trie, longest, shorter
 
     def encode_word(self, word: bytes) -> list[int]:
         """Ids of the only accepted spelling of ``word``.
 
-        Each prefix has exactly one, so one pass finds the last token of each prefix.
+        From each place the longest token with an arc is read first; where that leads nowhere, the
+        last one is taken back and a shorter one read. Each prefix of a word has one accepted
+        spelling only, so a place that led nowhere does so again, and is not entered twice.
         """
-        n = len(word)
-        last = [-2] * (n + 1)
-        last[0] = -1
-        trie, token_at, arcs, has_arc = self.trie, self.token_at, self.arcs, self.has_arc
+        arcs, has_arc, sizes, shorter = self.arcs, self.has_arc, self.sizes, self.shorter
+        reach, longest, widest = self.trie.longest_prefix, self.longest, self.widest
         if len(arcs) > 4 * CACHED:
             arcs.clear()
-        for start in range(n):
-            before = last[start]
-            if before == -2:
-                continue
-            node, end = 0, start
-            while end < n:
-                node = trie.get(node << 8 | word[end], -1)
-                if node < 0:
-                    break
-                end += 1
-                token = token_at[node]
-                if token < 0 or last[end] != -2:
-                    continue
-                if before >= 0:
-                    allowed = arcs.get((before, token))
+        text = word.decode("latin-1")
+        n, ids, at, before = len(word), [], 0, -1
+        closed: set[int] = set()
+        token = longest.get(text[: reach(text[:widest])], -1)
+        while at < n:
+            while token >= 0:
+                end = at + sizes[token]
+                if end not in closed:
+                    if before < 0:
+                        break
+                    allowed = arcs.get(before << 20 | token)
                     if allowed is None:
-                        allowed = arcs[before, token] = has_arc(before, token)
-                    if not allowed:
-                        continue
-                last[end] = token
-        ids, end = [], n
-        while end:
-            token = last[end]
-            if token < 0:
+                        allowed = arcs[before << 20 | token] = has_arc(before, token)
+                    if allowed:
+                        break
+                token = shorter[token]
+            if token >= 0:
+                ids.append(token)
+                at, before = end, token
+                rest = text[at : at + widest]
+                token = longest.get(rest[: reach(rest)], -1)
+            elif ids:
+                closed.add(at)
+                token = ids.pop()
+                before = ids[-1] if ids else -1
+                at -= sizes[token]
+                token = shorter[token]
+            else:
                 raise ValueError("the vocabulary lacks a byte of the text")
-            ids.append(token)
-            end -= len(self.labels[token])
-        ids.reverse()
         return ids
 
 
@@ -158,12 +172,18 @@ class ByteBpe:
         self.automaton = MergeAutomaton(labels, merges)
         self.labels = labels | {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile(SPLIT)
-        self.words: dict[str, list[int]] = {}
-        self.cut = (
-            regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")")
-            if self.special
-            else None
-        )
+        self.words: dict[str, bytes] = {}
+        names = sorted(self.special, key=len, reverse=True)
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, names)) + ")") if names else None
+        # Labels end to end, for decoding without a loop.
+        size = max(self.labels, default=-1) + 1
+        each = [self.labels.get(i, b"") for i in range(size)]
+        self.flat = np.frombuffer(b"".join(each), np.uint8)
+        self.lengths = np.array([len(x) for x in each], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def split_words(self, text: str) -> list[str]:
+        return (self.split if _RARE.search(text) else _FAST).findall(text)
 
     def _pieces(self, text: str) -> Iterator[tuple[bool, str]]:
         if self.cut is None:
@@ -173,28 +193,34 @@ class ByteBpe:
             if piece:
                 yield bool(k % 2), piece
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """Token ids as 32-bit numbers."""
         words, encode_word = self.words, self.automaton.encode_word
-        ids: list[int] = []
+        out: list[bytes] = []
         for special, piece in self._pieces(text):
             if special:
-                ids.append(self.special[piece])
+                out.append(np.int32(self.special[piece]).tobytes())
                 continue
-            for word in self.split.findall(piece):
+            for word in self.split_words(piece):
                 known = words.get(word)
                 if known is None:
-                    known = encode_word(word.encode("utf-8", "replace"))
+                    known = np.array(encode_word(word.encode("utf-8", "replace")), np.int32).tobytes()
                     if len(words) >= CACHED:
                         words.clear()
                     if len(word) <= 64:
                         words[word] = known
-                ids += known
-        return ids
+                out.append(known)
+        return np.frombuffer(b"".join(out), np.int32)
 
-    def decode(self, ids: Iterable[int]) -> str:
+    def decode(self, ids: np.ndarray) -> str:
         """Text of the arc labels; an id without a label adds nothing."""
-        labels = self.labels
-        return b"".join([labels.get(i, b"") for i in ids]).decode("utf-8", "replace")
+        ids = ids[(ids >= 0) & (ids < len(self.lengths))]
+        sizes = self.lengths[ids]
+        ends = np.cumsum(sizes)
+        if not len(ids):
+            return ""
+        place = np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1])
+        return self.flat[place].tobytes().decode("utf-8", "replace")
 
 
 _LOADED: dict[int, ByteBpe] = {}
@@ -230,8 +256,10 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     def setup():
         tokenizer = _tokenizer(shared)
 
-        def compute(texts: list) -> list[pa.Array]:
-            return [pa.array([tokenizer.encode(t) if t else [] for t in texts], pa.list_(pa.int32()))]
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            coded = [tokenizer.encode(t or "") for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, coded)])
+            return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(coded)))]
 
         return compute
 
@@ -249,6 +277,12 @@ def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "de
 
     def setup():
         tokenizer = _tokenizer(shared)
-        return lambda rows: [pa.array([tokenizer.decode(r or ()) for r in rows], pa.string())]
+        def compute(rows: pa.Array) -> list[pa.Array]:
+            flat = rows.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+            ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(rows).to_pylist())])
+            each = (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))
+            return [pa.array([tokenizer.decode(r) for r in each], pa.string())]
+
+        return compute
 
     return with_columns(tokens, ids, schema, setup)

@@ -169,8 +169,8 @@ def _mark_block(docs: DataFrame, items: list, m: int, text: str, added: T.Struct
     def setup():
         searcher = Searcher(*shared.value)
 
-        def compute(texts: list) -> list[pa.Array]:
-            found = [searcher.find(t) for t in texts]
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            found = [searcher.find(t) for t in texts.to_pylist()]
             spans = [[{"start": s, "end": e} for s, e in f[1]] for f in found]
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             return [

@@ -122,8 +122,8 @@ def identify(
             gap = 1.0 - sizes[best] / min(rest) if rest else 1.0
             return known.languages[best], min(1.0, 2.0 * gap), gap < margin
 
-        def compute(texts: list) -> list[pa.Array]:
-            found = [judge(t) for t in texts]
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            found = [judge(t) for t in texts.to_pylist()]
             return [
                 pa.array([f[0] for f in found], pa.string()),
                 pa.array([f[1] for f in found], pa.float64()),

@@ -94,8 +94,8 @@ def _signatures(docs: DataFrame, text: str, words: int) -> DataFrame:
     def setup():
         shingles = Shingles(words)
 
-        def compute(texts: list) -> list[pa.Array]:
-            sets = [shingles.of(t.encode("utf-8", "replace")) if t else () for t in texts]
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            sets = [shingles.of(t.encode("utf-8", "replace")) if t else () for t in texts.to_pylist()]
             return [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_digest(s) if len(s) else None for s in sets], pa.binary()),

@@ -95,8 +95,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with a long column for each of MEASURES; columns called so are replaced."""
 
     def setup():
-        def compute(texts: list) -> list[pa.Array]:
-            found = [measure(t) for t in texts]
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            found = [measure(t) for t in texts.to_pylist()]
             return [pa.array(list(column), pa.int64()) for column in zip(*found, strict=True)]
 
         return compute

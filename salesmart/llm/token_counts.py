@@ -138,8 +138,8 @@ def token_counts(
     def setup():
         model = Unigram(*shared.value)
 
-        def compute(texts: list) -> list[pa.Array]:
-            found = [model.count(SPACE + t.replace(" ", SPACE)) if t else (0, 0.0) for t in texts]
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            found = [model.count(SPACE + t.replace(" ", SPACE)) if t else (0, 0.0) for t in texts.to_pylist()]
             return [
                 pa.array([n for n, _ in found], pa.int64()),
                 pa.array([s for _, s in found], pa.float64()),

@@ -206,7 +206,7 @@ def score(
                 worst = max(worst, float(judged.max()))
             return _chance(worst + offset)
 
-        return lambda texts: [pa.array([judge(t) for t in texts], pa.float64())]
+        return lambda texts: [pa.array([judge(t) for t in texts.to_pylist()], pa.float64())]
 
     return with_columns(docs, text, T.StructType([T.StructField(column, T.DoubleType())]), setup)
 
