@@ -37,7 +37,7 @@ SPLIT = (
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _RARE = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 #: Distinct words and arcs remembered by a task; beyond that the memory starts anew.
-CACHED = 3 << 18
+CACHED = 1 << 18
 _NEVER = 1 << 60
 
 
@@ -122,7 +122,7 @@ class MergeAutomaton:
         """
         arcs, has_arc, sizes, shorter = self.arcs, self.has_arc, self.sizes, self.shorter
         reach, longest, widest = self.trie.longest_prefix, self.longest, self.widest
-        if len(arcs) > 4 * CACHED:
+        if len(arcs) > 2 * CACHED:
             arcs.clear()
         text = word.decode("latin-1")
         n, ids, at, before = len(word), [], 0, -1

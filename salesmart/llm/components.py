@@ -22,13 +22,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         now.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("u") != F.col("v"))).distinct()
     )
     before = None
-    while True:
+    while not now.isEmpty():
         stars = _small_star(_large_star(now))
         now = settled(stars)
         mark = now.agg(
             F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
         ).first()
-        if mark == before or not mark[0]:
+        if mark == before:
             break
         before = mark
     leaves = now.groupBy("u").agg(F.min("v").alias("component"))
