@@ -1,13 +1,15 @@
 """Refresh jobs for ``spark-submit`` or ``python -m salesmart``.
 
-    calendar   --target BASE --start 2009-01-01 --end 2030-12-31
+    calendar   --target BASE --start 2009-01-01 --end 2030-12-31 [--country CO] [--holidays PATH]
     dimensions --target BASE --source SOURCE
-    facts      --target BASE --source SOURCE [--since DAY] [--until DAY] [--replace]
+    facts      --target BASE --source SOURCE [--since DAY] [--until DAY] [--replace] [--null-overflow]
     history    --target BASE --source SOURCE [--as-of DAY]
     tables     --target BASE --database NAME
 
 SOURCE is a folder of Parquet tables or a ``jdbc:`` URL. A database user and password are taken
-from the environment variables SALESMART_JDBC_USER and SALESMART_JDBC_PASSWORD.
+from the environment variables SALESMART_JDBC_USER and SALESMART_JDBC_PASSWORD; other options of the
+connection are given as ``--jdbc-option NAME=VALUE``. PATH is a Parquet folder of holidays (country,
+holiday_date). The calendar should cover all sales: reports leave out days that it lacks.
 """
 
 from __future__ import annotations
@@ -41,16 +43,20 @@ def parser() -> argparse.ArgumentParser:
             added.add_argument("--source", required=True)
             added.add_argument("--split", action="append", default=[], metavar="TABLE=COLUMN")
             added.add_argument("--partitions", type=int, default=64)
+            added.add_argument("--jdbc-option", action="append", default=[], metavar="NAME=VALUE")
         return added
 
     calendar = job("calendar")
     calendar.add_argument("--start", type=as_date, default="2009-01-01")
     calendar.add_argument("--end", type=as_date, default="2030-12-31")
+    calendar.add_argument("--country", default="CO")
+    calendar.add_argument("--holidays", metavar="PATH")
     job("dimensions", reads_source=True)
     facts = job("facts", reads_source=True)
     facts.add_argument("--since", type=as_date)
     facts.add_argument("--until", type=as_date)
     facts.add_argument("--replace", action="store_true")
+    facts.add_argument("--null-overflow", action="store_true", help="null for amounts beyond the type")
     history = job("history", reads_source=True)
     history.add_argument("--as-of", type=as_date)
     tables = job("tables")
@@ -58,11 +64,14 @@ def parser() -> argparse.ArgumentParser:
     return root
 
 
-def source_reader(spark: SparkSession, source: str, split: Sequence[str], partitions: int) -> ReadTable:
+def source_reader(
+    spark: SparkSession, source: str, split: Sequence[str], partitions: int, further: Sequence[str] = ()
+) -> ReadTable:
     if not source.startswith("jdbc:"):
         return parquet_tables(spark, source)
     login = {"user": "SALESMART_JDBC_USER", "password": "SALESMART_JDBC_PASSWORD"}
     options = {key: os.environ[name] for key, name in login.items() if name in os.environ}
+    options |= dict(pair.split("=", 1) for pair in further)
     split_on = dict(pair.split("=", 1) for pair in split)
     return jdbc_tables(spark, source, split_on=split_on, partitions=partitions, **options)
 
@@ -71,17 +80,25 @@ def main(arguments: Sequence[str] | None = None) -> None:
     args = parser().parse_args(arguments)
     spark = SparkSession.builder.appName(f"salesmart-{args.job}").getOrCreate()
     if args.job == "calendar":
-        refresh_calendar(spark, args.target, args.start, args.end)
+        holidays = spark.read.parquet(args.holidays) if args.holidays else None
+        refresh_calendar(spark, args.target, args.start, args.end, args.country, holidays)
     elif args.job == "tables":
         register_tables(spark, args.database, args.target)
         discover_partitions(spark, args.database)
         register_views(spark, args.database)
     else:
-        read = source_reader(spark, args.source, args.split, args.partitions)
+        read = source_reader(spark, args.source, args.split, args.partitions, args.jdbc_option)
         if args.job == "dimensions":
             refresh_dimensions(read, args.target)
         elif args.job == "facts":
-            refresh_facts(read, args.target, args.since, args.until, replace=args.replace)
+            refresh_facts(
+                read,
+                args.target,
+                args.since,
+                args.until,
+                replace=args.replace,
+                strict=not args.null_overflow,
+            )
         else:
             refresh_history(read, args.target, args.as_of)
 

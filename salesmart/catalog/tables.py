@@ -5,25 +5,62 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from salesmart.schemas import TABLES
+from salesmart.sinks.versions import current, exists, file_system, qualified
 
 
 def register_tables(spark: SparkSession, database: str, base: str) -> None:
-    """Create the database and the six external tables over ``base`` where they do not exist."""
-    base = base.rstrip("/").replace("'", "\\'")
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{base}'")
-    for name, table in TABLES.items():
-        columns = ", ".join(c for c in (table.columns, table.partitions) if c)
-        partitioned = f"PARTITIONED BY ({', '.join(table.partition_by)})" if table.partition_by else ""
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) "
-            f"USING parquet {partitioned} LOCATION '{base}/{name}'"
-        )
+    """Create the database and the six external tables over ``base`` where they do not exist.
+
+    The database has no folder among the tables, so dropping it leaves their files. A table that was
+    registered over another base raises. Folders of tables not written yet are created, so that each
+    can be queried at once.
+    """
+    base = base.rstrip("/")
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    for name in TABLES:
+        folder = f"{base}/{name}"
+        if not exists(spark, folder):
+            system, place = file_system(spark, folder)
+            system.mkdirs(place)
+        if spark.catalog.tableExists(f"{database}.{name}"):
+            root, stored = qualified(spark, folder), _location(spark, database, name)
+            if stored != root and not stored.startswith(f"{root}/"):
+                raise ValueError(f"{database}.{name} is registered over {stored}, not {root}")
+        else:
+            _create(spark, database, name, current(spark, folder))
 
 
 def discover_partitions(spark: SparkSession, database: str) -> None:
-    """Make partitions written or removed since the last call known to queries."""
+    """Make what was written or removed since the last call known to queries.
+
+    Tables that are replaced as a whole are pointed to their newest version. A table that is not
+    written yet stays empty.
+    """
     for name, table in TABLES.items():
+        location = _location(spark, database, name)
+        root = location.rpartition("/version-")[0] or location
+        newest = qualified(spark, current(spark, root))
+        if newest != location:  # partitions keep the folders they were found in
+            spark.sql(f"DROP TABLE {database}.{name}")
+            _create(spark, database, name, newest)
+        if not exists(spark, newest):
+            continue
         if table.partition_by:
             spark.sql(f"MSCK REPAIR TABLE {database}.{name} SYNC PARTITIONS")
-        else:
-            spark.catalog.refreshTable(f"{database}.{name}")
+        spark.catalog.refreshTable(f"{database}.{name}")
+        if name.startswith("dim_"):  # what the views join; the fact is never scanned for this
+            spark.sql(f"ANALYZE TABLE {database}.{name} COMPUTE STATISTICS NOSCAN")
+
+
+def _create(spark: SparkSession, database: str, name: str, location: str) -> None:
+    table = TABLES[name]
+    columns = ", ".join(c for c in (table.columns, table.partitions) if c)
+    partitioned = f"PARTITIONED BY ({', '.join(table.partition_by)})" if table.partition_by else ""
+    place = location.replace("'", "\\'")
+    spark.sql(f"CREATE TABLE {database}.{name} ({columns}) USING parquet {partitioned} LOCATION '{place}'")
+
+
+def _location(spark: SparkSession, database: str, name: str) -> str:
+    rows = spark.sql(f"DESCRIBE TABLE EXTENDED {database}.{name}")
+    stored = rows.where("col_name = 'Location'").first()["data_type"]
+    return qualified(spark, stored.rstrip("/"))

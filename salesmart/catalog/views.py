@@ -9,8 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from salesmart.operators.lookups import MAX_BROADCAST_ROWS
-
 _PER_DAY = """
     WITH per_day AS (
       SELECT InvoiceDateKey, partition_year, partition_month, partition_day,
@@ -19,7 +17,7 @@ _PER_DAY = """
       GROUP BY InvoiceDateKey, partition_year, partition_month, partition_day
     ),
     sales AS (
-      SELECT {hint} c.*, units, lines, amount
+      SELECT c.*, units, lines, amount
       FROM per_day s
       JOIN {db}.dim_date c
         ON s.InvoiceDateKey = c.DateKey
@@ -34,7 +32,7 @@ VIEWS = {
     + "SELECT FullDate, sum(units) AS TracksSold FROM sales GROUP BY FullDate",
     "v_top_artist_by_month": """
     WITH per_track AS (
-      SELECT {hint} c.Year, c.Month, s.TrackKey, sum(s.Quantity) AS units
+      SELECT c.Year, c.Month, s.TrackKey, sum(s.Quantity) AS units
       FROM {db}.fact_sales s
       JOIN {db}.dim_date c
         ON s.InvoiceDateKey = c.DateKey
@@ -67,12 +65,9 @@ VIEWS = {
 def register_views(spark: SparkSession, database: str) -> None:
     """Create or replace the four views over the registered tables of ``database``.
 
-    The calendar is broadcast in them if it is counted to be small now; Spark's own estimate
-    goes by file size, which for a calendar of one-row files is far too high. Register again
-    after extending the calendar by centuries.
+    They hold no hint: how the calendar and the tracks are joined is decided when a view is read, from
+    the statistics that ``discover_partitions`` keeps and from what adaptive execution measures.
     """
-    days = spark.table(f"{database}.dim_date").count()
-    hint = "/*+ BROADCAST(c) */" if days <= MAX_BROADCAST_ROWS else ""
     for name, body in VIEWS.items():
-        sql = body.format(db=database, hint=hint)
+        sql = body.format(db=database)
         spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {sql}")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import as_date, calendar_columns, partition_columns
 from salesmart.operators.holidays import FIRST_YEAR, holidays_co
+from salesmart.operators.lookups import bounded_broadcast
 from salesmart.schemas import conform
 
 
@@ -27,6 +28,12 @@ def date_range(spark: SparkSession, start: date | str, end: date | str) -> DataF
     )
 
 
+def day_bounds(frame: DataFrame, column: str) -> tuple[date, date] | None:
+    """First and last date in ``frame[column]``; None without any."""
+    first, last = frame.agg(F.to_date(F.min(column)), F.to_date(F.max(column))).first()
+    return None if first is None else (first, last)
+
+
 def date_span(frame: DataFrame, column: str) -> DataFrame:
     """One row per day from the earliest to the latest date in ``frame[column]``."""
     ends = frame.agg(
@@ -40,11 +47,12 @@ def date_span(frame: DataFrame, column: str) -> DataFrame:
 def flag_holidays(frame: DataFrame, column: str, holidays: DataFrame) -> DataFrame:
     """Add ``IsHoliday``: whether the date in ``column`` occurs in ``holidays.holiday_date``.
 
-    Two holidays may share a date, so the dates are made distinct before the join.
+    Two holidays may share a date, so the dates are made distinct before the join. They are broadcast
+    once counted, since the planner takes them to be as large as what they are derived from.
     """
     dates = holidays.select(F.to_date("holiday_date").alias("_holiday")).distinct()
     return (
-        frame.join(dates, F.to_date(F.col(column)) == F.col("_holiday"), "left")
+        frame.join(bounded_broadcast(dates), F.to_date(F.col(column)) == F.col("_holiday"), "left")
         .withColumn("IsHoliday", F.col("_holiday").isNotNull())
         .drop("_holiday")
     )

@@ -1,32 +1,108 @@
-"""Left lookup joins and the size-checked broadcast."""
+"""Lookup joins: checked broadcasts, and shuffled joins whose hot keys are salted."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import ceil
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAX_BROADCAST_ROWS = 100_000
+MAX_BROADCAST_BYTES = 32 << 20
+#: Lookups are wider than a calendar, so fewer rows of them are broadcast.
+MAX_LOOKUP_ROWS = 50_000
+#: A key with fewer rows is never salted.
+MIN_HOT_ROWS = 100_000
+#: Keys that the sketch of frequent keys follows; it finds each key with a larger share of rows.
+TRACKED_KEYS = 10_000
 
 
 def lookup_chain(frame: DataFrame, lookups: Iterable[tuple[DataFrame, str]]) -> DataFrame:
     """Left-join each ``(lookup, key)`` in turn; rows without a match keep nulls.
 
-    No strategy is forced. Catalyst broadcasts a lookup that its size statistics show to be
-    small; any other becomes a sort-merge join whose hot or null keys adaptive execution splits
-    on the left side. A lookup with a repeated key multiplies rows, as in any join.
+    A lookup that is counted and measured to be small is broadcast, so ``frame`` is not shuffled on
+    keys of which there may be few. Any other is joined by ``salted_join``. A lookup with a repeated
+    key multiplies rows, as in any join.
     """
     for lookup, key in lookups:
-        frame = frame.join(lookup, key, "left")
+        hinted = bounded_broadcast(lookup, MAX_LOOKUP_ROWS)
+        if hinted is not lookup:
+            frame = frame.join(hinted, key, "left")
+        else:
+            frame = salted_join(frame, lookup, key, "left")
     return frame
 
 
-def bounded_broadcast(frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``frame`` if it is counted to hold at most ``max_rows``, else return it unhinted.
+def row_bytes(frame: DataFrame) -> Column:
+    """About the bytes of a row: the length of strings and binaries, 8 for any other value."""
+    size = F.lit(0)
+    for field in frame.schema:
+        varies = isinstance(field.dataType, (T.StringType, T.BinaryType))
+        name = F.col("`" + field.name.replace("`", "``") + "`")
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) + 16 if varies else F.lit(8))
+    return size
 
-    Meant for narrow frames, such as the integer columns of a calendar. The count is a
-    distributed sum that reads no column of a Parquet table. Beyond the bound the planner is
-    free to choose a shuffled join.
+
+def bounded_broadcast(
+    frame: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES
+) -> DataFrame:
+    """Broadcast ``frame`` if it is measured to be within both bounds, else return it unhinted.
+
+    The measurement is a distributed sum. The planner cannot know the size of a frame that is derived
+    by a distinct or read from a database; beyond the bounds it is free to choose a shuffled join.
+    """
+    rows, size = frame.agg(F.count(F.lit(1)), F.sum(row_bytes(frame))).first()
+    return F.broadcast(frame) if rows <= max_rows and (size or 0) <= max_bytes else frame
+
+
+def hot_keys(frame: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> dict:
+    """Keys with more rows than a mean task of a shuffle, and the parts to cut each into.
+
+    They are found with a sketch of frequent items, whose size is fixed and which is merged from the
+    map tasks; nothing is shuffled. There are at most as many such keys as shuffle partitions.
+    """
+    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    listed = min(tasks, TRACKED_KEYS)
+    found = frame.where(F.col(key).isNotNull()).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.expr(f"approx_top_k(`{key}`, {listed}, {TRACKED_KEYS})").alias("top"),
+    )
+    total, top = found.first()
+    mean = max(1.0, total / tasks)
+    return {
+        item["item"]: min(tasks, ceil(item["count"] / mean) * 2)
+        for item in top or ()
+        if item["count"] >= min_rows and item["count"] > mean
+    }
+
+
+def salted_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", min_rows: int = MIN_HOT_ROWS
+) -> DataFrame:
+    """Join on ``key``, inner or left, with the rows of hot keys of ``left`` spread over tasks.
+
+    Only the rows of ``right`` with a hot key are repeated, once for each part. The part of a left row
+    follows from its values, so a repeated task deals it as before; rows that are alike in all
+    columns stay together. Rows with a null key match nothing and are not shuffled at all.
     """
-    return F.broadcast(frame) if frame.count() <= max_rows else frame
+    if how not in ("inner", "left"):
+        raise ValueError(f"an inner or left join, not {how!r}")
+    name = "`" + key.replace("`", "``") + "`"
+    keyed = left.where(F.col(name).isNotNull())
+    hot = hot_keys(left, key, min_rows)
+    if not hot:
+        joined = keyed.join(right, key, how)
+    else:
+        parts = F.create_map(*(F.lit(x) for item in hot.items() for x in item))
+        share = F.coalesce(parts[F.col(name)], F.lit(1))
+        dealt = keyed.withColumn("__part", F.pmod(F.xxhash64(*keyed.columns), share.cast("long")))
+        copies = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (share - 1).cast("long"))).alias("__part"))
+        joined = dealt.join(copies, [key, "__part"], how).drop("__part")
+    if how == "inner":
+        return joined
+    nulls = left.where(F.col(name).isNull())
+    added = [f for f in right.schema if f.name != key]
+    empty = nulls.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in added))
+    return joined.unionByName(empty.select(*joined.columns))

@@ -2,51 +2,116 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import as_date, date_key, partition_columns
 from salesmart.functions.values import line_amount
-from salesmart.operators.lookups import lookup_chain
+from salesmart.operators.lookups import MAX_BROADCAST_ROWS, salted_join
 from salesmart.schemas import conform
+from salesmart.sources.tables import ReadTable, read_within
 
 
 def invoices_between(
     invoice: DataFrame, since: date | str | None = None, until: date | str | None = None
 ) -> DataFrame:
-    """Invoices of the days from ``since`` to ``until``, both included; None leaves an end open.
+    """Invoices of the days from ``since`` to ``until``, both included, and all without a date.
 
-    The bounds are compared with the bare column, so they reach the Parquet or JDBC scan.
+    None leaves an end open. The bounds are compared with the bare column, so they reach the Parquet
+    or JDBC scan.
     """
     when = F.col("invoice_date")
     kind = invoice.schema["invoice_date"].dataType
+    bounds = []
     if since is not None:
-        invoice = invoice.filter(when >= F.lit(as_date(since)).cast(kind))
+        bounds.append(when >= F.lit(as_date(since)).cast(kind))
     if until is not None:
-        day_after = F.date_add(F.lit(as_date(until)), 1)
-        invoice = invoice.filter(when < day_after.cast(kind))
-    return invoice
+        bounds.append(when < F.date_add(F.lit(as_date(until)), 1).cast(kind))
+    return invoice.filter(reduce(Column.__and__, bounds) | when.isNull()) if bounds else invoice
+
+
+def key_ranges(invoice: DataFrame) -> tuple[int, list[tuple]]:
+    """Number of invoices, and the ranges of their ids: of the dated ones and of the others.
+
+    Apart, because the few undated invoices may lie anywhere; ranges that overlap are joined.
+    """
+    undated = F.col("invoice_date").isNull()
+    rows = (
+        invoice.groupBy(undated.alias("undated"))
+        .agg(F.min("invoice_id").alias("low"), F.max("invoice_id").alias("high"), F.count("*").alias("n"))
+        .collect()
+    )
+    ranges: list[tuple] = []
+    for low, high in sorted((r["low"], r["high"]) for r in rows if r["low"] is not None):
+        if ranges and low <= ranges[-1][1]:
+            ranges[-1] = (ranges[-1][0], max(high, ranges[-1][1]))
+        else:
+            ranges.append((low, high))
+    return sum(r["n"] for r in rows), ranges
+
+
+def lines_within(read: ReadTable, ranges: Sequence[tuple]) -> DataFrame:
+    """Invoice lines whose invoice id is in one of the ``ranges``, which do not overlap."""
+    if not ranges:
+        return read("invoice_line").filter(F.lit(False))
+    parts = [read_within(read, "invoice_line", "invoice_id", low, high) for low, high in ranges]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def fact_sales_between(
+    read: ReadTable,
+    since: date | str | None = None,
+    until: date | str | None = None,
+    *,
+    strict: bool = True,
+) -> DataFrame:
+    """Sales of some days, and the undated ones, or all without bounds.
+
+    For some days only the lines in the range of the chosen invoices' ids are read. That range may
+    hold others; the join decides. Few invoices are broadcast, so their lines are not shuffled.
+    """
+    invoice = invoices_between(read("invoice"), since, until)
+    if since is None and until is None:
+        return fact_sales(invoice, read("invoice_line"), read("customer"), strict=strict)
+    chosen, ranges = key_ranges(invoice)
+    lines = lines_within(read, ranges)
+    few = chosen <= MAX_BROADCAST_ROWS
+    return fact_sales(invoice, lines, read("customer"), strict=strict, few_invoices=few)
 
 
 def fact_sales(
-    invoice: DataFrame, invoice_line: DataFrame, customer: DataFrame, *, strict: bool = True
+    invoice: DataFrame,
+    invoice_line: DataFrame,
+    customer: DataFrame,
+    *,
+    strict: bool = True,
+    few_invoices: bool = False,
 ) -> DataFrame:
     """One row per invoice line; lines without an invoice drop, unknown customers stay.
 
     The sales rep is attached to the invoice headers before the lines are joined, so the lines
-    are shuffled once, on ``invoice_id``. Both joins are plain equi-joins: adaptive execution
-    splits a hot customer or invoice. ``strict`` decides whether an amount beyond
+    are shuffled once, on ``invoice_id``. The rows of a hot customer or invoice are salted; below
+    that adaptive execution splits what it finds too large. ``few_invoices`` tells that the invoices
+    were counted to be few enough for a broadcast. ``strict`` decides whether an amount beyond
     ``decimal(10,2)`` raises or becomes null.
     """
     reps = customer.select("customer_id", "support_rep_id")
-    headers = lookup_chain(
+    headers = salted_join(
         invoice.select("invoice_id", "customer_id", F.to_date("invoice_date").alias("invoice_day")),
-        [(reps, "customer_id")],
+        reps,
+        "customer_id",
+        "left",
     )
     lines = invoice_line.select("invoice_id", "track_id", "unit_price", "quantity")
-    sales = lines.join(headers, "invoice_id").select(
+    if few_invoices:
+        joined = lines.join(F.broadcast(headers), "invoice_id")
+    else:
+        joined = salted_join(lines, headers, "invoice_id")
+    sales = joined.select(
         F.col("customer_id").alias("CustomerKey"),
         F.col("track_id").alias("TrackKey"),
         date_key("invoice_day").alias("InvoiceDateKey"),

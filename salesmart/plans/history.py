@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import as_date
 from salesmart.functions.values import full_name
+from salesmart.operators.lookups import lookup_chain
 from salesmart.schemas import conform
 
 
@@ -35,7 +36,7 @@ def employee_reports(employee: DataFrame, as_of: date | str | None = None) -> Da
         F.col("employee_id").alias("reports_to"),
         full_name("first_name", "last_name").alias("manager_name"),
     )
-    reports = employee.join(managers, "reports_to", "left").select(
+    reports = lookup_chain(employee, [(managers, "reports_to")]).select(
         F.col("employee_id").alias("EmployeeKey"),
         F.col("first_name").alias("FirstName"),
         F.col("last_name").alias("LastName"),

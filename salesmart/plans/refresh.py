@@ -1,7 +1,8 @@
 """Refresh of the curated tables from the source tables.
 
 Four steps, as often as each needs: calendar once, dimensions, facts, history. Every step may
-run again at any time without duplicating rows.
+run again at any time without duplicating rows. The calendar and the dimensions are replaced in one
+step; fact and snapshot days are replaced one by one.
 """
 
 from __future__ import annotations
@@ -10,12 +11,14 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 
+from salesmart.functions.dates import as_date
 from salesmart.operators.calendar import dim_date
 from salesmart.plans.dimensions import dim_customer, dim_track
-from salesmart.plans.facts import fact_sales, invoices_between
+from salesmart.plans.facts import fact_sales_between
 from salesmart.plans.history import customer_history, employee_reports
 from salesmart.schemas import DATE_PARTITIONS, SNAPSHOT_PARTITIONS
-from salesmart.sinks.parquet import gather_partitions, write_partitions, write_table
+from salesmart.sinks.parquet import gather_partitions, replace_partitions, write_partitions
+from salesmart.sinks.versions import write_version
 from salesmart.sources.tables import ReadTable
 
 
@@ -28,14 +31,14 @@ def refresh_calendar(
     holidays: DataFrame | None = None,
 ) -> None:
     """Replace the calendar dimension."""
-    write_table(dim_date(spark, start, end, country, holidays), f"{base}/dim_date", DATE_PARTITIONS)
+    write_version(dim_date(spark, start, end, country, holidays), f"{base}/dim_date", DATE_PARTITIONS)
 
 
 def refresh_dimensions(read: ReadTable, base: str) -> None:
     """Replace the customer and track dimensions."""
-    write_table(dim_customer(read("customer")), f"{base}/dim_customer")
+    write_version(dim_customer(read("customer")), f"{base}/dim_customer")
     tracks = dim_track(*(read(t) for t in ("track", "album", "artist", "genre", "media_type")))
-    write_table(tracks, f"{base}/dim_track")
+    write_version(tracks, f"{base}/dim_track")
 
 
 def refresh_facts(
@@ -49,17 +52,25 @@ def refresh_facts(
 ) -> None:
     """Rewrite the fact partitions of the days from ``since`` to ``until``, or of all days.
 
-    Readers see the old partitions until the new ones are complete. A day that no longer has
-    any sale is not rewritten and keeps its old rows; ``replace`` reloads the whole table and
-    drops such days, but leaves readers without data while it runs.
+    Sales without a date are loaded each time. Readers see the old partitions until the new ones are
+    complete; then days of the range that no longer have any sale go. A load of some days corrects
+    these days only: where an invoice got another date, both its old and its new day must lie in the
+    range. ``replace`` insists on a load of all days.
     """
     if replace and (since is not None or until is not None):
         raise ValueError("replace reloads all days: give no bounds")
-    invoices = invoices_between(read("invoice"), since, until)
-    sales = fact_sales(invoices, read("invoice_line"), read("customer"), strict=strict)
+    sales = fact_sales_between(read, since, until, strict=strict)
     sales = gather_partitions(sales, DATE_PARTITIONS)
-    write = write_table if replace else write_partitions
-    write(sales, f"{base}/fact_sales", DATE_PARTITIONS)
+    first = None if since is None else as_date(since)
+    last = None if until is None else as_date(until)
+
+    def loaded(values: tuple[str | None, ...]) -> bool:
+        if None in values:
+            return True
+        day = date(*map(int, values))
+        return (first is None or first <= day) and (last is None or day <= last)
+
+    replace_partitions(sales, f"{base}/fact_sales", DATE_PARTITIONS, loaded)
 
 
 def refresh_history(read: ReadTable, base: str, as_of: date | str | None = None) -> None:

@@ -1,11 +1,17 @@
-"""Parquet sinks: whole tables and date partitions, safe to run again."""
+"""Parquet sinks for date partitions, safe to run again."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 
+from salesmart.sinks.versions import exists, file_system
+
+#: Fixed value: the folder name of a null partition value.
+NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
+
 
 def gather_partitions(frame: DataFrame, partition_by: Sequence[str]) -> DataFrame:
     """Bring the rows of each partition together, so that it gets few files.
@@ -17,13 +23,35 @@ def gather_partitions(frame: DataFrame, partition_by: Sequence[str]) -> DataFram
     return frame.hint("rebalance", *partition_by)
 
 
-def write_table(frame: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    """Replace the whole table at ``path``."""
-    writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "static")
-    writer.partitionBy(*partition_by).parquet(path)
-
-
 def write_partitions(frame: DataFrame, path: str, partition_by: Sequence[str]) -> None:
     """Replace only the partitions that occur in ``frame``; all others stay as they are."""
     writer = frame.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*partition_by).parquet(path)
+
+
+def replace_partitions(
+    frame: DataFrame,
+    path: str,
+    partition_by: Sequence[str],
+    loaded: Callable[[tuple[str | None, ...]], bool],
+) -> None:
+    """Replace the partitions that ``loaded`` accepts: those without rows in ``frame`` go.
+
+    ``loaded`` gets the values of a partition as text, null as None. A partition was written if none
+    of its former files is left, so files are listed before and after, and no row is read again. A
+    run that ends between the write and the removal is made good by the next.
+    """
+    before = _files(frame, path)
+    write_partitions(frame, path, partition_by)
+    left = {file.rpartition("/")[0] for file in before & _files(frame, path)}
+    for folder in sorted(left):
+        values = [part.partition("=")[2] for part in folder.split("/")[-len(partition_by) :]]
+        if loaded(tuple(None if v == NULL_PARTITION else unquote(v) for v in values)):
+            system, place = file_system(frame.sparkSession, folder)
+            system.delete(place, True)
+
+
+def _files(frame: DataFrame, path: str) -> set[str]:
+    if not exists(frame.sparkSession, path):
+        return set()
+    return set(frame.sparkSession.read.schema(frame.schema).parquet(path).inputFiles())

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salesmart.schemas import TABLES
+from salesmart.sinks.versions import current
 
 ReadTable = Callable[[str], DataFrame]
 
@@ -24,6 +26,17 @@ SOURCE_KEYS = {
 }
 
 
+def read_within(read: ReadTable, name: str, column: str, low, high) -> DataFrame:
+    """Rows of a table with ``column`` from ``low`` to ``high``, both included.
+
+    The range is a filter that reaches the scan. A reader with a ``within`` of its own, as that of a
+    database, also splits its read by that range and not by that of the whole table.
+    """
+    within = getattr(read, "within", None)
+    frame = read(name) if within is None else within(name, column, low, high)
+    return frame.filter(F.col(column).between(F.lit(low), F.lit(high)))
+
+
 def parquet_tables(spark: SparkSession, base: str) -> ReadTable:
     """Source tables stored as one Parquet folder each under ``base``."""
     return lambda name: spark.read.parquet(f"{base.rstrip('/')}/{name}")
@@ -59,16 +72,30 @@ def jdbc_tables(
     def reader():
         return spark.read.format("jdbc").options(url=url, fetchsize=str(fetch_size), **options)
 
+    def ends(name: str, column: str, condition: str = "") -> tuple:
+        query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}{condition}"
+        return reader().option("query", query).load().first()
+
     def read(name: str) -> DataFrame:
         table = reader().option("dbtable", name)
         column = columns.get(name)
         if column is not None:
-            query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}"
-            low, high = reader().option("query", query).load().first()
+            low, high = ends(name, column)
             if low is not None:
                 table = table.options(**split_options(column, int(low), int(high), partitions))
         return table.load()
 
+    def within(name: str, column: str, low: int, high: int) -> DataFrame:
+        """``name`` split so that the rows with ``column`` in the range fill all partitions."""
+        table = reader().option("dbtable", name)
+        by = columns.get(name, column)
+        if by != column:
+            low, high = ends(name, by, f" WHERE {column} BETWEEN {int(low)} AND {int(high)}")
+        if low is not None:
+            table = table.options(**split_options(by, int(low), int(high), partitions))
+        return table.load()
+
+    read.within = within
     return read
 
 
@@ -83,5 +110,23 @@ def split_options(column: str, low: int, high: int, partitions: int) -> dict[str
 
 
 def curated_tables(spark: SparkSession, base: str) -> ReadTable:
-    """Curated tables under ``base``, with their declared schemas and no inference."""
-    return lambda name: spark.read.schema(TABLES[name].schema).parquet(f"{base.rstrip('/')}/{name}")
+    """Curated tables under ``base``, with their declared schemas and no inference.
+
+    Of a table that is replaced as a whole the newest version is read.
+    """
+
+    def read(name: str) -> DataFrame:
+        return spark.read.schema(TABLES[name].schema).parquet(current(spark, f"{base.rstrip('/')}/{name}"))
+
+    return read
+
+
+def whole_customer_history(spark: SparkSession, base: str) -> DataFrame:
+    """Customer snapshots with all columns that any snapshot has, the declared ones first."""
+    declared = TABLES["customer_history"].schema
+    path = f"{base.rstrip('/')}/customer_history"
+    frame = spark.read.option("mergeSchema", "true").parquet(path)
+    further = [name for name in frame.columns if name not in declared.names]
+    return frame.select(
+        *(F.col(f.name).cast(f.dataType) for f in declared), *("`" + c.replace("`", "``") + "`" for c in further)
+    )

@@ -5,9 +5,9 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from salesmart.plans.facts import fact_sales, invoices_between
+from salesmart.plans.facts import fact_sales, fact_sales_between, invoices_between, key_ranges
 from salesmart.plans.history import customer_history, employee_reports, snapshot
-from salesmart.sources.tables import catalog_tables
+from salesmart.sources.tables import catalog_tables, parquet_tables
 
 INVOICE = "invoice_id int, customer_id int, invoice_date timestamp"
 LINE = "invoice_id int, track_id int, unit_price decimal(10,2), quantity int"
@@ -161,10 +161,41 @@ def test_day_bounds_are_inclusive_and_reach_the_scan(spark, tmp_path, plan):
     ).write.option("compression", "none").parquet(path)
     invoices = spark.read.parquet(path)
     kept = invoices_between(invoices, "2024-01-02", date(2024, 1, 3))
-    assert sorted(r.invoice_id for r in kept.collect()) == [2, 3]
+    assert sorted(r.invoice_id for r in kept.collect()) == [2, 3, 5]
     assert "GreaterThanOrEqual(invoice_date" in plan(kept)
     assert invoices_between(invoices).count() == 5
-    assert sorted(r.invoice_id for r in invoices_between(invoices, until="2024-01-01").collect()) == [1]
+    assert sorted(r.invoice_id for r in invoices_between(invoices, until="2024-01-01").collect()) == [1, 5]
+
+
+def test_a_bounded_load_reads_only_lines_in_the_range_of_its_invoices(spark, tmp_path, plan, conf):
+    conf(spark__sql__maxMetadataStringLength="10000")
+    made = frames(
+        spark,
+        [(i, 1, datetime(2024, 1, 1 + i // 10)) for i in range(100)] + [(500, 1, None)],
+        [(i % 101 if i % 101 < 100 else 500, i, Decimal("1.00"), 1) for i in range(1010)],
+        [(1, 7)],
+    )
+    for name, frame in zip(("invoice", "invoice_line", "customer"), made, strict=True):
+        frame.write.parquet(str(tmp_path / name))
+    read = parquet_tables(spark, str(tmp_path))
+    sales = fact_sales_between(read, "2024-01-03", "2024-01-04")
+    assert sales.count() == 200 + 10
+    text = plan(sales)
+    scans = [l for l in text.splitlines() if "FileScan" in l and "track_id" in l]
+    assert len(scans) == 2
+    assert all("GreaterThanOrEqual(invoice_id" in s and "LessThanOrEqual(invoice_id" in s for s in scans)
+    assert "BroadcastHashJoin [invoice_id" in text
+    assert fact_sales_between(read, "2030-01-01", "2030-01-02").count() == 10
+    whole = fact_sales(*(read(n) for n in ("invoice", "invoice_line", "customer")))
+    assert fact_sales_between(read).count() == whole.count() == 1010
+
+
+def test_ranges_that_overlap_are_read_once(spark):
+    rows = [(1, 1, datetime(2024, 1, 1)), (9, 1, datetime(2024, 1, 1)), (5, 1, None), (20, 1, None)]
+    assert key_ranges(spark.createDataFrame(rows, INVOICE)) == (4, [(1, 20)])
+    rows[2:] = [(30, 1, None)]
+    assert key_ranges(spark.createDataFrame(rows, INVOICE)) == (3, [(1, 9), (30, 30)])
+    assert key_ranges(spark.createDataFrame([], INVOICE)) == (0, [])
 
 
 def test_snapshot_copies_everything(spark):

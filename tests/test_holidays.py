@@ -61,3 +61,20 @@ def test_holidays_derived_from_the_flagged_frame(spark):
         orders, "day", holidays_co(orders.filter("day IS NOT NULL").select(F.year("day").alias("year")))
     )
     assert {r.id: r.IsHoliday for r in flagged.collect()} == {1: True, 2: False, 3: False}
+
+
+# Public holidays of Colombia as published, as month * 100 + day.
+PUBLISHED = {
+    2019: [101, 107, 325, 418, 419, 501, 603, 624, 701, 720, 807, 819, 1014, 1104, 1111, 1208, 1225],
+    2023: [101, 109, 320, 406, 407, 501, 522, 612, 619, 703, 720, 807, 821, 1016, 1106, 1113, 1208, 1225],
+    2024: [101, 108, 325, 328, 329, 501, 513, 603, 610, 701, 720, 807, 819, 1014, 1104, 1111, 1208, 1225],
+    2025: [101, 106, 324, 417, 418, 501, 602, 623, 630, 720, 807, 818, 1013, 1103, 1117, 1208, 1225],
+}
+
+
+def test_published_holidays_of_several_years(spark):
+    years = spark.createDataFrame([(y,) for y in PUBLISHED], "year int")
+    found = {y: set() for y in PUBLISHED}
+    for row in holidays_co(years).collect():
+        found[row.holiday_date.year].add(row.holiday_date.month * 100 + row.holiday_date.day)
+    assert {y: sorted(days) for y, days in found.items()} == PUBLISHED

@@ -1,7 +1,8 @@
 from pyspark.sql import functions as F
 
 from salesmart.functions.values import full_name
-from salesmart.operators.lookups import bounded_broadcast, lookup_chain
+from salesmart.operators.calendar import flag_holidays
+from salesmart.operators.lookups import bounded_broadcast, hot_keys, lookup_chain, salted_join
 from salesmart.operators.mapping import apply_mapping
 from salesmart.operators.topk import top_k, top_k_per_group
 from salesmart.plans.dimensions import dim_customer, dim_track
@@ -90,6 +91,53 @@ def test_broadcast_only_below_the_bound(spark, conf, plan):
     assert beyond.count() == 50
 
 
+def test_a_hot_key_is_dealt_evenly_under_default_settings(spark, conf, plan):
+    """A third of the rows under one key, a third under null, in a join too large to broadcast."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        # These rows would fit in one task; keep all of them to see how they are dealt.
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
+    n = 600_000
+    rows = spark.range(n, numPartitions=8).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 2, F.col("id")).alias("key"),
+    )
+    lookup = spark.range(n).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    joined = salted_join(rows, lookup, "key", "left")
+    assert "xxhash64" in plan(joined)
+    per_task = joined.where("key IS NOT NULL").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in per_task) <= 2 * (2 * n / 3) / 8
+    totals = joined.agg(F.count("*"), F.countDistinct("id"), F.sum("value")).first()
+    assert totals[:] == (n, n, sum(14 if i % 3 == 0 else 2 * i for i in range(n) if i % 3 != 1))
+    inner = salted_join(rows, lookup, "key")
+    assert inner.count() == n - n // 3
+    assert hot_keys(rows, "key").keys() == {7}
+    assert hot_keys(lookup, "key") == {}
+
+
+def test_lookups_are_broadcast_when_the_planner_cannot_know_their_size(spark, conf, plan, tmp_path):
+    conf(spark__sql__autoBroadcastJoinThreshold="2KB", spark__sql__adaptive__autoBroadcastJoinThreshold="2KB")
+    spark.range(20_000).selectExpr("id AS k", "id % 5 AS kind", "CAST('2024-01-01' AS DATE) AS day").write.parquet(
+        str(tmp_path / "t")
+    )
+    frame = spark.read.parquet(str(tmp_path / "t"))
+    kinds = frame.select("kind").distinct().withColumn("name", F.concat(F.lit("n"), "kind"))
+    joined = lookup_chain(frame, [(kinds, "kind")])
+    flagged = flag_holidays(frame, "day", frame.select(F.col("day").alias("holiday_date")).distinct())
+    for result in (joined, flagged):
+        assert result.count() == 20_000
+        assert "BroadcastHashJoin" in plan(result)
+        assert "SortMergeJoin" not in plan(result)
+
+
+def test_wide_rows_are_not_broadcast(spark):
+    frame = spark.range(1000).withColumn("text", F.repeat(F.lit("x"), 100_000))
+    assert bounded_broadcast(frame) is frame
+    assert bounded_broadcast(frame.limit(10)) is not frame
+
+
 def test_top_k_per_group(spark, plan):
     frame = spark.createDataFrame(
         [(1, "b", 5), (1, "a", 5), (1, None, 5), (1, "c", 4), (2, None, 1)],

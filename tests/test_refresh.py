@@ -1,6 +1,7 @@
 import uuid
 from datetime import date, datetime
 from decimal import Decimal
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -18,7 +19,13 @@ from salesmart.plans.refresh import (
 from salesmart.plans.reports import REPORTS, Star
 from salesmart.schemas import DATE_PARTITIONS, TABLES
 from salesmart.sinks.parquet import gather_partitions, write_partitions
-from salesmart.sources.tables import SOURCE_KEYS, curated_tables, parquet_tables
+from salesmart.sinks.versions import versions
+from salesmart.sources.tables import (
+    SOURCE_KEYS,
+    curated_tables,
+    parquet_tables,
+    whole_customer_history,
+)
 
 SOURCES = {
     "customer": (
@@ -113,13 +120,82 @@ def test_replace_drops_days_without_sales(spark, read, base):
     refresh_facts(read, base)
     assert days() == 10
     refresh_facts(later, base)
-    assert days() == 10
+    assert days() == 8
+    refresh_facts(read, base)
     refresh_facts(later, base, replace=True)
     assert days() == 8
     with pytest.raises(ValueError):
         refresh_facts(read, base, "2024-01-01", replace=True)
 
 
+def test_a_bounded_load_drops_withdrawn_days_of_its_range_only(spark, read, base):
+    def fewer(name):
+        return read(name).filter("invoice_id % 5 <> 3") if name == "invoice" else read(name)
+
+    def days():
+        sales = curated_tables(spark, base)("fact_sales")
+        return {r.InvoiceDateKey for r in sales.select("InvoiceDateKey").distinct().collect()}
+
+    refresh_facts(read, base)
+    assert {20240104, 20240204} <= days()
+    refresh_facts(fewer, base, "2024-01-01", "2024-01-31")
+    assert 20240104 not in days()
+    assert 20240204 in days()
+
+
+def test_redated_sales_are_counted_once(spark, read, base):
+    def later(name):
+        frame = read(name)
+        if name != "invoice":
+            return frame
+        return frame.withColumn("invoice_date", F.expr("invoice_date + INTERVAL 40 DAYS"))
+
+    refresh_facts(later, base)
+    refresh_facts(read, base)
+    sales = curated_tables(spark, base)("fact_sales")
+    assert sales.count() == 40
+    assert sales.filter("InvoiceDateKey > 20240229").count() == 0
+
+
+def test_a_bounded_load_takes_undated_sales_along(spark, read, base):
+    def undated(name):
+        frame = read(name)
+        if name != "invoice":
+            return frame
+        return frame.withColumn("invoice_date", F.expr("IF(invoice_id = 19, NULL, invoice_date)"))
+
+    refresh_facts(undated, base, "2024-01-03", "2024-01-03")
+    sales = curated_tables(spark, base)("fact_sales")
+    assert sales.filter("InvoiceDateKey IS NULL").count() == 2
+    assert {r.InvoiceDateKey for r in sales.select("InvoiceDateKey").distinct().collect()} == {None, 20240103}
+    refresh_facts(read, base, "2024-01-03", "2024-01-03")
+    assert curated_tables(spark, base)("fact_sales").filter("InvoiceDateKey IS NULL").count() == 0
+
+
+def test_a_failed_replacement_leaves_the_former_rows(spark, read, base):
+    refresh_dimensions(read, base)
+    refresh_calendar(spark, base, "2024-01-01", "2024-01-03")
+
+    def broken(name):
+        frame = read(name)
+        if name not in ("customer", "track"):
+            return frame
+        column = frame.columns[1]
+        return frame.withColumn(column, F.expr("CAST(raise_error('lost') AS STRING)"))
+
+    with pytest.raises(Exception, match="lost"):
+        refresh_dimensions(broken, base)
+    tables = curated_tables(spark, base)
+    assert (tables("dim_customer").count(), tables("dim_track").count()) == (4, 4)
+    assert tables("dim_date").count() == 3
+
+
+def test_older_versions_are_removed(spark, read, base):
+    for _ in range(4):
+        refresh_dimensions(read, base)
+    assert len(versions(spark, f"{base}/dim_track")) == 2
+
+
 def test_a_null_date_is_stored_and_read_back(spark, read, base):
     def undated(name):
         no_date = F.lit(None).cast("timestamp")
@@ -211,7 +287,7 @@ def test_discovery_after_a_reload_and_a_replacement(spark, database, read, base)
     def fewer(name):
         return read(name).filter("invoice_id % 5 <> 3") if name == "invoice" else read(name)
 
-    refresh_facts(fewer, base, replace=True)
+    refresh_facts(fewer, base)
     discover_partitions(spark, database)
     assert spark.table(sales).count() == 32
     assert spark.sql(f"SHOW PARTITIONS {sales}").count() == 8
@@ -247,16 +323,67 @@ def test_a_calendar_filter_prunes_fact_partitions(spark, database, conf, plan):
         assert "dynamicpruning" in fact_scan
 
 
-def test_views_do_not_broadcast_a_large_calendar(spark, database, conf, plan, monkeypatch):
+def test_views_hold_no_hint_and_follow_the_calendar(spark, database, conf, plan, base):
     discover_partitions(spark, database)
-    conf(spark__sql__autoBroadcastJoinThreshold="-1")
     register_views(spark, database)
-    assert "BroadcastHashJoin" in plan(spark.table(f"{database}.v_best_sales_month"))
-    monkeypatch.setattr("salesmart.catalog.views.MAX_BROADCAST_ROWS", 59)
-    register_views(spark, database)
-    unhinted = spark.table(f"{database}.v_best_sales_month")
-    assert "BroadcastHashJoin" not in plan(unhinted)
-    assert unhinted.count() == 2
+    stored = spark.sql(f"SHOW CREATE TABLE {database}.v_best_sales_month").first()[0]
+    assert "BROADCAST" not in stored
+    conf(spark__sql__autoBroadcastJoinThreshold="-1")
+    view = spark.table(f"{database}.v_best_sales_month")
+    assert "BroadcastHashJoin" not in plan(view)
+    before = sorted(map(tuple, view.collect()))
+    refresh_calendar(spark, base, "2020-01-01", "2024-02-29")
+    discover_partitions(spark, database)
+    assert spark.table(f"{database}.dim_date").count() > 1500
+    assert sorted(map(tuple, spark.table(f"{database}.v_best_sales_month").collect())) == before
+
+
+def files(base):
+    return sorted(str(p) for p in Path(base).rglob("*.parquet"))
+
+
+def test_dropping_the_database_leaves_the_files(spark, read, base):
+    refresh_all(spark, read, base, start="2024-01-01", end="2024-02-29", as_of="2024-03-01")
+    name = f"mart_{uuid.uuid4().hex}"
+    register_tables(spark, name, base)
+    discover_partitions(spark, name)
+    before = files(base)
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    assert before and files(base) == before
+
+
+def test_tables_can_be_registered_before_they_are_written(spark, read, base, tmp_path):
+    source = ["--target", base, "--source", str(tmp_path / "source")]
+    database = f"mart_{uuid.uuid4().hex}"
+    main(["dimensions", *source])
+    main(["tables", "--target", base, "--database", database])
+    assert spark.table(f"{database}.dim_track").count() == 4
+    assert spark.table(f"{database}.fact_sales").count() == 0
+    assert spark.table(f"{database}.v_best_sales_month").count() == 0
+    main(["calendar", "--target", base, "--start", "2024-01-01", "--end", "2024-02-29"])
+    main(["facts", *source])
+    main(["tables", "--target", base, "--database", database])
+    assert spark.table(f"{database}.dim_date").count() == 60
+    assert spark.table(f"{database}.v_best_sales_month").count() == 2
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_registration_over_another_base_raises(spark, database, tmp_path):
+    with pytest.raises(ValueError, match="registered over"):
+        register_tables(spark, database, str(tmp_path / "other"))
+
+
+def test_further_customer_columns_can_be_read(spark, read, base):
+    def wider(name):
+        frame = read(name)
+        return frame.withColumn("tier", F.lit("vip")) if name == "customer" else frame
+
+    refresh_history(read, base, "2024-01-01")
+    refresh_history(wider, base, "2024-01-02")
+    frame = whole_customer_history(spark, base)
+    tiers = {(r.snapshot_date, r.tier) for r in frame.select("snapshot_date", "tier").collect()}
+    assert tiers == {(date(2024, 1, 1), None), (date(2024, 1, 2), "vip")}
+    assert curated_tables(spark, base)("customer_history").columns == frame.columns[:-1]
 
 
 def test_jobs_build_the_mart_in_order(spark, read, base, tmp_path):
@@ -273,3 +400,9 @@ def test_jobs_build_the_mart_in_order(spark, read, base, tmp_path):
     spark.sql(f"DROP DATABASE {database} CASCADE")
     with pytest.raises(SystemExit):
         main(["calendar", "--target", base, "--start", "yesterday"])
+    days = [("XX", date(2024, 1, 2))]
+    spark.createDataFrame(days, "country string, holiday_date date").write.parquet(str(tmp_path / "days"))
+    given = ["--country", "XX", "--holidays", str(tmp_path / "days")]
+    main(["calendar", "--target", base, "--start", "2024-01-01", "--end", "2024-01-03", *given])
+    calendar = curated_tables(spark, base)("dim_date")
+    assert [r.DateKey for r in calendar.filter("IsHoliday").collect()] == [20240102]

@@ -54,6 +54,17 @@ def test_jdbc_tables_are_read_in_ranges_of_the_split_column():
     ]
 
 
+def test_a_jdbc_range_is_split_by_its_own_bounds():
+    loads = []
+    spark = SimpleNamespace(read=RecordingReader(loads, (300, 400)))
+    jdbc_tables(spark, "jdbc:x", partitions=4).within("invoice_line", "invoice_id", 10, 20)
+    assert loads[-1].items() >= split_options("invoice_id", 10, 20, 4).items()
+    read = jdbc_tables(spark, "jdbc:x", split_on={"invoice_line": "line_id"}, partitions=4)
+    read.within("invoice_line", "invoice_id", 10, 20)
+    assert loads[-2]["query"].endswith("FROM invoice_line WHERE invoice_id BETWEEN 10 AND 20")
+    assert loads[-1].items() >= split_options("line_id", 300, 400, 4).items()
+
+
 def test_an_empty_jdbc_table_is_not_split():
     loads = []
     spark = SimpleNamespace(read=RecordingReader(loads, (None, None)))

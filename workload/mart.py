@@ -1,17 +1,19 @@
-"""A curated mart written from the given tables, loaded and then refreshed once more.
+"""A curated mart, loaded from altered tables first and then refreshed from the given ones.
 
 Each part is written at most once per session and data folder, and only when a query asks for
-it. The second load of every part is what the round-trip queries check: it must neither add
-nor lose rows.
+it. The second load of every part is what the round-trip queries check: nothing of the first may
+be left, and nothing may be missing.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from salesmart.catalog.tables import discover_partitions, register_tables
 from salesmart.catalog.views import register_views
@@ -22,8 +24,8 @@ from salesmart.plans.refresh import (
     refresh_history,
 )
 from salesmart.sinks.scratch import scratch_path
-from salesmart.sources.tables import curated_tables
-from workload.sample import CALENDAR_END, CALENDAR_START, SNAPSHOT_DAY, sample_tables
+from salesmart.sources.tables import ReadTable, curated_tables
+from workload.sample import SNAPSHOT_DAY, order_days, sample_tables
 
 EARLIER_SNAPSHOT_DAY = "2001-12-30"
 RELOADED_DAYS = ("2000-02-01", "2000-02-29")
@@ -47,31 +49,88 @@ def more_write_tasks(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def withdrawn(read: ReadTable) -> ReadTable:
+    """With every seventh invoice ten days after the last day of all: days that have no sales later."""
+
+    def table(name: str) -> DataFrame:
+        frame = read(name)
+        if name != "invoice":
+            return frame
+        last = frame.agg(F.max("invoice_date")).first()[0]
+        moved = F.lit(last).cast("timestamp_ntz") + F.expr("INTERVAL 10 DAYS")
+        return frame.withColumn(
+            "invoice_date", F.when(F.col("invoice_id") % 7 == 0, moved).otherwise(F.col("invoice_date"))
+        )
+
+    return table
+
+
+def redated(read: ReadTable) -> ReadTable:
+    """With the date of every third invoice four days later."""
+
+    def table(name: str) -> DataFrame:
+        frame = read(name)
+        if name != "invoice":
+            return frame
+        later = F.col("invoice_date") + F.expr("INTERVAL 4 DAYS")
+        return frame.withColumn(
+            "invoice_date", F.when(F.col("invoice_id") % 3 == 0, later).otherwise(F.col("invoice_date"))
+        )
+
+    return table
+
+
+def altered(read: ReadTable) -> ReadTable:
+    """Tables that differ visibly in every curated table: what the first load is made from."""
+    changes: dict[str, Callable[[DataFrame], DataFrame]] = {
+        "customer": lambda f: f.filter("customer_id % 3 <> 0").withColumn("company", F.lit("former")),
+        "artist": lambda f: f.withColumn("name", F.concat(F.lit("The "), "name")),
+        "track": lambda f: f.filter("track_id % 5 <> 0"),
+        "invoice_line": lambda f: f.withColumn("quantity", F.col("quantity") + 1),
+        "employee": lambda f: f.filter("employee_id % 2 = 0").withColumn("title", F.lit("former")),
+    }
+    dated = redated(read)
+    return lambda name: changes.get(name, lambda f: f)(dated(name))
+
+
 class SampleMart:
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    """``second``: without the second load the queries show the altered tables (for tests)."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, second: bool = True) -> None:
         self.spark = spark
         self.base = scratch_path(spark, "salesmart")
+        self.sf_dir = sf_dir
         self.source = sample_tables(spark, sf_dir)
+        self.second = second
         self.database: str | None = None
         self._written: set[str] = set()
 
+    @cached_property
+    def days(self) -> tuple:
+        return order_days(self.spark, self.sf_dir)
+
     def _load(self, part: str) -> None:
         if part in self._written:
             return
         if part == "calendar":
-            refresh_calendar(self.spark, self.base, "1994-12-01", "1994-12-31")
-            refresh_calendar(self.spark, self.base, CALENDAR_START, CALENDAR_END)
+            refresh_calendar(self.spark, self.base, "1994-12-01", self.days[0])
+            if self.second:
+                refresh_calendar(self.spark, self.base, *self.days)
         elif part == "dimensions":
-            refresh_dimensions(self.source, self.base)
-            refresh_dimensions(self.source, self.base)
+            refresh_dimensions(altered(self.source), self.base)
+            if self.second:
+                refresh_dimensions(self.source, self.base)
         elif part == "facts":
             with more_write_tasks(self.spark):
-                refresh_facts(self.source, self.base)
-                refresh_facts(self.source, self.base, *RELOADED_DAYS)
+                refresh_facts(altered(self.source), self.base)
+                if self.second:
+                    refresh_facts(self.source, self.base)
+                    refresh_facts(self.source, self.base, *RELOADED_DAYS)
         elif part == "history":
-            refresh_history(self.source, self.base, EARLIER_SNAPSHOT_DAY)
-            refresh_history(self.source, self.base, SNAPSHOT_DAY)
-            refresh_history(self.source, self.base, SNAPSHOT_DAY)
+            for day in (EARLIER_SNAPSHOT_DAY, SNAPSHOT_DAY):
+                refresh_history(altered(self.source), self.base, day)
+                if self.second:
+                    refresh_history(self.source, self.base, day)
         self._written.add(part)
 
     def table(self, name: str) -> DataFrame:

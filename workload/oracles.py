@@ -6,8 +6,8 @@ algorithm (Gauss, valid 1900-2099).
 
 from __future__ import annotations
 
-from workload.mart import EARLIER_SNAPSHOT_DAY
-from workload.sample import CALENDAR_END, CALENDAR_START, SNAPSHOT_DAY
+from workload.mart import EARLIER_SNAPSHOT_DAY, RELOADED_DAYS
+from workload.sample import SNAPSHOT_DAY
 
 CUSTOMER = """
 customer_src AS (
@@ -30,11 +30,13 @@ track_dim AS (
   FROM part
   LEFT JOIN (SELECT DISTINCT p_size AS album_id, 'Album ' || CAST(p_size AS VARCHAR) AS Album
              FROM part) ON album_id = p_size
-  LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> 24)
+  LEFT JOIN (SELECT n_nationkey, n_name FROM nation WHERE n_nationkey <> {artist})
     ON n_nationkey = album_id % 25
-  LEFT JOIN (SELECT DISTINCT p_brand AS MediaType FROM part WHERE p_brand <> 'Brand#13')
+  LEFT JOIN (SELECT DISTINCT p_brand AS MediaType FROM part WHERE p_brand <> '{media}')
     ON MediaType = p_brand
 )"""
+GAP_TRACK = TRACK.replace("{artist}", "24").replace("{media}", "Brand#13")
+TRACK = TRACK.replace(" WHERE n_nationkey <> {artist}", "").replace(" WHERE p_brand <> '{media}'", "")
 
 FACT = f"""{CUSTOMER},
 fact AS (
@@ -76,7 +78,6 @@ def days(first: str, last: str) -> str:
     )
 
 
-FIXED_DAYS = days(f"'{CALENDAR_START}'", f"'{CALENDAR_END}'")
 ORDER_DAYS = days(
     "(SELECT CAST(min(o_orderdate) AS DATE) FROM orders)",
     "(SELECT CAST(max(o_orderdate) AS DATE) FROM orders)",
@@ -153,18 +154,19 @@ date_dim AS (
   FROM days
 )"""
 
-STAR = f"WITH {SALES}, {TRACK}, {FIXED_DAYS}, {DATE_DIM}"
+STAR = f"WITH {SALES}, {TRACK}, {ORDER_DAYS}, {DATE_DIM}"
+GAP_STAR = f"WITH {SALES}, {GAP_TRACK}, {ORDER_DAYS}, {DATE_DIM}"
 
 
-def _top_artist(units: str, name: str) -> str:
-    return f"""{STAR}
-SELECT "Year", "Month", Artist, units AS {name} FROM (
-  SELECT "Year", "Month", Artist, CAST(sum({units}) AS BIGINT) AS units,
-         row_number() OVER (PARTITION BY "Year", "Month"
-                            ORDER BY sum({units}) DESC, Artist ASC NULLS LAST) AS rn
+def _top_artist(units: str, name: str, star: str = STAR) -> str:
+    """The month's maximum, then the least name with it; a null name only if there is no other."""
+    return f"""{star}, totals AS (
+  SELECT "Year", "Month", Artist, CAST(sum({units}) AS BIGINT) AS units
   FROM fact f JOIN date_dim d ON f.InvoiceDateKey = d.DateKey
-  JOIN track_dim t ON f.TrackKey = t.TrackKey
-  GROUP BY "Year", "Month", Artist) WHERE rn = 1"""
+  JOIN track_dim t ON f.TrackKey = t.TrackKey GROUP BY "Year", "Month", Artist),
+most AS (SELECT "Year" AS y, "Month" AS m, max(units) AS top FROM totals GROUP BY "Year", "Month")
+SELECT "Year", "Month", min(Artist) AS Artist, max(units) AS {name}
+FROM totals JOIN most ON "Year" = y AND "Month" = m AND units = top GROUP BY y, m, "Year", "Month" """
 
 
 def _totals(star: str, group: str, units: str, lines: str = "", revenue: str = "") -> str:
@@ -196,6 +198,19 @@ ORACLES: dict[str, str] = {
     "dim_track": f"WITH {TRACK} SELECT * FROM track_dim",
     "dim_date": f"WITH {ORDER_DAYS}, {DATE_DIM} SELECT * FROM date_dim",
     "fact_sales": f"WITH {SALES} SELECT * FROM fact",
+    "fact_one_month": f"""WITH {SALES} SELECT * FROM fact
+        WHERE InvoiceDateKey BETWEEN {RELOADED_DAYS[0].replace("-", "")}
+          AND {RELOADED_DAYS[1].replace("-", "")}""",
+    "fact_bounded_undated": f"""WITH {SALES.replace(
+        "FROM lineitem JOIN orders ON",
+        "FROM lineitem JOIN (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 50 <> 0 "
+        "THEN o_orderdate END AS o_orderdate FROM orders) ON")} SELECT * FROM fact
+        WHERE InvoiceDateKey IS NULL OR InvoiceDateKey BETWEEN {RELOADED_DAYS[0].replace("-", "")}
+          AND {RELOADED_DAYS[1].replace("-", "")}""",
+    "fact_reload_withdrawn": f"""WITH {SALES} SELECT InvoiceDateKey, count(*) AS sale_lines,
+        CAST(sum(Quantity) AS BIGINT) AS units FROM fact GROUP BY InvoiceDateKey""",
+    "fact_reload_redated": f"""WITH {SALES} SELECT InvoiceDateKey, count(*) AS sale_lines,
+        CAST(sum(Quantity) AS BIGINT) AS units FROM fact GROUP BY InvoiceDateKey""",
     "customer_snapshot": f"""WITH {CUSTOMER} SELECT {_CUSTOMER_COLUMNS},
         DATE '{SNAPSHOT_DAY}' AS snapshot_date FROM customer_src""",
     "employee_reports_snapshot": f"""WITH {EMPLOYEE}
@@ -223,11 +238,11 @@ ORACLES: dict[str, str] = {
         "{customers}", "(SELECT * FROM customer_src WHERE company <> 'MACHINERY')")}
         SELECT EmployeeKey, count(*) AS sale_lines, CAST(sum(Quantity) AS BIGINT) AS units
         FROM fact GROUP BY EmployeeKey""",
-    "track_lookup_unmatched": f"""WITH {TRACK}
+    "track_lookup_unmatched": f"""WITH {GAP_TRACK}
         SELECT Artist, MediaType, count(*) AS tracks FROM track_dim GROUP BY Artist, MediaType""",
     "inner_calendar_gap": _totals(_GAP_STAR, _MONTH, "tracks_sold", "sale_lines", "revenue"),
     "weekday_ranking": _totals(STAR, "DayOfWeek", "tracks_sold", "sale_lines"),
-    "top_artist_null_tiebreak": _top_artist("0", "tracks_sold"),
+    "top_artist_null_tiebreak": _top_artist("0", "tracks_sold", GAP_STAR),
     "report_tracks_sold_by_day": _totals(STAR, "FullDate", "tracks_sold") + " ORDER BY FullDate",
     "report_top_artist_by_month": _top_artist("Quantity", "tracks_sold") + f" ORDER BY {_MONTH}",
     "report_best_day_of_week": _totals(STAR, "DayOfWeek", "tracks_sold", "sale_lines")
@@ -248,10 +263,10 @@ ORACLES: dict[str, str] = {
     "employee_snapshot_roundtrip": f"""WITH {EMPLOYEE}
         SELECT reports.*, snapshot_date FROM reports CROSS JOIN {_TWO_DAYS}""",
     "dim_full_refresh": f"WITH {TRACK} SELECT * FROM track_dim",
-    "dim_date_overwrite": f"""WITH {FIXED_DAYS}, {DATE_DIM}
+    "dim_date_overwrite": f"""WITH {ORDER_DAYS}, {DATE_DIM}
         SELECT date_dim.*, count(o_orderkey) AS orders FROM date_dim
         LEFT JOIN orders ON CAST(o_orderdate AS DATE) = CAST(FullDate AS DATE) GROUP BY ALL""",
-    "partition_discovery": f"""WITH {SALES}, {EMPLOYEE}, {FIXED_DAYS}
+    "partition_discovery": f"""WITH {SALES}, {EMPLOYEE}, {ORDER_DAYS}
         SELECT 'dim_date' AS table_name, CAST(0 AS BIGINT) AS rows_before, count(*) AS rows_after
         FROM days
         UNION ALL SELECT 'fact_sales', 0, count(*) FROM fact
@@ -261,7 +276,7 @@ ORACLES: dict[str, str] = {
         SELECT EmployeeKey, partition_year, CAST(sum(Quantity) AS BIGINT) AS units,
                CAST(sum(UnitPrice) AS DECIMAL(20,2)) AS prices
         FROM fact GROUP BY EmployeeKey, partition_year""",
-    "mart_refresh": f"""WITH {SALES}, {TRACK}, {EMPLOYEE}, {FIXED_DAYS}, {DATE_DIM}
+    "mart_refresh": f"""WITH {SALES}, {TRACK}, {EMPLOYEE}, {ORDER_DAYS}, {DATE_DIM}
         SELECT 'dim_date' AS table_name, count(*) AS table_rows,
                CAST(sum(DateKey) AS BIGINT) AS key_sum FROM date_dim
         UNION ALL SELECT 'dim_customer', count(*), CAST(sum(customer_id) AS BIGINT) FROM customer_src

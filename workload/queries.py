@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -16,7 +15,7 @@ from salesmart.functions.values import line_amount
 from salesmart.operators.calendar import calendar_table, date_span, dim_date, flag_holidays
 from salesmart.operators.holidays import holidays_co
 from salesmart.plans.dimensions import dim_customer
-from salesmart.plans.facts import fact_sales
+from salesmart.plans.facts import fact_sales, fact_sales_between
 from salesmart.plans.history import customer_history, employee_reports
 from salesmart.plans.reports import (
     REPORTS,
@@ -25,8 +24,11 @@ from salesmart.plans.reports import (
     calendar_totals,
     top_artist_by_month,
 )
+from salesmart.plans.refresh import refresh_facts
 from salesmart.schemas import DATE_PARTITIONS, TABLES
-from workload.mart import sample_mart
+from salesmart.sinks.scratch import scratch_path
+from salesmart.sources.tables import ReadTable, curated_tables
+from workload.mart import RELOADED_DAYS, more_write_tasks, redated, sample_mart, withdrawn
 from workload.sample import (
     SNAPSHOT_DAY,
     SampleStar,
@@ -34,6 +36,7 @@ from workload.sample import (
     sample_fact,
     sample_tables,
     sample_tracks,
+    with_gaps,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,6 +75,25 @@ def q_employee_reports_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return employee_reports(sample_tables(spark, sf_dir)("employee"), SNAPSHOT_DAY)
 
 
+def q_fact_one_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load of some days reads: their invoices and the lines in the range of their ids."""
+    return fact_sales_between(sample_tables(spark, sf_dir), *RELOADED_DAYS)
+
+
+def q_fact_bounded_undated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A load of some days takes the sales without a date along."""
+    read = sample_tables(spark, sf_dir)
+
+    def undated(name: str) -> DataFrame:
+        frame = read(name)
+        if name != "invoice":
+            return frame
+        known = F.when(F.col("invoice_id") % 50 != 0, F.col("invoice_date"))
+        return frame.withColumn("invoice_date", known)
+
+    return fact_sales_between(undated, *RELOADED_DAYS)
+
+
 # -- dates, holidays and amounts ------------------------------------------------------------
 
 
@@ -124,7 +146,7 @@ def q_left_lookup_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_track_lookup_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tracks = sample_tracks(sample_tables(spark, sf_dir))
+    tracks = sample_tracks(with_gaps(sample_tables(spark, sf_dir)))
     return tracks.groupBy("Artist", "MediaType").agg(F.count("*").alias("tracks"))
 
 
@@ -147,7 +169,7 @@ def q_weekday_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_top_artist_null_tiebreak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With no units sold all artists of a month tie, the unknown one among them."""
-    star = SampleStar(spark, sf_dir)
+    star = SampleStar(spark, sf_dir, gaps=True)
     unsold = star.fact_sales.withColumn("Quantity", F.lit(0))
     return top_artist_by_month(Star(unsold, star.dim_date, star.dim_track))
 
@@ -164,6 +186,33 @@ def q_fact_partition_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _per_day(sales: DataFrame) -> DataFrame:
+    return sales.groupBy("InvoiceDateKey").agg(
+        F.count("*").alias("sale_lines"), F.sum("Quantity").alias("units")
+    )
+
+
+def _reloaded(spark: SparkSession, first: ReadTable, read: ReadTable, bounds: tuple) -> DataFrame:
+    """Sales per day after a load from ``first`` and one from ``read``."""
+    base = scratch_path(spark, "reload")
+    with more_write_tasks(spark):
+        refresh_facts(first, base)
+        refresh_facts(read, base, *bounds)
+    return _per_day(curated_tables(spark, base)("fact_sales"))
+
+
+def q_fact_reload_withdrawn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days whose sales were all withdrawn are gone after a load of their range."""
+    read = sample_tables(spark, sf_dir)
+    return _reloaded(spark, withdrawn(read), read, ("1900-01-01", "2100-01-01"))
+
+
+def q_fact_reload_redated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales that moved to another day are counted once after a load without bounds."""
+    read = sample_tables(spark, sf_dir)
+    return _reloaded(spark, redated(read), read, ())
+
+
 def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_mart(spark, sf_dir).table("customer_history")
 
@@ -197,7 +246,8 @@ def q_partition_discovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     partitioned = [name for name, table in TABLES.items() if table.partition_by]
     for name in partitioned:
         mart.table(name)
-    database = f"salesmart_{uuid.uuid4().hex}"
+    database = "salesmart_" + mart.base.rstrip("/").removesuffix("/data")[-8:].replace("-", "_") + "_found"
+    spark.sql(f"DROP DATABASE IF EXISTS {database} CASCADE")  # of a former call
     register_tables(spark, database, mart.base)
     before = {name: spark.table(f"{database}.{name}").count() for name in partitioned}
     discover_partitions(spark, database)

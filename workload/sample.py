@@ -1,23 +1,23 @@
 """The given Parquet tables in the shape of the transactional source tables.
 
-The mapping is the one in FIXTURES.md, section 4. Artist 24 and media type ``Brand#13`` are
-left out so that lookups have unmatched rows.
+The mapping is the one in FIXTURES.md, section 4. ``with_gaps`` leaves out an artist and a media type,
+for the queries about lookups without a match.
 """
 
 from __future__ import annotations
 
+from datetime import date
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.operators.calendar import dim_date
+from salesmart.operators.calendar import day_bounds, dim_date
 from salesmart.plans.dimensions import dim_track
 from salesmart.plans.facts import fact_sales
 from salesmart.sources.tables import ReadTable
 
-# Calendar covering the given orders, and the day of the sample snapshots.
-CALENDAR_START, CALENDAR_END = "1995-01-01", "2001-12-31"
+# Fixed value: the day of the sample snapshots.
 SNAPSHOT_DAY = "2001-12-31"
 
 
@@ -85,17 +85,13 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> ReadTable:
         )
 
     def artist() -> DataFrame:
-        return (
-            table("nation")
-            .filter("n_nationkey <> 24")
-            .selectExpr("n_nationkey AS artist_id", "n_name AS name")
-        )
+        return table("nation").selectExpr("n_nationkey AS artist_id", "n_name AS name")
 
     def genre() -> DataFrame:
         return table("part").select("p_type").distinct().selectExpr("p_type AS genre_id", "p_type AS name")
 
     def media_type() -> DataFrame:
-        brands = table("part").select("p_brand").distinct().filter("p_brand <> 'Brand#13'")
+        brands = table("part").select("p_brand").distinct()
         return brands.selectExpr("p_brand AS media_type_id", "p_brand AS name")
 
     def invoice() -> DataFrame:
@@ -141,6 +137,17 @@ def sample_tables(spark: SparkSession, sf_dir: str) -> ReadTable:
     return lambda name: makers[name]()
 
 
+def with_gaps(read: ReadTable) -> ReadTable:
+    """Without artist 24 and media type ``Brand#13``, so that some tracks have none."""
+    gaps = {"artist": "artist_id <> 24", "media_type": "media_type_id <> 'Brand#13'"}
+    return lambda name: read(name).filter(gaps[name]) if name in gaps else read(name)
+
+
+def order_days(spark: SparkSession, sf_dir: str) -> tuple[date, date]:
+    """First and last day of the given orders."""
+    return day_bounds(given(spark, sf_dir, "orders"), "o_orderdate")
+
+
 def sample_fact(read: ReadTable) -> DataFrame:
     return fact_sales(read("invoice"), read("invoice_line"), read("customer"))
 
@@ -152,9 +159,12 @@ def sample_tracks(read: ReadTable) -> DataFrame:
 class SampleStar:
     """Fact, calendar and tracks computed straight from the given tables, each when asked for."""
 
-    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+    def __init__(self, spark: SparkSession, sf_dir: str, gaps: bool = False) -> None:
         self._spark = spark
+        self._sf_dir = sf_dir
         self._read = sample_tables(spark, sf_dir)
+        if gaps:
+            self._read = with_gaps(self._read)
 
     @cached_property
     def fact_sales(self) -> DataFrame:
@@ -162,7 +172,7 @@ class SampleStar:
 
     @cached_property
     def dim_date(self) -> DataFrame:
-        return dim_date(self._spark, CALENDAR_START, CALENDAR_END)
+        return dim_date(self._spark, *order_days(self._spark, self._sf_dir))
 
     @cached_property
     def dim_track(self) -> DataFrame:
