@@ -1,0 +1,87 @@
+import re
+
+import pytest
+
+from salesmart.llm import url_filter
+from salesmart.llm.queries import QUERIES, URL_RULES
+from tests.llm.conftest import SF_DIR
+
+PAGES = "page_id long, url string, html string"
+
+
+def judged(spark, rows, **more):
+    frame = url_filter.judge(spark.createDataFrame(rows, PAGES), URL_RULES, **more)
+    return {r.page_id: r for r in frame.collect()}
+
+
+def test_hosts_paths_and_rules(spark):
+    urls = [
+        None, "", "no scheme", "http://", "HTTP://WWW.Example.ORG/es/x?q#f", "https://example.org/es",
+        "https://a.b.example.org/en/12", "https://notexample.org/en/12", "http://x.com/fr/1", "http://x.com/de/",
+        "http://x.com?u=http://y.org/", "http://x.com#/de/", "ftp://com/de/a", "http://x.net/de/", "x://\n.org/\n/a",
+    ]
+    found = judged(spark, [(i, u, None) for i, u in enumerate(urls)])
+    got = [(r.host, r.path, r.rule, r.verdict) for _, r in sorted(found.items())]
+    assert got == [
+        ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
+        ("www.example.org", "/es/x", "example.org/es/", "block"), ("example.org", "/es", "org/", "allow"),
+        ("a.b.example.org", "/en/12", "example.org/en/1", "block"), ("notexample.org", "/en/12", "org/", "allow"),
+        ("x.com", "/fr/1", "com/fr/", "allow"), ("x.com", "/de/", "com/de/", "block"), ("x.com", "", None, "allow"),
+        ("x.com", "", None, "allow"), ("com", "/de/a", "com/de/", "block"), ("x.net", "/de/", None, "allow"),
+        ("\n.org", "/\n/a", "org/", "allow"),
+    ]
+
+
+def test_blocks_reach_aliases_and_an_explicit_allow_wins(spark):
+    canonical = '<html><link rel="canonical" href="http://bad.com/de/1"></html>'
+    refresh = "<meta http-equiv=refresh content='0; url=/hop'>"
+    found = judged(
+        spark,
+        [
+            (1, "http://bad.com/de/1", None),
+            (2, "http://mirror.net/a", canonical),
+            (3, "http://mirror.net/a?utm_source=x#top", None),
+            (4, "http://good.org/b", canonical),
+            (5, "http://start.net/", refresh),
+            (6, "https://www.start.net/hop", '<LINK href="http://mirror.net/a/" REL=canonical>'),
+            (7, "http://start.net/other", None),
+            (8, "http://known.com/fr/2", canonical),
+            (8, "http://known.com/fr/2", canonical),
+        ],
+    )
+    assert {k: r.verdict for k, r in found.items()} == {
+        1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow",
+    }
+    assert len({found[k].component for k in (1, 2, 3, 4, 5, 6, 8)}) == 1
+
+
+def test_further_links_nulls_and_an_empty_table(spark):
+    links = spark.createDataFrame(
+        [("http://a.net/1", "http://b.com/de/9"), (None, "http://a.net/1"), ("http://a.net/1", None)],
+        "url string, target string",
+    )
+    found = judged(spark, [(1, "http://a.net/1/", None), (2, None, None)], links=links)
+    assert (found[1].verdict, found[2].verdict) == ("block", "allow")
+    assert judged(spark, []) == {}
+    frame = spark.createDataFrame([(1, "http://a.com/de/", "mine")], "page_id long, url string, host string")
+    assert [(r.host, r.verdict) for r in url_filter.judge(frame, URL_RULES, html=None).collect()] == [("a.com", "block")]
+
+
+def test_too_many_rules_are_refused(spark):
+    rules = [url_filter.Rule("block", f"h{i}.com", "/") for i in range(1001)]
+    with pytest.raises(ValueError):
+        url_filter.judge(spark.createDataFrame([], PAGES), rules)
+
+
+def test_query_equals_plain_python(spark):
+    pages = {r.page_id: r.url for r in spark.read.parquet(f"{SF_DIR}/pages.parquet").collect()}
+    rows = QUERIES["op3_url_filter"](spark, SF_DIR).collect()
+    assert len(rows) == len(pages)
+    for row in rows:
+        match = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", pages[row.page_id] or "")
+        host, path = (match[1].lower(), match[2]) if match else ("", "")
+        fits = [r for r in URL_RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fits, key=lambda r: len(r.name), default=None)
+        assert (row.host, row.path, row.rule) == (host, path, best.name if best else None)
+        if best:
+            assert row.verdict == best.verdict
