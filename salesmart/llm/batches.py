@@ -9,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from salesmart.llm.steps import column as named_column
+
 #: Bytes of text handed to Python code at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
 
@@ -44,19 +46,18 @@ def with_columns(
         raise ValueError(f"{column} is read and cannot be replaced")
     kept = [f for f in frame.schema if f.name.lower() not in names]
     schema = T.StructType([*kept, *added])
+    # Plain names on the way to Python: PySpark looks columns up by their unquoted names.
+    plain = [f"c{k}" for k in range(len(kept))]
+    read = plain[[f.name.lower() for f in kept].index(column.lower())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compute = setup()
         for batch in batches:
-            for part in slices(batch, column):
-                columns = compute(part.column(column))
+            for part in slices(batch, read):
+                columns = compute(part.column(read))
                 yield pa.RecordBatch.from_arrays(
-                    [*(part.column(f.name) for f in kept), *columns],
-                    names=[f.name for f in schema],
+                    [*part.columns, *columns], names=[f.name for f in schema]
                 )
 
-    return frame.select(*(_quoted(f.name) for f in kept)).mapInArrow(run, schema)
-
-
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+    named = (named_column(f.name).alias(c) for f, c in zip(kept, plain, strict=True))
+    return frame.select(*named).mapInArrow(run, schema)

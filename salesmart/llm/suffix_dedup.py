@@ -167,13 +167,17 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
     cover = _cover(length)
     density = len(cover[1]) / cover[0]
     plan = exchange.layout(docs, text, density)
-    new = ("n_bytes", "removed", "kept", "__chunk")
-    own = docs.select(*(column(c) for c in docs.columns if c.lower() not in new))
-    chunked = exchange.dealt(own, None, text, plan.chunks)
+    new = ("n_bytes", "removed", "kept")
+    kept_fields = [f for f in docs.schema if f.name.lower() not in new]
+    # Plain names on the way to Python: PySpark looks columns up by their unquoted names.
+    names_ = [f"c{k}" for k in range(len(kept_fields))]
+    text_ = names_[[f.name.lower() for f in kept_fields].index(text.lower())]
+    own = docs.select(*(column(f.name).alias(c) for f, c in zip(kept_fields, names_, strict=True)))
+    chunked = exchange.dealt(own, None, text_, plan.chunks)
     buckets = plan.buckets
 
     def sample(table: pa.Table) -> Sample:
-        return Sample(list(exchange.texts(table, text)), length, cover, buckets)
+        return Sample(list(exchange.texts(table, text_)), length, cover, buckets)
 
     def chunk_of(table: pa.Table) -> int:
         return table.column("__chunk")[0].as_py()
@@ -187,7 +191,6 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
     def send_rest(table: pa.Table, answers: pa.Table) -> pa.Table:
         return exchange.blocks(chunk_of(table), _REST, sample(table).rest(answers))
 
-    kept_fields = [f for f in chunked.schema if f.name != "__chunk"]
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
     schema = T.StructType(
         [
@@ -208,7 +211,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
                 left[start:end] = False
             rest.append(data[left].tobytes())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        columns = [table.column(f.name) for f in kept_fields]
+        columns = [table.column(c) for c in names_]
         return pa.table(
             [
                 *columns,
