@@ -1,3 +1,180 @@
-"""DuckDB SQL of the queries that SQL can express."""
+"""DuckDB SQL of the queries that SQL can express on whole tables in reasonable time."""
 
-ORACLES: dict[str, str] = {}
+from __future__ import annotations
+
+from salesmart.llm.quality import RATIOS, SMALLEST_GROUP
+from salesmart.llm.secret_scan import RULES
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_DECONTAMINATE = rf"""
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(
+    translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+),
+doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents
+),
+item_at AS (
+  SELECT item_id, ws, least(10, len(ws)) AS size,
+         unnest(range(1, len(ws) - least(10, len(ws)) + 2)) AS i
+  FROM item WHERE len(ws) > 0
+),
+item_window AS (
+  SELECT DISTINCT item_id, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS words FROM item_at
+),
+sizes AS (SELECT DISTINCT size FROM item_window),
+doc_at AS (
+  SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM doc JOIN sizes ON len(ws) >= size
+),
+hit AS (
+  SELECT d.doc_id, d.i, d.size, w.item_id
+  FROM (SELECT doc_id, i, size, array_to_string(list_slice(ws, i, i + size - 1), ' ') AS words FROM doc_at) d
+  JOIN item_window w ON w.size = d.size AND w.words = d.words
+),
+covered AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS place FROM hit),
+per_doc AS (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS listed
+  FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(per_doc.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(listed, '')) AS items_sha256,
+       coalesce(per_doc.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN per_doc ON per_doc.doc_id = doc.doc_id LEFT JOIN items ON items.doc_id = doc.doc_id
+"""
+
+
+_MEASURES = r"""
+WITH doc AS (
+  SELECT doc_id, lang, source, coalesce(text, '') AS text,
+         coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+),
+line AS (
+  SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM doc)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id
+),
+three AS (
+  SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 2), ' ') AS words
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM doc WHERE len(ws) > 2)
+),
+often AS (SELECT doc_id, words FROM three GROUP BY doc_id, words HAVING count(*) > 1),
+repeated AS (
+  SELECT doc_id, count(*) AS n FROM (
+    SELECT DISTINCT doc_id, unnest(range(i, i + 3)) AS place
+    FROM (SELECT t.doc_id, t.i FROM three t JOIN often o ON o.doc_id = t.doc_id AND o.words = t.words)
+  ) GROUP BY doc_id
+),
+measured AS (
+  SELECT doc.doc_id, lang, source, len(ws) AS n_words, len(array_to_string(ws, '')) AS word_chars,
+         len(text) - len(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words,
+         coalesce(n_lines, 0) AS n_lines, len(text) - len(regexp_replace(text, '\p{Lu}', '', 'g')) AS n_upper,
+         len(text) - len(regexp_replace(text, '\p{L}', '', 'g')) AS n_letters
+  FROM doc LEFT JOIN line ON line.doc_id = doc.doc_id LEFT JOIN repeated ON repeated.doc_id = doc.doc_id
+),
+failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM measured),
+"""
+
+
+def _quality() -> str:
+    """Quartiles of each group's ratios, from its documents and not from merged counts."""
+    values = []
+    for place, rule in enumerate(RATIOS):
+        scaled = (
+            f"{rule.over} * 1000 // {rule.under}"
+            if rule.most <= 4000
+            else f"({rule.over} * 10 // {rule.under}) * 100"
+        )
+        values.append(
+            f"SELECT doc_id, lang, source, base_failed, {place} AS place, '{rule.name}' AS ratio, {rule.slack} AS slack, "
+            f"{rule.low} AS low, least({scaled}, {rule.most}) AS value FROM failing WHERE {rule.under} > 0"
+        )
+
+    def fence(name: str, keys: str) -> str:
+        by = f"{keys}, " if keys else ""
+        return f"""
+{name} AS (
+  SELECT {by}ratio, any_value(low) AS low, any_value(slack) AS slack,
+         min(CASE WHEN 4 * place_in >= n THEN value END) AS q1, min(CASE WHEN 4 * place_in >= 3 * n THEN value END) AS q3
+  FROM (SELECT *, row_number() OVER (PARTITION BY {by}ratio ORDER BY value) AS place_in,
+               count(*) OVER (PARTITION BY {by}ratio) AS n FROM valued WHERE NOT base_failed)
+  GROUP BY {by}ratio HAVING any_value(n) >= {SMALLEST_GROUP}
+)"""
+
+    def limits(name: str) -> tuple[str, str]:
+        away = f"greatest({name}.slack, 3 * ({name}.q3 - {name}.q1))"
+        return (
+            f"CASE WHEN {name}.low THEN {name}.q1 - {away} ELSE -1 END",
+            f"CASE WHEN {name}.low THEN 1099511627776 ELSE {name}.q3 + {away} END",
+        )
+
+    least, most = zip(*(limits(n) for n in ("own", "spoken", "everything")), strict=True)
+    chosen = [
+        f"CASE WHEN own.q1 IS NOT NULL THEN {x[0]} WHEN spoken.q1 IS NOT NULL THEN {x[1]} "
+        f"WHEN everything.q1 IS NOT NULL THEN {x[2]} END"
+        for x in (least, most)
+    ]
+    return f"""{_MEASURES}
+valued AS ({" UNION ALL ".join(values)}),
+{fence("own", "lang, source")},
+{fence("spoken", "lang")},
+{fence("everything", "")},
+outside AS (
+  SELECT doc_id, string_agg(valued.ratio, ',' ORDER BY place) AS failed FROM valued
+  LEFT JOIN own ON own.ratio = valued.ratio AND own.lang IS NOT DISTINCT FROM valued.lang
+    AND own.source IS NOT DISTINCT FROM valued.source
+  LEFT JOIN spoken ON spoken.ratio = valued.ratio AND spoken.lang IS NOT DISTINCT FROM valued.lang
+  LEFT JOIN everything ON everything.ratio = valued.ratio
+  WHERE value < {chosen[0]} OR value > {chosen[1]} GROUP BY doc_id
+)
+SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND failed IS NULL AS kept, coalesce(failed, '') AS failed
+FROM failing f LEFT JOIN outside o ON o.doc_id = f.doc_id
+"""
+
+
+def _secrets() -> str:
+    """Spans from the lengths of what lies between the matches."""
+    found = []
+    for rank, rule in enumerate(RULES):
+        pattern = rule.pattern.replace("'", "''")
+        found.append(
+            f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, "
+            f"string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found, "
+            f"regexp_extract_all(text, '{pattern}', {rule.group}) AS parts "
+            f"FROM doc WHERE regexp_matches(text, '{pattern}')"
+        )
+    return f"""
+WITH doc AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+matched AS ({" UNION ALL ".join(found)}),
+each AS (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM matched),
+span AS (
+  SELECT doc_id, rank, kind, len(array_to_string(list_slice(gaps, 1, i), ''))
+           + len(array_to_string(list_slice(found, 1, i - 1), '')) AS start_at, len(found[i]) AS size
+  FROM each WHERE len(parts[i]) >= least
+),
+listed AS (
+  SELECT doc_id, sum(CASE WHEN rank = 0 THEN 1 ELSE 0 END) AS n_assign,
+         sum(CASE WHEN rank = 1 THEN 1 ELSE 0 END) AS n_access, sum(CASE WHEN rank = 2 THEN 1 ELSE 0 END) AS n_hex,
+         string_agg(CASE WHEN rank < 3 THEN name END, ',' ORDER BY start_at, rank) AS base,
+         string_agg(name, ',' ORDER BY start_at, rank) AS spans
+  FROM (SELECT *, kind || ':' || CAST(start_at AS VARCHAR) || ':' || CAST(start_at + size AS VARCHAR) AS name FROM span)
+  GROUP BY doc_id
+)
+SELECT doc.doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access,
+       CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans
+FROM doc LEFT JOIN listed ON listed.doc_id = doc.doc_id
+"""
+
+
+ORACLES: dict[str, str] = {
+    "op4_decontaminate": _DECONTAMINATE,
+    "op5_quality": _quality(),
+    "op7_secret_scan": _secrets(),
+}
