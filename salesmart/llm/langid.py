@@ -27,7 +27,8 @@ def learn_dictionaries(
     The sample is bounded: at most ``size`` bytes for each of at most ``languages`` languages (more
     are refused). It depends on the texts only, not on their order, partitions or ids. Of a text the
     first 4,000 characters may go into a dictionary. Null languages, and null and empty texts teach
-    nothing; a text that occurs several times is taken once.
+    nothing; a text that occurs several times is taken once. Letters are lower-cased. The languages are
+    in the order of how much text they have.
     """
     taught = docs.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, 4000).alias("text"))
     taught = taught.where(F.col("lang").isNotNull() & (F.length("text") > 0))
@@ -48,12 +49,12 @@ def learn_dictionaries(
         .select("lang", "text", F.pmod(order, F.lit(1_000_000)).alias("place"))
         .distinct()
     )
-    for row in found:
+    for row in sorted(found, key=lambda r: (-r["bytes"], r["lang"])):
         # Ordered by hash and text, cut at the size: a top-k, not a sort of all rows.
         rows = few.where(F.col("lang") == row["lang"]).orderBy("place", "text").limit(size // 16)
         parts, held = [], 0
         for taken in rows.toLocalIterator():
-            part = taken["text"].encode()
+            part = taken["text"].lower().encode()
             parts.append(part[: size - held])
             held += len(part)
             if held >= size:
@@ -64,7 +65,7 @@ def learn_dictionaries(
 
 class Dictionaries:
     def __init__(self, contents: dict[str, bytes], level: int):
-        self.languages = sorted(contents)
+        self.languages = list(contents)
         self.compressors = []
         for name in self.languages:
             raw = zstandard.ZstdCompressionDict(contents[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
@@ -76,7 +77,7 @@ class Dictionaries:
             )
 
     def sizes(self, text: str) -> list[int]:
-        data = text.encode("utf-8", "replace")
+        data = text.lower().encode("utf-8", "replace")
         sizes = [0] * len(self.compressors)
         for start in range(0, len(data), PIECE_BYTES):
             piece = data[start : start + PIECE_BYTES]
@@ -95,13 +96,13 @@ def identify(
     *,
     text: str = "text",
     margin: float = 0.02,
-    level: int = 3,
+    level: int = 9,
     columns: Sequence[str] = ("lang_pred", "score", "rejected"),
 ) -> DataFrame:
     """``docs`` with the predicted language of the whole ``text``, a score and whether to reject it.
 
     The prediction is the language whose dictionary gives the least bytes; of equal ones the first
-    by name. The score is 1 - least / second least size, scaled so that half of the bytes or less
+    of ``contents``. Letters are lower-cased, as in the dictionaries. The score is 1 - least / second least size, scaled so that half of the bytes or less
     gives 1 (with one language only: 1). It is rejected if the second is larger by less than
     ``margin`` of its size. Null texts and texts without a letter are ``und`` with score 0, and
     rejected; so are all if nothing was learned. Repeated rows stay, other columns pass through,
