@@ -198,21 +198,23 @@ def judge(
     sketch = settled(sketches(measured, lang, source), "sketch")
     by_source = _by_group(fences(sketch, "lang", "source"), "lang", "source")
     by_lang = _by_group(fences(merged(sketch, "lang"), "lang"), "lang")
-    overall = _by_group(fences(merged(sketch)).withColumn("one", F.lit(1)), "one")
-    names = F.array(*(F.lit(r.name) for r in RATIOS))
+    # A row for each ratio, so at most len(RATIOS) on the driver.
+    overall = {r["ratio"]: (r["least"], r["most"]) for r in fences(merged(sketch)).collect()}
     both = (
-        sketch.select("lang", "source", F.lit(1).alias("one")).distinct().alias("g")
+        sketch.select("lang", "source").distinct().alias("g")
         .join(by_source.alias("s"), F.expr("g.lang <=> s.lang AND g.source <=> s.source"), "left")
         .join(by_lang.alias("l"), F.expr("g.lang <=> l.lang"), "left")
-        .join(overall.alias("o"), F.expr("g.one = o.one"), "left")
-    )
-    chosen = F.map_from_arrays(
-        names,
-        F.transform(
-            names,
-            lambda r: F.coalesce(F.col("s.fence")[r], F.col("l.fence")[r], F.col("o.fence")[r]),
-        ),
     )
+
+    def fence_of(ratio: str) -> Column:
+        least, most = overall.get(ratio, (None, None))
+        all_ = F.when(
+            F.lit(least is not None),
+            F.struct(F.lit(least).cast("long").alias("least"), F.lit(most).cast("long").alias("most")),
+        )
+        return F.coalesce(F.col("s.fence")[ratio], F.col("l.fence")[ratio], all_).alias(ratio)
+
+    chosen = F.struct(*(fence_of(r.name) for r in RATIOS))
     groups = both.select(
         F.col("g.lang").alias("__lang"), F.col("g.source").alias("__source"), chosen.alias("__fence")
     )
@@ -224,7 +226,7 @@ def judge(
     )
     outside = [
         F.when(
-            ~ratio_value(r).between(F.col("__fence")[r.name]["least"], F.col("__fence")[r.name]["most"]),
+            ~ratio_value(r).between(F.col(f"__fence.{r.name}.least"), F.col(f"__fence.{r.name}.most")),
             F.lit(r.name),
         )
         for r in RATIOS
