@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 from zlib import crc32
 
 import numpy as np
@@ -44,13 +45,15 @@ class Settings:
 def subwords(word: str, settings: Settings) -> list[int]:
     """Rows of a word's n-grams and of the word itself, with its ends marked."""
     marked = f"<{word}>"
-    grams = {
-        marked[i : i + n]
-        for n in range(settings.shortest, settings.longest + 1)
-        for i in range(len(marked) - n + 1)
-    }
-    grams.add(marked)
-    return sorted({crc32(g.encode("utf-8", "replace")) % settings.rows for g in grams})
+    whole = marked.encode("utf-8", "replace")
+    size = len(marked)
+    spans = [(i, i + n) for n in range(settings.shortest, settings.longest + 1) for i in range(size - n + 1)]
+    if len(whole) == size:
+        grams = [whole[a:b] for a, b in spans]
+    else:  # n-grams are of characters, whose bytes vary
+        grams = [marked[a:b].encode("utf-8", "replace") for a, b in spans]
+    rows = settings.rows
+    return sorted({crc32(g) % rows for g in (*grams, whole)})
 
 
 def words_of(text: str | None) -> list[str]:
@@ -64,11 +67,15 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
+    @cached_property
+    def row_scores(self) -> list[float]:
+        """What each row adds to the logit of class 1 against 0 before averaging."""
+        return (self.embeddings @ (self.weights[:, 1] - self.weights[:, 0])).tolist()
+
     def word_parts(self, word: str) -> tuple[float, int]:
-        """What a word adds to the logit of class 1 against 0 before averaging, and its rows."""
-        rows = subwords(word, self.settings)
-        direction = self.weights[:, 1] - self.weights[:, 0]
-        return float(self.embeddings[rows].sum(axis=0) @ direction), len(rows)
+        """The sum of the scores of a word's rows, and their number."""
+        rows, scores = subwords(word, self.settings), self.row_scores
+        return sum([scores[r] for r in rows]), len(rows)
 
 
 def _windows(words: Sequence[str], size: int) -> list[tuple[int, int]]:
@@ -89,13 +96,17 @@ def train(texts: Sequence[str | None], labels: Sequence[int], settings: Settings
     embeddings = rng.uniform(-1, 1, (settings.rows, settings.width)) * settings.spread
     weights = rng.uniform(-1, 1, (settings.width, 2)) / settings.width
     bias = np.array([1.5, -1.5])  # stays: what has no known n-gram is clean
-    given = [(words_of(t), int(y)) for t, y in zip(texts, labels, strict=True)]
-    given = [(w, y) for w, y in given if w]
+    vocabulary: dict[str, int] = {}
+    given: list[tuple[np.ndarray, int]] = []
+    for text, label in zip(texts, labels, strict=True):
+        own = np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(text)], np.int32)
+        if len(own):
+            given.append((own, int(label)))
     if not given:
         return Model(settings, embeddings * 0, weights, bias)
-    vocabulary: dict[str, int] = {}
-    ids = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w]) for w, _ in given]
-    rows = [np.array(subwords(w, settings)) for w in vocabulary]
+    ids = [own for own, _ in given]
+    rows = [np.array(subwords(w, settings), np.int32) for w in vocabulary]
+    del vocabulary
     sizes = np.array([len(r) for r in rows])
     flat, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), sizes)
     positive = max(1, sum(y for _, y in given))
@@ -193,13 +204,11 @@ def score(
                     break
                 if len(index) + len(stretch) > CACHED:
                     index.clear()
-                own = np.empty(len(stretch), np.int64)
-                for k, word in enumerate(stretch):
-                    at = index.get(word)
-                    if at is None:
+                for word in [w for w in stretch if w not in index]:
+                    if word not in index:
                         at = index[word] = len(index)
                         values[at], counts[at] = known.word_parts(word)
-                    own[k] = at
+                own = np.fromiter(map(index.__getitem__, stretch), np.int64, len(stretch))
                 sums = np.concatenate([[0.0], np.cumsum(values[own])])
                 rows = np.concatenate([[0.0], np.cumsum(counts[own])])
                 judged = (sums[span:] - sums[:-span]) / (rows[span:] - rows[:-span])
