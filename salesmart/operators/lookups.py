@@ -22,11 +22,14 @@ TRACKED_KEYS = 10_000
 def lookup_chain(frame: DataFrame, lookups: Iterable[tuple[DataFrame, str]]) -> DataFrame:
     """Left-join each ``(lookup, key)`` in turn; rows without a match keep nulls.
 
-    A lookup that is counted and measured to be small is broadcast, so ``frame`` is not shuffled on
-    keys of which there may be few. Any other is joined by ``salted_join``. A lookup with a repeated
-    key multiplies rows, as in any join.
+    A lookup that the planner knows to be small, or that is measured to be, is broadcast, so ``frame``
+    is not shuffled on keys of which there may be few. Any other is joined by ``salted_join``. A lookup with
+    a repeated key multiplies rows, as in any join.
     """
     for lookup, key in lookups:
+        if planner_broadcasts(lookup):
+            frame = frame.join(lookup, key, "left")
+            continue
         hinted = bounded_broadcast(lookup, MAX_LOOKUP_ROWS)
         if hinted is not lookup:
             frame = frame.join(hinted, key, "left")
@@ -35,6 +38,13 @@ def lookup_chain(frame: DataFrame, lookups: Iterable[tuple[DataFrame, str]]) ->
     return frame
 
 
+def planner_broadcasts(frame: DataFrame) -> bool:
+    """Whether the planner's own estimate is below its threshold, so that it needs no hint."""
+    limit = frame.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    size = frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return int(str(size)) <= int(limit)
+
+
 def row_bytes(frame: DataFrame) -> Column:
     """About the bytes of a row: the length of strings and binaries, 8 for any other value."""
     size = F.lit(0)
@@ -85,10 +95,13 @@ def salted_join(
 
     Only the rows of ``right`` with a hot key are repeated, once for each part. The part of a left row
     follows from its values, so a repeated task deals it as before; rows that are alike in all
-    columns stay together. Rows with a null key match nothing and are not shuffled at all.
+    columns stay together. Rows with a null key match nothing and are not shuffled at all. Where the
+    planner will broadcast ``right`` anyway, nothing is looked for.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"an inner or left join, not {how!r}")
+    if planner_broadcasts(right):
+        return left.join(right, key, how)
     name = "`" + key.replace("`", "``") + "`"
     keyed = left.where(F.col(name).isNotNull())
     hot = hot_keys(left, key, min_rows)
