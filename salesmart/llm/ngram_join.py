@@ -67,7 +67,7 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 1 << 19:
+        if len(known) > 1 << 17:
             known.clear()
         hashes = []
         for word in words:
