@@ -21,6 +21,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; null and empty texts go."""
+    importable(spark)
     return quality.judge(docs).where("kept").select(*COLUMNS)
 
 
@@ -30,6 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of repeated rows one stays. Documents with a null id, and those without words, are no one's
     duplicates and stay.
     """
+    importable(spark)
     found = settled(ngram_join.join(docs.select("doc_id", "text"), ngram_join.Rule(5, 80, 100)).select("doc_id", "component_id"), "groups")
     first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
@@ -47,12 +49,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with the characters of secrets masked; lengths stay."""
+    importable(spark)
     found = secret_scan.scan(docs, scratch_path(spark, "ledger"))
     return found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of all documents, and whether they decode to the text."""
+    importable(spark)
     path = vocabulary(TOKENIZERS)
     coded = bpe.decode(bpe.encode(docs, path), path)
     return coded.select(

@@ -12,6 +12,8 @@ from salesmart.sinks.scratch import scratch_path
 
 #: Rows of a narrow table that may be broadcast; a row has at most a few hundred bytes.
 BROADCAST_ROWS = 20_000
+#: Rows in a batch between Spark and Python, for the registered queries and the pipeline.
+ROWS_AT_ONCE = 1_000
 
 
 def settled(frame: DataFrame, name: str = "step") -> DataFrame:
@@ -34,8 +36,10 @@ def column(name: str):
 def importable(spark: SparkSession) -> None:
     """Let Python workers on this machine import the package from where the driver did.
 
-    On a cluster the package is installed or sent along (``--py-files``).
+    On a cluster the package is installed or sent along (``--py-files``). Also hand at most ROWS_AT_ONCE
+    rows over at once, because they hold whole texts.
     """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_AT_ONCE))
     root = str(Path(__file__).resolve().parents[2])
     environment = spark.sparkContext.environment
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
