@@ -1,6 +1,6 @@
 """Name or count 64-bit keys of all documents, with the keys sorted and sent in packed blocks.
 
-Documents are dealt into chunks by a hash. A chunk sorts its keys, drops repeated ones, cuts them at
+Documents are dealt into chunks by a hash, copies of one text that would fill a chunk over several. A chunk sorts its keys, drops repeated ones, cuts them at
 fixed borders into buckets, and sends a packed block to each bucket. The bucket sorts the blocks of
 all chunks together, so equal keys are adjacent, and answers each block with a mask of the keys that
 occur twice or more and, for these, their rank or their total. A hot key is one entry of each chunk,
@@ -20,12 +20,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.steps import column
+from salesmart.llm.steps import column, settled
 
 BLOCKS = "bucket long, chunk long, round int, keys binary, counts binary"
 ANSWERS = "chunk long, round int, bucket long, mask binary, names binary"
 
 CHUNK_LEAST, CHUNK_MOST = 4 << 20, 128 << 20
+#: What a row takes beside its text, so that null and empty texts count too.
+ROW_BYTES = 64
 BUCKET_BYTES = 16 << 20
 
 
@@ -35,9 +37,10 @@ class Layout:
     buckets: int
 
 
-def layout(docs: DataFrame, text: str, keys_per_byte: float) -> Layout:
+def layout(docs: DataFrame, text: str, keys_per_byte: float, row_bytes: int = 0) -> Layout:
     """Chunks and buckets for the size of the input; both grow, so neither outgrows a task."""
-    total = docs.agg(F.sum(F.octet_length(column(text)))).first()[0] or 0
+    size = F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long") + row_bytes
+    total = docs.agg(F.sum(size)).first()[0] or 0
     chunk = min(max(CHUNK_LEAST, int(150 * math.sqrt(total))), CHUNK_MOST)
     bucket = min(max(BUCKET_BYTES, chunk), CHUNK_MOST)
     return Layout(max(1, -(-total // chunk)), max(8, math.ceil(total * keys_per_byte * 8 / bucket)))
@@ -155,9 +158,31 @@ def answered(rows: pa.Table, turn: int, found: Grouped, *, totals: bool = False)
 
 
 def dealt(docs: DataFrame, key: str | None, text: str, chunks: int) -> DataFrame:
-    """``docs`` with a ``__chunk``; equal rows get the same."""
+    """``docs`` with a ``__chunk``; equal rows get the same, unless they are too many for one.
+
+    Rows with equal hashes that hold more than a quarter of a mean chunk go to as many chunks, next to
+    one another, as they hold quarters. There are at most four times as many such hashes as chunks.
+    """
     seeds = [column(text)] if key is None else [column(key), column(text)]
-    return docs.withColumn("__chunk", F.pmod(F.xxhash64(*seeds), F.lit(chunks)))
+    placed = docs.withColumn("__hash", F.xxhash64(*seeds))
+    size = F.coalesce(F.octet_length(column(text)), F.lit(0)).cast("long") + ROW_BYTES
+    # Summed in the map tasks first, so copies are one row of each.
+    groups = placed.select("__hash", size.alias("size")).groupBy("__hash").agg(F.sum("size").alias("size"))
+    groups = settled(groups, "sizes")
+    total = groups.agg(F.sum("size")).first()[0] or 0
+    quarter = max(1, total // (4 * chunks))
+    hot = groups.where(F.col("size") > quarter).select(
+        F.col("__hash").alias("__hot"),
+        F.least(F.ceil(F.col("size") / quarter), F.lit(chunks)).cast("long").alias("__over"),
+    )
+    start = F.pmod("__hash", F.lit(chunks))
+    if chunks == 1 or hot.isEmpty():
+        return placed.withColumn("__chunk", start).drop("__hash")
+    # Equal rows differ only by their place in the table.
+    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__over"))
+    chunk = F.pmod(start + F.coalesce(place, F.lit(0)), F.lit(chunks))
+    spread = placed.join(F.broadcast(hot), F.col("__hash") == F.col("__hot"), "left")
+    return spread.withColumn("__chunk", chunk).drop("__hash", "__hot", "__over")
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

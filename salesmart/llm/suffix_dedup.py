@@ -160,13 +160,14 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
     lose nothing. Other columns pass through, columns called as the new ones are replaced. An empty
     table stays empty.
 
-    Documents are sent to their chunks once; the rounds then exchange packed keys. Strings are equal
+    Copies of a text that would fill a chunk are dealt over several, and their keys are counted across
+    chunks as all others. Documents are sent to their chunks once; the rounds then exchange packed keys. Strings are equal
     if two 64-bit hashes agree, of which one also chooses the bucket: the number of buckets grows with
     the input, and with it the bits that are compared.
     """
     cover = _cover(length)
     density = len(cover[1]) / cover[0]
-    plan = exchange.layout(docs, text, density)
+    plan = exchange.layout(docs, text, density, exchange.ROW_BYTES)
     new = ("n_bytes", "removed", "kept")
     kept_fields = [f for f in docs.schema if f.name.lower() not in new]
     # Plain names on the way to Python: PySpark looks columns up by their unquoted names.

@@ -4,7 +4,9 @@ from collections import Counter
 
 import pytest
 
-from salesmart.llm import suffix_dedup
+from pyspark.sql import functions as F
+
+from salesmart.llm import exchange, suffix_dedup
 from salesmart.llm.queries import QUERIES
 from tests.llm.conftest import SF_DIR
 
@@ -73,6 +75,35 @@ def test_odd_rows(edge):
         suffix_dedup.remove_repeats(edge, length=100)
 
 
+@pytest.mark.parametrize("copied", ["copy " * 600, None])
+def test_copies_of_a_third_of_all_rows_do_not_share_a_chunk(spark, copied):
+    """Equal rows, of a long text or of none."""
+    rows = [(0, copied)] * 4000 + [(i, f"{i} " * 600) for i in range(10_001, 18_001)]
+    rows = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt = exchange.dealt(rows, None, "text", 12).groupBy("__chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("doc_id") == 0).alias("copies")
+    ).collect()
+    assert sum(r.n for r in dealt) == 12_000
+    if copied:
+        assert max(r.copies for r in dealt) < 1000
+    many = rows.where("doc_id = 0")
+    assert exchange.layout(many, "text", 0.1, 2000).chunks > 1
+    assert max(r["count"] for r in exchange.dealt(many, None, "text", 12).groupBy("__chunk").count().collect()) < 1000
+
+
+def test_copies_in_several_chunks_lose_all_their_bytes(spark):
+    copied = "some copy " * 100
+    rng = random.Random(3)
+    rows = [(0, copied)] * 9000 + [(i, f"{rng.getrandbits(4000):x}") for i in range(1, 2001)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert exchange.layout(frame, "text", 0.1, exchange.ROW_BYTES).chunks > 1
+    found = suffix_dedup.remove_repeats(frame).collect()
+    assert len(found) == 11_000
+    for row in found:
+        expected = [] if row.doc_id else [(0, len(copied))]
+        assert [(s.start, s.end) for s in row.removed] == expected
+
+
 def test_query_equals_brute_force(spark, texts):
     rows = {r.doc_id: r for r in QUERIES["op6_suffix_dedup"](spark, SF_DIR).collect()}
     assert len(rows) == len(texts)
