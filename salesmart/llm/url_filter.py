@@ -63,29 +63,92 @@ def address_key(url: Column) -> Column:
     return F.when(host_of(url) != "", F.concat(host, path, F.coalesce(named, F.lit(""))))
 
 
-_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*([^\"'\s>]+)"
+_CANONICAL = r"(?is)<link\b(?=[^>]*\brel\s*=\s*[\"']?canonical\b)[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_REFRESH = r"(?is)<meta\b(?=[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b)[^>]*\burl\s*=\s*[\"']?\s*([^\"'\s>]+)"
+_BASE = r"(?is)<base\b[^>]*\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)"
+#: Entities in attributes; the ampersand is last, so that nothing is decoded twice.
+_ENTITIES = (
+    ("(?i)&quot;|&#0*34;|&#x0*22;", '"'),
+    ("(?i)&apos;|&#0*39;|&#x0*27;", "'"),
+    ("(?i)&lt;|&#0*60;|&#x0*3c;", "<"),
+    ("(?i)&gt;|&#0*62;|&#x0*3e;", ">"),
+    ("(?i)&#0*47;|&#x0*2f;", "/"),
+    ("(?i)&#0*58;|&#x0*3a;", ":"),
+    ("(?i)&#0*61;|&#x0*3d;", "="),
+    ("(?i)&#0*63;|&#x0*3f;", "?"),
+    ("(?i)&amp;|&#0*38;|&#x0*26;", "&"),
+)
+
+
+def unescaped(value: Column) -> Column:
+    for pattern, plain in _ENTITIES:
+        value = F.regexp_replace(value, pattern, plain)
+    return value
+
+
+def without_dots(path: Column) -> Column:
+    """``path`` with its ``.`` and ``..`` segments resolved."""
+    parts = F.split(path, "/", -1)
+
+    def step(state: Column, part: Column) -> Column:
+        # The first part is the empty one before the first slash; it stays.
+        up = F.slice(state, F.lit(1), F.greatest(F.size(state) - 1, F.lit(1)))
+        return F.when(part == "..", up).when(part == ".", state).otherwise(F.concat(state, F.array(part)))
+
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.slice(parts, 1, 1), step)
+    closed = F.when(path.rlike(r"/\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.array_join(closed, "/")).otherwise(path)
+
+
+def resolved(found: DataFrame, target: str, base: str) -> DataFrame:
+    """``found`` with its column ``target`` as a whole URL, seen from ``base``.
+
+    It stays as it is where it has a scheme or ``base`` has no host. The steps are columns, so that
+    none is computed again for each of its uses.
+    """
+    target_, base = target, F.col(base)
+    found = found.withColumn(target_, unescaped(F.col(target_)))
+    target = F.col(target_)
+    origin = F.regexp_extract(base, r"^((?s).*?://[^/?#]*)", 1)
+    own = path_of(base)
+    query = F.regexp_extract(base, r"^(?s)[^?#]*(\?[^#]*)", 1)
+    folder = F.when(own == "", F.lit("/")).otherwise(F.regexp_extract(own, r"^((?s).*/)", 1))
+    joined = (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:") | (origin == ""), target)
+        .when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^((?s).*?:)//", 1), target))
+        .when(target.startswith("/"), F.concat(origin, target))
+        .when(target.startswith("?"), F.concat(origin, own, target))
+        .when(target.startswith("#"), F.concat(origin, own, query, target))
+        .otherwise(F.concat(origin, folder, target))
+    )
+    found = found.withColumn("__whole", joined)
+    whole = F.col("__whole")
+    found = found.withColumn("__path", path_of(whole))
+    start = F.regexp_extract(whole, r"^((?s).*?://[^/?#]*)", 1)
+    rest = F.regexp_extract(whole, r"^(?s)[^?#]*([?#].*)", 1)
+    clean = F.concat(start, without_dots(F.col("__path")), rest)
+    return found.withColumn(target_, F.when(start == "", whole).otherwise(clean)).drop("__whole", "__path")
 
 
 def page_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``(url, target)`` for the canonical and redirect links of each page.
 
-    A target that starts with a slash is taken on the host of the page; other relative ones and
-    targets without a host are left out.
+    Basic entities are decoded, and relative targets resolved against the page's ``base`` or else its
+    URL. Targets that are without a host then (as ``mailto:``) are left out.
     """
     found = pages.select(
         column(url).alias("url"),
-        F.explode(
-            F.concat(
-                F.regexp_extract_all(column(html), F.lit(_CANONICAL), F.lit(1)),
-                F.regexp_extract_all(column(html), F.lit(_REFRESH), F.lit(1)),
-            )
-        ).alias("target"),
+        F.coalesce(F.nullif(F.regexp_extract(column(html), _BASE, 1), F.lit("")), column(url)).alias("base"),
+        F.concat(
+            F.regexp_extract_all(column(html), F.lit(_CANONICAL), F.lit(1)),
+            F.regexp_extract_all(column(html), F.lit(_REFRESH), F.lit(1)),
+        ).alias("targets"),
     )
-    origin = F.regexp_extract("url", r"^((?s).*?://[^/?#]*)", 1)
-    own = F.col("target").rlike("^/[^/]") | (F.col("target") == "/")
-    whole = F.when(own & (origin != ""), F.concat(origin, F.col("target"))).otherwise(F.col("target"))
-    return found.select("url", whole.alias("target")).where(host_of(F.col("target")) != "")
+    found = found.where(F.size("targets") > 0)
+    found = resolved(found.withColumn("url_", F.coalesce("url", F.lit(""))), "base", "url_")
+    found = found.withColumn("base", F.coalesce("base", F.lit("")))
+    found = resolved(found.select("url", "base", F.explode("targets").alias("target")), "target", "base")
+    return found.select("url", "target").where(F.col("target").rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"))
 
 
 def rule_of(host: Column, path: Column, rules: Sequence[Rule]) -> Column:

@@ -55,6 +55,55 @@ def test_blocks_reach_aliases_and_an_explicit_allow_wins(spark):
     assert len({found[k].component for k in (1, 2, 3, 4, 5, 6, 8)}) == 1
 
 
+LINK = '<link rel="canonical" href="{}">'
+
+
+def test_links_in_all_forms_are_resolved(spark):
+    page = "http://a.net/d/e/p.html?q=1#top"
+    targets = {
+        "//b.com/de/1": "http://b.com/de/1",
+        "x.html": "http://a.net/d/e/x.html",
+        "../x?u=http://y.org/../z": "http://a.net/d/x?u=http://y.org/../z",
+        "../../../x": "http://a.net/x",
+        "./": "http://a.net/d/e/",
+        "..": "http://a.net/d/",
+        "?r=2": "http://a.net/d/e/p.html?r=2",
+        "#here": "http://a.net/d/e/p.html?q=1#here",
+        "/x/./y": "http://a.net/x/y",
+        "https://b.com/a?x=1&amp;y=2&#38;z=3": "https://b.com/a?x=1&y=2&z=3",
+        "http://b.com/a//b": "http://b.com/a//b",
+        "mailto:a@b.com?u=http://c.org": None,
+    }
+    rows = [(i, page, LINK.format(t)) for i, t in enumerate(targets)]
+    rows += [
+        (20, page, """<meta http-equiv="refresh" content="0; url='https://b.com/de/2'">"""),
+        (21, page, '<base href="/o/u/"><link rel=canonical href=../k>'),
+        (22, "http://a.net", LINK.format("x")),
+        (23, None, LINK.format("x")),
+        (24, None, LINK.format("http://b.com/")),
+        (25, page, None),
+    ]
+    found = url_filter.page_links(spark.createDataFrame(rows, PAGES)).collect()
+    wanted = [t for t in targets.values() if t]
+    wanted += ["https://b.com/de/2", "http://a.net/o/k", "http://a.net/x", "http://b.com/"]
+    assert sorted(r.target for r in found) == sorted(wanted)
+
+
+def test_blocks_pass_relative_and_quoted_links(spark):
+    found = judged(
+        spark,
+        [
+            (1, "http://a.net/1", """<meta http-equiv='refresh' content="0; url='https://bad.com/de/1'">"""),
+            (2, "http://a.net/x/2", LINK.format("../1")),
+            (3, "http://b.net/3", LINK.format("//a.net/x/2")),
+            (4, "http://c.net/4", LINK.format("http://a.net/5?a=1&amp;b=2")),
+            (5, "http://a.net/5?b=2&a=1", LINK.format("//bad.com/de/2")),
+            (6, "http://a.net/6", LINK.format("?a=1")),
+        ],
+    )
+    assert [found[k].verdict for k in sorted(found)] == ["block"] * 5 + ["allow"]
+
+
 def test_further_links_nulls_and_an_empty_table(spark):
     links = spark.createDataFrame(
         [("http://a.net/1", "http://b.com/de/9"), (None, "http://a.net/1"), ("http://a.net/1", None)],
