@@ -68,8 +68,15 @@ RULES = (
     Rule("slack", r"xox[abposr]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+"),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----"),
-    Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]{1,100}:[^\s:/@]{1,100}@"),
+    # The body runs to the next END line, with headers and escaped newlines. A possessive group is
+    # matched in a loop, so its length does not matter.
+    Rule(
+        "pem",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]|-(?!----END [A-Z ]*PRIVATE KEY-----))*+-----END [A-Z ]*PRIVATE KEY-----",
+        version=2,
+    ),
+    # A longer scheme is matched from its last characters on; user and password have any length.
+    Rule("login", r"[a-z][a-z0-9+.-]{1,20}://[^\s:/@]++:[^\s:/@]++@", version=2),
 )
 
 

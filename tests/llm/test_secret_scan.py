@@ -60,6 +60,25 @@ def test_further_rules_add_spans(spark, ledger):
     assert kinds == {0: ["github"], 1: ["slack"], 2: ["google"], 3: ["jwt"], 4: ["pem"], 5: ["login"]}
 
 
+def test_logins_and_keys_of_any_length_and_form(spark, ledger):
+    body = "abcdEFGH0123+/==\n" * 4000
+    texts = [
+        f"https://{'u' * 300}:{'p.-_' * 500}@host/x",
+        f"x https://oauth2:{'t' * 101}@host",
+        f"-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,12AB\n\n{body}-----END RSA PRIVATE KEY-----",
+        r'{"k": "-----BEGIN PRIVATE KEY-----\nabc=\n-----END PRIVATE KEY-----\n"}',
+        "-----BEGIN PRIVATE KEY-----" + "-" * 50_000 + " no end " + "a" * 50_000,
+        "a://" + "u" * 50_000 + " ab://" + ":" * 1000,
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "path long, text string")
+    rules = [r for r in secret_scan.RULES if r.kind in ("pem", "login")]
+    found = {r.path: spans_of(r) for r in secret_scan.scan(frame, ledger, rules).collect()}
+    assert found == {
+        0: [f"login:0:{len(texts[0]) - 6}"], 1: [f"login:2:{len(texts[1]) - 4}"], 2: [f"pem:0:{len(texts[2])}"],
+        3: [f"pem:7:{len(texts[3]) - 4}"], 4: [], 5: [],
+    }
+
+
 def test_only_unseen_contents_and_rule_versions_are_scanned(spark, ledger):
     rules = secret_scan.RULES[:3]
     first = spark.createDataFrame([("a", "token=12345678"), ("b", "token=12345678"), ("c", "none")], "path string, text string")
