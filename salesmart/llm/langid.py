@@ -20,28 +20,39 @@ PIECE_BYTES = 2048
 
 
 def learn_dictionaries(
-    docs: DataFrame, *, text: str = "text", lang: str = "lang", size: int = 96 << 10, languages: int = 512
+    docs: DataFrame,
+    *,
+    text: str = "text",
+    lang: str = "lang",
+    size: int = 96 << 10,
+    languages: int = 512,
+    piece: int = 4000,
 ) -> dict[str, bytes]:
-    """Raw content for each language: texts in the order of a hash of their content.
+    """Raw content for each language: pieces of texts in the order of a hash of their content.
 
     The sample is bounded: at most ``size`` bytes for each of at most ``languages`` languages (more
-    are refused). It depends on the texts only, not on their order, partitions or ids. Of a text the
-    first 4,000 characters may go into a dictionary. Null languages, and null and empty texts teach
-    nothing; a text that occurs several times is taken once. Letters are lower-cased. The languages are
-    in the order of how much text they have.
+    are refused), and that many wherever a language has them. It depends on the texts only, not on
+    their order, partitions or ids. Texts are cut into pieces of ``piece`` characters, each of which
+    may be taken, wherever in its text it lies. Null languages, and null and empty texts teach
+    nothing; a piece that occurs several times is taken, and counted, once. Letters are lower-cased.
+    The languages are in the order of how much text they have.
     """
-    taught = docs.select(F.col(lang).alias("lang"), F.substring(F.col(text), 1, 4000).alias("text"))
-    taught = taught.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    # Enough texts for the size are those with the least hashes; the bound on the hash is set from
-    # the bytes of each language, so that few more rows than needed reach the final sort.
-    totals = taught.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("bytes"))
+    pieces = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{int(piece)}}}"), F.lit(0))
+    taught = docs.where(F.col(lang).isNotNull() & (F.length(F.col(text)) > 0))
+    taught = taught.select(F.col(lang).alias("lang"), F.explode(pieces).alias("text"))
+    # Enough pieces for the size are those with the least hashes; the bound on the hash is set from
+    # the distinct bytes of each language, so that few more rows than needed reach the final sort.
+    each = taught.select("lang", F.xxhash64("text").alias("hash"), F.octet_length("text").alias("n")).distinct()
+    totals = each.groupBy("lang").agg(F.sum("n").alias("bytes"))
     found = totals.limit(languages + 1).collect()
     if len(found) > languages:
         raise ValueError(f"more than {languages} languages")
     learned: dict[str, bytes] = {}
     if not found:
         return learned
-    share = {row["lang"]: min(1.0, 4.0 * size / row["bytes"]) for row in found}
+    # Pieces differ in length: 32 of the longest at least, so that the expected excess is never missed.
+    wanted = max(4.0 * size, 32.0 * 4 * piece)
+    share = {row["lang"]: min(1.0, wanted / row["bytes"]) for row in found}
     bound = F.create_map(*(F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))))
     order = F.xxhash64("text")
     few = (
@@ -51,7 +62,7 @@ def learn_dictionaries(
     )
     for row in sorted(found, key=lambda r: (-r["bytes"], r["lang"])):
         # Ordered by hash and text, cut at the size: a top-k, not a sort of all rows.
-        rows = few.where(F.col("lang") == row["lang"]).orderBy("place", "text").limit(size // 16)
+        rows = few.where(F.col("lang") == row["lang"]).orderBy("place", "text").limit(size)
         parts, held = [], 0
         for taken in rows.toLocalIterator():
             part = taken["text"].lower().encode()

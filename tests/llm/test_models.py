@@ -47,6 +47,24 @@ def test_learned_dictionaries_do_not_depend_on_partitions(docs):
     assert all(len(x) <= 4096 + 64 * 64 for x in one.values())
 
 
+def test_copies_do_not_thin_the_dictionaries(spark):
+    """Half a million bytes of distinct texts, and many more of one that is copied."""
+    rng = random.Random(5)
+    rows = [("en", f"{rng.getrandbits(8000):x}") for _ in range(250)] + [("en", "copy " * 800)] * 12_000
+    learned = langid.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string").repartition(4))
+    assert len(learned["en"]) >= 96 << 10
+
+
+def test_all_parts_of_a_text_teach(spark):
+    rows = [("en", "a" * 4000 + "the end"), ("de", "kurz"), ("de", "b")]
+    learned = langid.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert b"the end" in learned["en"]
+    assert list(learned) == ["en", "de"]
+    tiny = [("en", f"{i}") for i in range(2000)]
+    learned = langid.learn_dictionaries(spark.createDataFrame(tiny, "lang string, text string"), size=4000)
+    assert len(learned["en"].replace(b"\n", b"")) == 4000
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return token_counts.sentencepiece_vocabulary(vocabulary(PIECES))
