@@ -164,7 +164,7 @@ def learn(
     taught = docs.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
     taught = taught.where((F.length("text") > 0) & F.col("label").isin(0, 1))
     taught = taught.select("text", "label", F.xxhash64("text").alias("place"))
-    total = taught.count()
+    total = taught.select("place", "label").distinct().count()  # as the sample: copies count once
     # Most rows are left out before the ordering; few more than needed pass.
     share = min(1.0, 1.5 * rows / max(1, total) + 100 / max(1, total))
     few = taught.where(F.pmod("place", F.lit(1_000_000)) < int(share * 1_000_000) + 1)

@@ -65,6 +65,14 @@ def test_all_parts_of_a_text_teach(spark):
     assert len(learned["en"].replace(b"\n", b"")) == 4000
 
 
+def test_copies_do_not_thin_the_labelled_texts(spark, monkeypatch):
+    rows = [(f"text {i}", i % 2) for i in range(1500)] + [("copy", 0)] * 30_000
+    taken = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels, settings: taken.append(len(set(zip(texts, labels, strict=True)))))
+    toxicity.learn(spark.createDataFrame(rows, "text string, label int").repartition(4), rows=1000)
+    assert taken == [1000]
+
+
 @pytest.fixture(scope="module")
 def pieces():
     return token_counts.sentencepiece_vocabulary(vocabulary(PIECES))
