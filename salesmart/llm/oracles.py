@@ -138,11 +138,18 @@ FROM failing f LEFT JOIN outside o ON o.doc_id = f.doc_id
 """
 
 
+#: The same matches without lookahead and possessive repeats, which DuckDB lacks.
+_PLAIN_PATTERNS = {
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?s:.*?)-----END [A-Z ]*PRIVATE KEY-----",
+    "login": r"[a-z][a-z0-9+.-]{1,20}://[^\x20\x09-\x0D:/@]+:[^\x20\x09-\x0D:/@]+@",
+}
+
+
 def _secrets() -> str:
     """Spans from the lengths of what lies between the matches."""
     found = []
     for rank, rule in enumerate(RULES):
-        pattern = rule.pattern.replace("'", "''")
+        pattern = _PLAIN_PATTERNS.get(rule.kind, rule.pattern).replace("'", "''")
         found.append(
             f"SELECT doc_id, {rank} AS rank, '{rule.kind}' AS kind, {rule.least} AS least, "
             f"string_split_regex(text, '{pattern}') AS gaps, regexp_extract_all(text, '{pattern}') AS found, "
@@ -173,8 +180,164 @@ FROM doc LEFT JOIN listed ON listed.doc_id = doc.doc_id
 """
 
 
+_NGRAM_JOIN = rf"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, coalesce(regexp_extract_all(
+    translate(text, '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+),
+shingle AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(ws, i, i + 3), ' ') AS words
+  FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM doc WHERE len(ws) > 0)
+),
+size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM shingle a JOIN shingle b ON a.words = b.words AND a.doc_id < b.doc_id GROUP BY ALL
+),
+link AS (
+  SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+),
+either AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reached AS (
+  SELECT a, b FROM either
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN either l ON l.a = r.b
+),
+least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a)
+SELECT doc.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles,
+       least(doc.doc_id, coalesce(least_of.b, doc.doc_id)) AS component_id
+FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id LEFT JOIN least_of ON least_of.a = doc.doc_id
+"""
+
+
+_LINE_DEDUP = rf"""
+WITH line AS (
+  SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+),
+keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), '{_UPPER}', '{_LOWER}') AS key
+  FROM line
+),
+shared AS (
+  SELECT key, max(doc_id) AS holder FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+),
+judged AS (
+  SELECT k.*, s.holder IS NOT NULL AND s.holder <> k.doc_id AS dropped FROM keyed k LEFT JOIN shared s ON s.key = k.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN dropped THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+       sha256(coalesce(string_agg(CASE WHEN NOT dropped THEN line END, chr(10) ORDER BY place), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+
+_COLLOCATIONS = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+worded AS (
+  SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM piece
+),
+size AS (SELECT unnest(range(1, 5)) AS k),
+gram AS (
+  SELECT lang, k, array_to_string(list_slice(ws, i, i + k - 1), ' ') AS phrase
+  FROM (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM worded, size WHERE len(ws) >= k)
+),
+counted AS (SELECT lang, k, phrase, count(*) AS f FROM gram GROUP BY ALL HAVING count(*) >= 30),
+total AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM worded GROUP BY lang),
+candidate AS (SELECT lang, k AS size, phrase, f AS a, string_split(phrase, ' ') AS ws FROM counted WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, x.k AS after,
+         CAST(CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS BIGINT) AS score
+  FROM candidate c
+  JOIN counted x ON x.lang = c.lang AND x.k < c.size AND x.phrase = array_to_string(list_slice(c.ws, 1, x.k), ' ')
+  JOIN counted y ON y.lang = c.lang AND y.k = c.size - x.k
+    AND y.phrase = array_to_string(list_slice(c.ws, x.k + 1, c.size), ' ')
+),
+best AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, after) = 1
+),
+part AS (
+  SELECT DISTINCT lang, a AS longer, array_to_string(list_slice(ws, i, i + m - 1), ' ') AS phrase FROM (
+    SELECT *, unnest(range(1, size - m + 2)) AS i FROM (SELECT *, unnest(range(2, size)) AS m FROM candidate)
+  )
+),
+covered AS (SELECT lang, phrase, max(longer) AS longer FROM part GROUP BY ALL),
+kept AS (
+  SELECT b.* FROM best b LEFT JOIN covered c ON c.lang = b.lang AND c.phrase = b.phrase
+  WHERE c.longer IS NULL OR 100 * c.longer < 80 * b.a
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase ASC) AS rank FROM kept
+)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total ON total.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
+_CONVERSATION_TRIE = """
+WITH turn_of AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place,
+         sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS said,
+         length(coalesce(text, '')) AS chars
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+whole AS (
+  SELECT conv_id, list({'said': said, 'chars': chars} ORDER BY place) AS turns FROM turn_of GROUP BY conv_id
+),
+-- CRC-32 of the decimal number, bit by bit.
+checked AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+    lambda crc, byte: list_reduce(range(8), lambda c, bit:
+      CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)),
+    4294967295)) % 6 AS h
+  FROM whole
+),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, c.h), list_slice(c.turns, c.h + 1, len(c.turns))) AS turns
+  FROM checked c LEFT JOIN whole b ON b.conv_id = c.conv_id - c.conv_id % 100
+),
+prefix AS (
+  SELECT conv_id, d, len(turns) AS size, list_transform(list_slice(turns, 1, d), lambda t: t.said) AS said,
+         CASE WHEN d = 0 THEN 0 ELSE turns[d].chars END AS chars
+  FROM (SELECT *, unnest(range(0, len(turns) + 1)) AS d FROM rebuilt)
+),
+node AS (
+  SELECT array_to_string(said, '/') AS key, array_to_string(list_slice(said, 1, d - 1), '/') AS up, any_value(said) AS said,
+         d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+         string_agg(CASE WHEN size = d THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id) AS ends
+  FROM prefix GROUP BY ALL
+),
+children AS (SELECT up, count(*) AS n FROM node WHERE depth > 0 GROUP BY up),
+valued AS (
+  SELECT node.*, coalesce(children.n, 0) AS n_children FROM node
+  LEFT JOIN children ON children.up = node.key
+),
+lineage AS (
+  SELECT n_children, n_convs, chars, array_to_string(list_slice(said, 1, above), '/') AS key
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS above FROM valued)
+),
+total AS (
+  SELECT key, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+  FROM lineage GROUP BY key
+)
+SELECT v.conv_id, CAST(v.depth AS BIGINT) AS depth, CASE WHEN v.depth > 0 THEN p.conv_id END AS parent_conv_id, v.n_convs,
+       CAST(v.n_children AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM valued v JOIN total ON total.key = v.key
+LEFT JOIN valued p ON p.key = v.up AND p.depth = v.depth - 1
+"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_ngram_join": _NGRAM_JOIN,
     "op4_decontaminate": _DECONTAMINATE,
     "op5_quality": _quality(),
     "op7_secret_scan": _secrets(),
+    "op11_line_dedup": _LINE_DEDUP,
+    "op12_collocations": _COLLOCATIONS,
+    "op13_conversation_trie": _CONVERSATION_TRIE,
 }

@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from salesmart.llm import (
     bpe,
+    collocations,
+    conversation_trie,
     decontaminate,
     langid,
+    line_dedup,
     ngram_join,
     quality,
     secret_scan,
@@ -19,7 +22,7 @@ from salesmart.llm import (
     toxicity,
     url_filter,
 )
-from salesmart.llm.steps import importable
+from salesmart.llm.steps import importable, settled
 from salesmart.sinks.scratch import scratch_path
 
 TOKENIZERS = "byte_bpe_50k.json"
@@ -162,6 +165,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    maps = line_dedup.keep_bitmaps(docs, least=20, copies=3)
+    cut = line_dedup.apply(docs, maps)
+    return cut.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("text", "lang")
+    return collocations.top(collocations.collocations(docs, least=30, longest=4), 2000)
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    members = settled(turns.where("conv_id IS NOT NULL").select(F.col("conv_id").cast("long").alias("conv")).distinct(), "members")
+    rows = settled(conversation_trie.numbered(turns), "turns")
+    start = F.col("conv") - F.col("conv") % 100
+    shared = F.crc32(F.col("conv").cast("string").cast("binary")) % 6
+    return conversation_trie.trie(conversation_trie.grafted(rows, members, start, shared), members)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -175,5 +199,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_token_counts,
         op10_toxicity,
+        op11_line_dedup,
+        op12_collocations,
+        op13_conversation_trie,
     )
 }

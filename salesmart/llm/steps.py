@@ -28,6 +28,28 @@ def small(frame: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(frame) if frame.limit(rows + 1).count() <= rows else frame
 
 
+def indexed(frame: DataFrame, order: list, place: str = "place") -> DataFrame:
+    """``frame`` sorted over all tasks, with the rank of each row from 0 as ``place``; it is written.
+
+    Ranges of the order's values are sorted on their own. What the driver adds up is the rows of each
+    range, so one number for each task, whatever the input. Rows that tie in all of ``order`` get
+    ranks of their own.
+    """
+    spark = frame.sparkSession
+    ranged = frame.repartitionByRange(*order).sortWithinPartitions(*order)
+    written = settled(ranged.withColumn("__local", F.monotonically_increasing_id()), "indexed")
+    part = F.shiftright("__local", 33)  # the task and, below, the row in it
+    sizes = written.groupBy(part.alias("part")).count().orderBy("part").collect()
+    starts, total = [], 0
+    for row in sizes:
+        starts.append((row["part"], total))
+        total += row["count"]
+    offsets = spark.createDataFrame(starts, "__part long, __start long")
+    local = F.col("__local").bitwiseAND((1 << 33) - 1)
+    joined = written.join(F.broadcast(offsets), part == F.col("__part"))
+    return joined.withColumn(place, F.col("__start") + local).drop("__local", "__part", "__start")
+
+
 def column(name: str):
     """A column by its literal name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")
