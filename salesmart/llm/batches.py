@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -14,6 +15,14 @@ from salesmart.llm.steps import column as named_column
 #: Bytes of text handed to Python code at once; a longer text makes a batch of its own.
 BATCH_BYTES = 4 << 20
 
+def give_back() -> None:
+    """Return freed memory to the machine: a worker lives on and does other stages' tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 Compute = Callable[[pa.Array], list[pa.Array]]
 
 
@@ -58,6 +67,8 @@ def with_columns(
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *columns], names=[f.name for f in schema]
                 )
+        del compute
+        give_back()
 
     named = (named_column(f.name).alias(c) for f, c in zip(kept, plain, strict=True))
     return frame.select(*named).mapInArrow(run, schema)

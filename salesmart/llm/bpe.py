@@ -267,6 +267,32 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids
     return with_columns(docs, text, added, setup)
 
 
+def round_trip(
+    docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded"
+) -> DataFrame:
+    """What ``encode`` and then ``decode`` add, by one worker in one pass.
+
+    Its words and arcs are forgotten when a task ends.
+    """
+    shared = _vocabulary(docs, vocabulary)
+
+    def setup():
+        tokenizer = _tokenizer(shared)
+        tokenizer.words.clear()
+        tokenizer.automaton.arcs.clear()
+
+        def compute(texts: pa.Array) -> list[pa.Array]:
+            coded = [tokenizer.encode(t or "") for t in texts.to_pylist()]
+            ends = np.cumsum([0, *map(len, coded)])
+            each = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(coded)))
+            return [each, pa.array([tokenizer.decode(c) for c in coded], pa.string())]
+
+        return compute
+
+    added = T.StructType([T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(decoded, T.StringType())])
+    return with_columns(docs, text, added, setup)
+
+
 def decode(tokens: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``tokens`` with the text of the ``ids``; null ids give an empty text, unknown ids nothing.
 

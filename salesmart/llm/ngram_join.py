@@ -30,10 +30,10 @@ from pyspark.sql import types as T
 from salesmart.llm import exchange
 from salesmart.llm.batches import with_columns
 from salesmart.llm.components import components
-from salesmart.llm.steps import column, settled
+from salesmart.llm.steps import column, indexed, settled
 
-#: Candidates of one document that a task compares at once.
-CANDIDATES = 256
+#: Candidates of one document that a task compares at once, and n-grams of theirs.
+CANDIDATES, CANDIDATE_SHINGLES = 256, 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _DF = 1
 
@@ -113,7 +113,7 @@ _MEMBERS = "id long, n long, strength double, shingles binary, prefix array<long
 
 
 def _prefixes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
-    """``docs`` (id, text): for each class that can have partners its set and the prefix of its lists.
+    """``docs`` (id, text): for each class (class, id, set) that can have partners its set and the prefix of its lists.
 
     Lists are ordered by their length and then by hash. Those of one document only cannot have a
     partner; they come first, so ``first`` is the place of the first of ``prefix`` in the order.
@@ -121,23 +121,25 @@ def _prefixes(docs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
     plan = exchange.layout(docs, "text", 0.16)
     dealt = docs.withColumn("__chunk", F.pmod(F.xxhash64("id"), F.lit(plan.chunks)))
     wanted = classes.select(
-        F.pmod(F.xxhash64("id"), F.lit(plan.chunks)).alias("chunk"), "id", "set"
+        F.pmod(F.xxhash64("id"), F.lit(plan.chunks)).alias("chunk"), F.col("class").alias("name"), "id", "set"
     )
     buckets = plan.buckets
 
     def sets(table: pa.Table, chosen: pa.Table) -> tuple[list[int], list[np.ndarray]]:
-        own = dict(zip(chosen.column("id").to_pylist(), chosen.column("set").to_pylist(), strict=True))
-        shingles, ids, found = Shingles(rule.words), [], []
+        named = (chosen.column(c).to_pylist() for c in ("id", "set", "name"))
+        own = {(doc, digest): name for doc, digest, name in zip(*named, strict=True)}
+        several = {doc for doc, _ in own}
+        shingles, names, found = Shingles(rule.words), [], []
         for doc, text in zip(table.column("id").to_pylist(), exchange.texts(table, "text"), strict=True):
-            if doc not in own:
+            if doc not in several:
                 continue
             these = shingles.of(text)
-            if len(these) and set_digest(these) == own[doc]:
-                del own[doc]  # repeated rows count once
-                ids.append(doc)
+            name = own.pop((doc, set_digest(these)), None) if len(these) else None
+            if name is not None:  # repeated rows count once
+                names.append(name)
                 found.append(these)
-        order = np.argsort(np.array(ids, np.int64), kind="stable")
-        return [ids[i] for i in order], [found[i] for i in order]
+        order = np.argsort(np.array(names, np.int64), kind="stable")
+        return [names[i] for i in order], [found[i] for i in order]
 
     def keys(found: list[np.ndarray]) -> exchange.Grouped:
         every = np.concatenate(found) if found else np.zeros(0, np.uint64)
@@ -225,10 +227,12 @@ def divide_skip(query: Sequence[int], lists: dict[int, Sequence[int]], least: in
 
 
 def _verified(pairs: DataFrame, members: DataFrame, rule: Rule) -> DataFrame:
-    """``(a, b)`` of the candidate ``pairs`` that link. ``a`` is compared with blocks of its partners."""
-    sizes = pairs.groupBy(F.col("a").alias("x")).agg(
-        F.ceil(F.count(F.lit(1)) / CANDIDATES).alias("parts")
-    )
+    """``(a, b)`` of the candidate ``pairs`` (a, b, m) that link; ``m`` is the size of ``b``.
+
+    ``a`` is compared with blocks of its partners, of bounded number and size.
+    """
+    many, large = F.count(F.lit(1)) / CANDIDATES, F.sum("m") / CANDIDATE_SHINGLES
+    sizes = pairs.groupBy(F.col("a").alias("x")).agg(F.ceil(F.greatest(many, large)).alias("parts"))
     parted = pairs.join(sizes, F.col("a") == F.col("x")).select(
         "a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part")
     )
@@ -299,7 +303,7 @@ def links(members: DataFrame, rule: Rule) -> DataFrame:
     first = (
         lists.alias("l").join(strongest.alias("s"), F.col("l.token") == F.col("s.token"))
         .where((F.col("l.id") != F.col("s.id")) & _may_link("l", "s", rule))
-        .select(F.col("s.id").alias("a"), F.col("l.id").alias("b"))
+        .select(F.col("s.id").alias("a"), F.col("l.id").alias("b"), F.col("l.n").alias("m"))
         .distinct()
     )
     linked = settled(_verified(settled(first, "pairs"), members, rule), "links")
@@ -326,53 +330,60 @@ def links(members: DataFrame, rule: Rule) -> DataFrame:
             & ((F.col("b.label") == F.col("a.main")) | (F.col("a.id") < F.col("b.id")))
             & _may_link("a", "b", rule)
         )
-        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+        .select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("b.n").alias("m"))
         .distinct()
     )
     more = _verified(settled(second, "pairs"), members, rule)
     return linked.unionByName(more)
 
 
-def join(docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def join(
+    docs: DataFrame, rule: Rule = Rule(), *, key: str = "doc_id", text: str = "text", group: str | None = None
+) -> DataFrame:
     """``docs`` with ``n_shingles`` and ``component_id``, the least key reachable by links.
 
     Words are what white space separates, with A-Z lower-cased. A text with fewer words than an n-gram
     is one n-gram as a whole. Null texts and texts without words have an empty set and link with
     nothing. A null key links with nothing and has a null component. Equal sets always link, so
-    repeated rows, and copies, are in one component. Keys should be unique: of a key with several
-    texts each row is judged by its own. Other columns pass through, columns called as
+    repeated rows, and copies, are in one component. Keys are whole numbers and should be unique: of a key with several
+    texts each row is judged by its own, and a column called ``group`` then tells apart components with the same least key
+    (null without words or key). Other columns pass through, columns called as
     the new ones are replaced. An empty table stays empty.
 
     A text may have any length and a class any number of members: nothing is dropped or capped.
     """
-    own = [c for c in docs.columns if c.lower() not in ("n_shingles", "component_id", "__row")]
-    plain = docs.select(*map(column, own), F.xxhash64(column(key), column(text)).alias("__row"))
+    new = ("n_shingles", "component_id", "__row", "__text", (group or "component_id").lower())
+    own = [c for c in docs.columns if c.lower() not in new]
+    # Two hashes name a row, in opposite order, so that their bits add up.
+    first, second = (column(key), column(text)), (column(text), column(key), F.lit(1))
+    plain = docs.select(*map(column, own), F.xxhash64(*first).alias("__row"), F.xxhash64(*second).alias("__text"))
     texts = plain.select(
-        column(key).cast("long").alias("id"), column(text).alias("text"), F.col("__row").alias("row")
+        column(key).cast("long").alias("id"), column(text).alias("text"), F.col("__row").alias("row"), F.col("__text").alias("row2")
     )
     signed = settled(
-        _signatures(texts, "text", rule.words).select(
-            "id", "row", "n_shingles", F.col("__set").alias("set")
-        ),
+        _signatures(texts, "text", rule.words).select("id", "row", "row2", "n_shingles", F.col("__set").alias("set")),
         "sets",
     )
-    classes = settled(
-        signed.where(F.col("id").isNotNull() & F.col("set").isNotNull())
-        .groupBy("set").agg(F.min("id").alias("id")),
-        "classes",
-    )
+    # A class is numbered in the order of its least key, so the least class of a component has its least key.
+    classes = signed.where(F.col("id").isNotNull() & F.col("set").isNotNull()).groupBy("set").agg(F.min("id").alias("id"))
+    classes = settled(indexed(classes, [F.col("id"), F.col("set")], "class"), "classes")
     with_text = texts.where(F.col("id").isNotNull() & (F.length("text") > 0))
     members = settled(_prefixes(with_text, classes, rule), "members")
     found = components(links(members, rule))
-    grouped = classes.join(found, classes["id"] == found["node"], "left").select(
-        "set", F.coalesce("component", "id").alias("component")
-    )
-    reached = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    least = classes.select(F.col("class").alias("component"), F.col("id").alias("least"))
+    grouped = classes.join(found, classes["class"] == found["node"], "left").select(
+        "set", F.coalesce("component", "class").alias("component")
+    ).join(least, "component")
+    known = F.col("id").isNotNull()
     named = (
         signed.join(grouped, "set", "left")
-        .groupBy("row")
-        .agg(F.max("n_shingles").alias("n_shingles"), F.min(reached).alias("component_id"))
-    )
-    return plain.join(named, plain["__row"] == named["row"], "left").select(
-        *map(column, own), "n_shingles", "component_id"
+        .groupBy("row", "row2")
+        .agg(
+            F.max("n_shingles").alias("n_shingles"),
+            F.min(F.when(known, F.coalesce("least", "id"))).alias("component_id"),
+            F.min(F.when(known, F.col("component"))).alias("__group"),
+        )
     )
+    met = (plain["__row"] == named["row"]) & (plain["__text"] == named["row2"])
+    further = [F.col("__group").alias(group)] if group else []
+    return plain.join(named, met, "left").select(*map(column, own), "n_shingles", "component_id", *further)

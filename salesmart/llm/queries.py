@@ -154,8 +154,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = F.coalesce(langid.fold(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
-    taught = docs.where(~held_out).join(labels.dropDuplicates(), "doc_id")
-    model = toxicity.learn(taught)
+    model = toxicity.learn(docs.where(~held_out), labels)
     found = toxicity.score(docs, model)
     return found.select(
         "doc_id",

@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmart.llm.batches import with_columns
+from salesmart.llm.steps import column as named
+from salesmart.llm.steps import settled
 
 WORD = re.compile(r"[^\W_]+")
 #: Distinct words remembered by a task; beyond that the memory starts anew.
@@ -153,24 +155,41 @@ def train(texts: Sequence[str | None], labels: Sequence[int], settings: Settings
 
 
 def learn(
-    docs: DataFrame, *, text: str = "text", label: str = "label", rows: int = 6000, settings: Settings = Settings()
+    docs: DataFrame,
+    labels: DataFrame | None = None,
+    *,
+    text: str = "text",
+    key: str = "doc_id",
+    label: str = "label",
+    rows: int = 6000,
+    settings: Settings = Settings(),
 ) -> Model:
     """Train on the ``rows`` labelled texts that come first by a hash of their content.
 
-    The bound keeps the training data within the driver; it does not depend on the size of the
-    table. Rows without text or label (0 or 1) teach nothing; equal texts with the same label count
-    once. Texts are used whole.
+    The labels stand in ``docs``, or in ``labels`` by ``key``. The bound keeps the training data within the
+    driver; it does not depend on the size of the tables. Rows without text or label (0 or 1) teach nothing, nor does a
+    null key; equal texts with the same label count once. Texts are used whole. Only hashes of texts are shuffled to choose
+    them; the chosen texts are then fetched by at most ``rows`` hashes.
     """
-    taught = docs.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label"))
-    taught = taught.where((F.length("text") > 0) & F.col("label").isin(0, 1))
-    taught = taught.select("text", "label", F.xxhash64("text").alias("place"))
-    total = taught.select("place", "label").distinct().count()  # as the sample: copies count once
-    # Most rows are left out before the ordering; few more than needed pass.
-    share = min(1.0, 1.5 * rows / max(1, total) + 100 / max(1, total))
-    few = taught.where(F.pmod("place", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-    few = few.withColumn("near", F.pmod("place", F.lit(1_000_000))).drop("place").distinct()
-    sample = few.orderBy("near", "text", "label").limit(rows).collect()
-    return train([r["text"] for r in sample], [r["label"] for r in sample], settings)
+    texts = docs.where(F.length(named(text)) > 0).withColumn("__place", F.xxhash64(named(text)))
+    told = named(label).cast("int").alias("label")
+    if labels is None:
+        marks = texts.select(F.col("__place").alias("place"), told)
+    else:
+        by_key = labels.select(named(key).alias("key"), told)
+        marks = texts.select(named(key).alias("key"), F.col("__place").alias("place")).join(by_key, "key")
+    marks = settled(marks.where(F.col("label").isin(0, 1)).select("place", "label").distinct(), "marks")
+    # Most are left out before the ordering; few more than needed pass.
+    total = max(1, marks.count())
+    share = min(1.0, 1.5 * rows / total + 100 / total)
+    near = F.pmod("place", F.lit(1_000_000))
+    few = marks.withColumn("near", near).where(F.col("near") < int(share * 1_000_000) + 1)
+    chosen = {(r["place"], r["label"]) for r in few.orderBy("near", "place", "label").limit(rows).collect()}
+    places = docs.sparkSession.createDataFrame(sorted({(p,) for p, _ in chosen}), "place long")
+    found = texts.join(F.broadcast(places), F.col("__place") == F.col("place")).select("place", named(text).alias("text"))
+    whole = {r["place"]: r["text"] for r in found.dropDuplicates(["place"]).collect()}
+    sample = sorted((place % 1_000_000, whole[place], label) for place, label in chosen)
+    return train([t for _, t, _ in sample], [y for _, _, y in sample], settings)
 
 
 def score(
