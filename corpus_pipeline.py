@@ -28,37 +28,42 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five words, similarity 0.8) the one with the least id.
 
-    Of repeated rows one stays. Documents with a null id, and those without words, are no one's
-    duplicates and stay.
+    Of several texts with that id the one with the least hash stays, and of repeated rows the one with the least other
+    columns. Documents with a null id, and those without words, are no one's duplicates and all stay.
     """
     importable(spark)
-    found = settled(ngram_join.join(docs.select("doc_id", "text"), ngram_join.Rule(5, 80, 100)).select("doc_id", "component_id"), "groups")
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.where(F.col("doc_id").isNotNull()).join(first, "doc_id", "left_semi")
-    again = found.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if again:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    text = F.coalesce("text", F.lit(""))
+    alone = F.col("doc_id").isNull() | (F.length(F.btrim(text, F.lit(" \t\n\x0b\x0c\r"))) == 0)
+    judged = ngram_join.join(docs.where(~alone).select("doc_id", "text"), ngram_join.Rule(5, 80, 100), group="group")
+    found = settled(judged.select("doc_id", F.md5("text").alias("digest"), "component_id", "group"), "groups")
+    least = found.where(F.col("doc_id") == F.col("component_id")).groupBy("doc_id", "group").agg(F.min("digest").alias("digest"))
+    first = least.select("doc_id", "digest").distinct()
+    single = docs.where(~alone).withColumn("digest", F.md5("text")).join(first, ["doc_id", "digest"], "left_semi")
+    rest = F.min(F.struct("lang", "source", "n_chars")).alias("rest")
+    kept = single.groupBy("doc_id", "digest").agg(F.first("text").alias("text"), rest).select("doc_id", "text", "rest.*")
+    return kept.unionByName(docs.where(alone)).select(*COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of ten words (or a whole shorter item) of the benchmark."""
+    """Documents without a passage of ten words (or a whole shorter item) of the benchmark.
+
+    Null and empty texts, and repeated rows, stay; without a benchmark all do.
+    """
     marked = decontaminate.mark(docs, table(spark, sf_dir, "benchmark"), m=10)
     return marked.where(F.size("hit_spans") == 0).select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with the characters of secrets masked; lengths stay."""
+    """All documents, with the characters of secrets masked; lengths stay, and so do null texts and repeated rows."""
     importable(spark)
     found = secret_scan.scan(docs, scratch_path(spark, "ledger"))
     return found.withColumn("text", secret_scan.redacted(F.col("text"), F.col("spans"))).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of all documents, and whether they decode to the text."""
+    """Token ids of all documents, and whether they decode to the text; null is as empty, repeated rows stay."""
     importable(spark)
-    path = vocabulary(TOKENIZERS)
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.round_trip(docs, vocabulary(TOKENIZERS))
     return coded.select(
         "doc_id",
         "lang",
