@@ -20,9 +20,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from salesmart.llm.steps import column, settled
+from salesmart.llm.steps import column, settled, small
 
-BLOCKS = "bucket long, chunk long, round int, keys binary, counts binary"
+BLOCKS = "bucket long, chunk long, round int, keys binary, counts binary, places binary"
 ANSWERS = "chunk long, round int, bucket long, mask binary, names binary"
 
 CHUNK_LEAST, CHUNK_MOST = 4 << 20, 128 << 20
@@ -85,31 +85,41 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _plain(values: np.ndarray) -> bytes:
-    return zstandard.compress(values.astype(np.uint32).tobytes(), 1)
+def plain(values: np.ndarray, kind: type = np.uint32) -> bytes:
+    return zstandard.compress(values.astype(kind).tobytes(), 1)
 
 
-def _read_plain(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.decompress(data), np.uint32)
+def read_plain(data: bytes, kind: type = np.uint32) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(data), kind)
 
 
-def blocks(chunk: int, turn: int, found: Grouped) -> pa.Table:
-    """Rows of BLOCKS for a chunk."""
+def blocks(chunk: int, turn: int, found: Grouped, places: np.ndarray | None = None) -> pa.Table:
+    """Rows of BLOCKS for a chunk; ``places`` of the items go along, in the order of their keys."""
     edges = np.flatnonzero(np.diff(found.buckets, prepend=found.buckets[:1])) if len(found.keys) else []
     starts = [0, *map(int, edges)] if len(found.keys) else []
     ends = [*starts[1:], len(found.keys)]
+    sent = [None] * len(starts)
+    if places is not None and starts:
+        listed = places[np.argsort(found.group, kind="stable")]
+        upto = np.concatenate([[0], np.cumsum(found.counts)])
+        sent = [plain(listed[upto[s] : upto[e]], np.int64) for s, e in zip(starts, ends, strict=True)]
     rows = {
         "bucket": pa.array([int(found.buckets[s]) for s in starts], pa.int64()),
         "chunk": pa.array([chunk] * len(starts), pa.int64()),
         "round": pa.array([turn] * len(starts), pa.int32()),
         "keys": pa.array([pack(found.keys[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
-        "counts": pa.array([_plain(found.counts[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
+        "counts": pa.array([plain(found.counts[s:e]) for s, e in zip(starts, ends, strict=True)], pa.binary()),
+        "places": pa.array(sent, pa.binary()),
     }
     return pa.table(rows)
 
 
-def answers(sent: DataFrame, *, totals: bool = False) -> DataFrame:
-    """Rows of ANSWERS. The name of a repeated key is its rank, or its total with ``totals``."""
+def answers(sent: DataFrame, *, totals: bool = False, named: bool = True) -> DataFrame:
+    """Rows of ANSWERS. The name of a repeated key is its rank, or its total with ``totals``.
+
+    Without ``named`` only the mask is told. Where places came along, the names are instead the
+    places of the repeated keys, sorted.
+    """
 
     def settle(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("chunk")
@@ -122,17 +132,21 @@ def answers(sent: DataFrame, *, totals: bool = False) -> DataFrame:
         first[1:] = ordered[1:] != ordered[:-1]  # compare adjacent entries
         group = np.empty(len(every), np.int64)
         group[order] = np.cumsum(first) - 1
-        total = np.bincount(group, np.concatenate([_read_plain(c) for c in rows["counts"]])).astype(np.int64)
+        total = np.bincount(group, np.concatenate([read_plain(c) for c in rows["counts"]])).astype(np.int64)
         repeated = total > 1
         rank = np.cumsum(repeated)
         mask, name = repeated[group], (total if totals else rank)[group]
         ends = np.cumsum(sizes)
         out = {"mask": [], "names": []}
-        for end, size in zip(ends, sizes, strict=True):
+        for end, size, counts, places in zip(ends, sizes, rows["counts"], rows["places"], strict=True):
             own = mask[end - size : end]
             out["mask"].append(np.packbits(own).tobytes())
+            if places is not None:
+                here = read_plain(places, np.int64)[np.repeat(own, read_plain(counts))]
+                out["names"].append(pack(np.sort(here)))
+                continue
             mine = name[end - size : end][own]
-            out["names"].append(_plain(mine) if totals else pack(mine))
+            out["names"].append((plain(mine) if totals else pack(mine)) if named else b"")
         return pd.DataFrame(
             {"chunk": rows["chunk"], "round": rows["round"], "bucket": rows["bucket"], **out}
         )
@@ -140,28 +154,34 @@ def answers(sent: DataFrame, *, totals: bool = False) -> DataFrame:
     return sent.groupBy("bucket").applyInPandas(settle, ANSWERS)
 
 
-def answered(rows: pa.Table, turn: int, found: Grouped, *, totals: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def answered(
+    rows: pa.Table, turn: int, found: Grouped, *, totals: bool = False, named: bool = True
+) -> tuple[np.ndarray, np.ndarray]:
     """Mask and names of ``found`` from the answers to one round; a name is 0 for a single key."""
     mask = np.zeros(len(found.keys), bool)
-    names = np.zeros(len(found.keys), np.uint64)
+    names = np.zeros(len(found.keys) if named else 0, np.uint64)
     rounds = np.array(rows.column("round").to_pylist(), np.int64)
     for at in np.flatnonzero(rounds == turn):
         row = {c: rows.column(c)[int(at)].as_py() for c in ("bucket", "mask", "names")}
         start, end = np.searchsorted(found.buckets, [row["bucket"], row["bucket"] + 1])
         own = np.unpackbits(np.frombuffer(row["mask"], np.uint8), count=int(end - start)).astype(bool)
         mask[start:end] = own
+        if not named:
+            continue
         if totals:
-            names[start:end][own] = _read_plain(row["names"])
+            names[start:end][own] = read_plain(row["names"])
         else:  # ranks of two buckets differ by the bucket
             names[start:end][own] = unpack(row["names"]) + (np.uint64(row["bucket"] + 1) << np.uint64(32))
     return mask, names
 
 
 def dealt(docs: DataFrame, key: str | None, text: str, chunks: int) -> DataFrame:
-    """``docs`` with a ``__chunk``; equal rows get the same, unless they are too many for one.
+    """``docs`` with a ``__chunk``; rows with equal texts get the same, unless they are too many for one.
 
     Rows with equal hashes that hold more than a quarter of a mean chunk go to as many chunks, next to
-    one another, as they hold quarters. There are at most four times as many such hashes as chunks.
+    one another, as they hold quarters: by the values of all their columns, so a task that runs again deals
+    them as before. There are at most four times as many such hashes as chunks. Rows that are alike in all columns have no
+    value to be dealt by: where such rows are too many, the table is written and they are dealt by their place in it.
     """
     seeds = [column(text)] if key is None else [column(key), column(text)]
     placed = docs.withColumn("__hash", F.xxhash64(*seeds))
@@ -178,11 +198,17 @@ def dealt(docs: DataFrame, key: str | None, text: str, chunks: int) -> DataFrame
     start = F.pmod("__hash", F.lit(chunks))
     if chunks == 1 or hot.isEmpty():
         return placed.withColumn("__chunk", start).drop("__hash")
-    # Equal rows differ only by their place in the table.
-    place = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("__over"))
-    chunk = F.pmod(start + F.coalesce(place, F.lit(0)), F.lit(chunks))
-    spread = placed.join(F.broadcast(hot), F.col("__hash") == F.col("__hot"), "left")
-    return spread.withColumn("__chunk", chunk).drop("__hash", "__hot", "__over")
+    hot = small(hot)
+    met = F.col("__hash") == F.col("__hot")
+    every = F.xxhash64(*map(column, docs.columns))
+    # Of the hot texts alone: do rows alike in all columns fill more than their share of a chunk?
+    alike = placed.join(hot, met).select(every.alias("row"), size.alias("size")).groupBy("row").agg(F.sum("size").alias("size"))
+    if not alike.where(F.col("size") > quarter).isEmpty():
+        placed = settled(placed, "placed")
+        every = F.xxhash64(F.monotonically_increasing_id())
+    spread = placed.withColumn("__place", every).join(hot, met, "left")
+    chunk = F.pmod(start + F.coalesce(F.pmod("__place", F.col("__over")), F.lit(0)), F.lit(chunks))
+    return spread.withColumn("__chunk", chunk).drop("__hash", "__hot", "__over", "__place")
 
 
 def mixed(values: np.ndarray) -> np.ndarray:

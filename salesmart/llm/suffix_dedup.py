@@ -22,6 +22,8 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,10 +52,18 @@ def _rolling(seed: int) -> exchange.Rolling:
 
 
 class Sample:
-    """What the rounds compute for the documents of a chunk; each round does the former ones again."""
+    """What the rounds compute for the documents of a chunk.
+
+    Triples are made twice, to send them and to name them. Triples of names are sent with their positions in the
+    documents end to end, and those with repeated names come back, which is all that the last rounds need. Rows of a chunk come in any order, so they are sorted by what
+    they say; equal documents have equal results.
+    """
 
     def __init__(self, docs: list[bytes], length: int, cover: tuple[int, tuple[int, ...]], buckets: int):
-        self.docs = [np.frombuffer(d, np.uint8) for d in docs]
+        keys = [(len(d), xxhash.xxh3_128_digest(d)) for d in docs]
+        self.order = sorted(range(len(docs)), key=keys.__getitem__)
+        self.docs = [np.frombuffer(docs[i], np.uint8) for i in self.order]
+        self.starts = np.cumsum([0, *map(len, self.docs)])
         self.length, self.buckets = length, buckets
         self.v, self.residues = cover
         # A triple of names covers ``first + 2 v`` bytes, which must be length - v + 1.
@@ -81,55 +91,51 @@ class Sample:
         every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         return exchange.grouped(every, exchange.bucket_of(every, self.buckets))
 
-    def names(self, answers: pa.Table) -> exchange.Grouped:
-        """Keys of the triples of names that have no single one."""
+    def names(self, answers: pa.Table) -> tuple[exchange.Grouped, np.ndarray]:
+        """Keys of the triples of names that have no single one, and where they start."""
         found = self.triples()
         named = exchange.answered(answers, _TRIPLES, found)[1][found.group]
         step = len(self.residues)
-        keys, self.named = [], []
+        keys, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         start = 0
-        for at in self.at:
+        for at, offset in zip(self.at, self.starts, strict=False):
             own = named[start : start + len(at)]
             start += len(at)
             n = max(0, len(own) - 2 * step)
             a, b, c = own[:n], own[step : step + n], own[2 * step : 2 * step + n]
             left = np.flatnonzero((a > 0) & (b > 0) & (c > 0))
-            mixed = exchange.mixed(exchange.mixed(exchange.mixed(a[left]) ^ b[left]) ^ c[left])
-            keys.append(mixed)
-            self.named.append(at[left])
-        every = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        return exchange.grouped(every, exchange.bucket_of(every, self.buckets))
+            keys.append(exchange.mixed(exchange.mixed(exchange.mixed(a[left]) ^ b[left]) ^ c[left]))
+            places.append(at[left] + offset)
+        every = np.concatenate(keys)
+        return exchange.grouped(every, exchange.bucket_of(every, self.buckets)), np.concatenate(places)
 
     def rest(self, answers: pa.Table) -> exchange.Grouped:
         """Keys of the suffixes that lie at most v - 1 bytes before one with a repeated name."""
-        found = self.names(answers)
-        repeated = exchange.answered(answers, _NAMES, found)[0][found.group]
-        keys, buckets, self.left = [], [], []
-        start = 0
-        for data, at in zip(self.docs, self.named, strict=True):
-            own = at[repeated[start : start + len(at)]]
-            start += len(at)
+        told = answers.filter(pc.equal(answers["round"], _NAMES))["names"].to_pylist()
+        places = np.sort(np.concatenate([np.zeros(0, np.int64), *(exchange.unpack(x).astype(np.int64) for x in told)]))
+        keys, spreads, self.left = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
+        cuts = np.searchsorted(places, self.starts)
+        for data, offset, a, b in zip(self.docs, self.starts, cuts, cuts[1:], strict=False):
+            own_places = places[a:b] - offset
             n = len(data) - self.length + 1
-            if not len(own) or n <= 0:
+            if not len(own_places) or n <= 0:
                 self.left.append(np.zeros(0, np.int64))
                 continue
             marks = np.zeros(n + 1, np.int32)
-            np.add.at(marks, np.clip(own - self.v + 1, 0, n), 1)
-            np.add.at(marks, np.clip(own + 1, 0, n), -1)
+            np.add.at(marks, np.clip(own_places - self.v + 1, 0, n), 1)
+            np.add.at(marks, np.clip(own_places + 1, 0, n), -1)
             positions = np.flatnonzero(np.cumsum(marks)[:n] > 0)
             self.left.append(positions)
             # Two hashes: the bucket is of one and the key the other, so that their bits add up.
             keys.append(_rolling(2).windows(data, self.length, positions))
             spread = _rolling(3).windows(data, self.length, positions)
-            buckets.append(exchange.bucket_of(spread, self.buckets * 4))
-        if not keys:
-            keys, buckets = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
-        return exchange.grouped(np.concatenate(keys), np.concatenate(buckets))
+            spreads.append(exchange.bucket_of(spread, self.buckets * 4))
+        return exchange.grouped(np.concatenate(keys), np.concatenate(spreads))
 
     def spans(self, answers: pa.Table) -> list[list[tuple[int, int]]]:
         """Removed runs of each document."""
         found = self.rest(answers)
-        repeated = exchange.answered(answers, _REST, found)[0][found.group]
+        repeated = exchange.answered(answers, _REST, found, named=False)[0][found.group]
         out, start = [], 0
         for positions in self.left:
             own = positions[repeated[start : start + len(positions)]]
@@ -187,7 +193,9 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
         return exchange.blocks(chunk_of(table), _TRIPLES, sample(table).triples())
 
     def send_names(table: pa.Table, answers: pa.Table) -> pa.Table:
-        return exchange.blocks(chunk_of(table), _NAMES, sample(table).names(answers))
+        work, chunk = sample(table), chunk_of(table)
+        found, places = work.names(answers)
+        return exchange.blocks(chunk, _NAMES, found, places)
 
     def send_rest(table: pa.Table, answers: pa.Table) -> pa.Table:
         return exchange.blocks(chunk_of(table), _REST, sample(table).rest(answers))
@@ -212,6 +220,7 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
                 left[start:end] = False
             rest.append(data[left].tobytes())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        table = table.take(pa.array(work.order, pa.int64()))
         columns = [table.column(c) for c in names_]
         return pa.table(
             [
@@ -233,9 +242,8 @@ def remove_repeats(docs: DataFrame, *, length: int = 400, text: str = "text") ->
 
     names = exchange.answers(by_chunk.applyInArrow(send_triples, exchange.BLOCKS))
     again = exchange.answers(with_answers(names, send_names, exchange.BLOCKS))
-    both = names.unionByName(again)
-    last = exchange.answers(with_answers(both, send_rest, exchange.BLOCKS))
-    return with_answers(both.unionByName(last), finish, schema)
+    last = exchange.answers(with_answers(again, send_rest, exchange.BLOCKS), named=False)
+    return with_answers(again.unionByName(last), finish, schema)
 
 
 def _nothing(schema) -> pa.Table:
