@@ -28,15 +28,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from salesmart.llm.batches import give_back
 from salesmart.llm.exchange import pack, unpack
 from salesmart.llm.steps import column, indexed, settled, small
 
 #: Words of a block.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
 #: Bytes of a text that are split at once, and those of words that end a block.
 STRETCH_BYTES, BLOCK_BYTES = 4 << 20, 64 << 20
 #: Blocks of different languages that a task fills at a time hold this many words at most.
-HELD_WORDS = 4 << 20
+HELD_WORDS = 1 << 21
 #: Ids along one side of a square tile, and the number of its bands.
 SIDE, BANDS = 1 << 10, 16
 #: Packed bytes of a tile in one group, and words of all texts for each part of the wide tiles.
@@ -53,7 +54,6 @@ _PLAIN = bytes.maketrans(
 BLOCKS = "block long, lang string, lead int, n_words long, words array<string>, counts array<long>, sequence binary"
 STEPS = "block long, lang string, lead int, sequence binary"
 PARTS = "lang string, tile long, block long, keys binary, counts binary"
-TILES = "lang string, tile long, keys binary, counts binary"
 ANSWERS = "block long, tile long, keys binary, ids binary"
 
 
@@ -86,8 +86,8 @@ def tokens(text: bytes) -> Iterator[list[bytes]]:
 class _Block:
     """Words of one language as they come; ids are local to the block."""
 
-    def __init__(self, reach: int, lead: Sequence[bytes] = ()):
-        self.reach = reach
+    def __init__(self, reach: int, most: int, lead: Sequence[bytes] = ()):
+        self.reach, self.most = reach, most
         self.index: dict[bytes, int] = {_BREAK: 0}
         self.number = count(1)
         self.lead = len(lead)
@@ -109,7 +109,7 @@ class _Block:
 
     @property
     def full(self) -> bool:
-        return self.size >= BLOCK_WORDS or self.bytes >= BLOCK_BYTES
+        return self.size >= self.most or self.bytes >= BLOCK_BYTES
 
     def context(self) -> list[bytes]:
         """The words of the last piece that a phrase may still begin with."""
@@ -135,8 +135,11 @@ class _Block:
         )
 
 
-def blocks(docs: DataFrame, text: str, lang: str, reach: int) -> DataFrame:
-    """Rows of BLOCKS. A long piece that is cut goes on in a block that begins with its last ``reach`` words."""
+def blocks(docs: DataFrame, text: str, lang: str, reach: int, most: int = BLOCK_WORDS) -> DataFrame:
+    """Rows of BLOCKS, each of about ``most`` words.
+
+    A long piece that is cut goes on in a block that begins with its last ``reach`` words.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_: dict[str, _Block] = {}
@@ -145,18 +148,20 @@ def blocks(docs: DataFrame, text: str, lang: str, reach: int) -> DataFrame:
             languages = batch.column("lang").to_pylist()
             for own, value in zip(languages, batch.column("text"), strict=True):
                 for words in tokens(value.as_buffer().to_pybytes() if value.is_valid else b""):
-                    block = open_.setdefault(own, _Block(reach))
+                    block = open_.setdefault(own, _Block(reach, most))
                     block.add(words)
                     if block.full:
                         yield block.row(next(number), own)
-                        open_[own] = _Block(reach, block.context())
+                        open_[own] = _Block(reach, most, block.context())
                 if own in open_:
                     open_[own].add([_BREAK])
             if sum(b.size for b in open_.values()) > HELD_WORDS:
                 for own in list(open_):
                     yield open_.pop(own).row(next(number), own)
-        for own, block in open_.items():
+        while open_:
+            own, block = open_.popitem()
             yield block.row(next(number), own)
+        give_back()
 
     given = docs.select(
         F.coalesce(column(lang).cast("string"), F.lit("und")).alias("lang"), column(text).cast("binary").alias("text")
@@ -192,6 +197,7 @@ def _by_rank(blocked: DataFrame, words: DataFrame) -> DataFrame:
                     ids[row["at"].values.to_numpy()] = row["id"].values.to_numpy()
                 sequence = ids[_read_numbers(row["sequence"].as_py())]
                 yield _step(row["block"], row["lang"], row["lead"], sequence)
+        give_back()
 
     return rows.join(found, "block", "left").mapInArrow(run, STEPS)
 
@@ -266,6 +272,7 @@ def _counted(steps: DataFrame, words: int, parts: int) -> DataFrame:
                     ],
                     names=["lang", "tile", "block", "keys", "counts"],
                 )
+        give_back()
 
     return steps.mapInArrow(run, PARTS)
 
@@ -327,50 +334,40 @@ def _spread(parts: DataFrame, hot: DataFrame | None) -> DataFrame:
 
 
 def _frequent(counted: DataFrame, least: int) -> DataFrame:
-    """Rows of TILES: the pairs with at least ``least`` occurrences in all blocks."""
-
-    def total(least: int):
-        def run(key: tuple, rows: pa.Table) -> pa.Table:
-            lang, tile, share = (k.as_py() for k in key)
-            packed = zip(rows["keys"].to_pylist(), rows["counts"].to_pylist(), strict=True)
-            keys, counts = sum_tile(tile, packed)
-            enough = counts >= least
-            keys, counts = keys[enough], counts[enough]
-            found = [(lang, tile, share, pack(keys), _numbers(counts))] if len(keys) else []
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-            columns = [pa.array([row[i] for row in found], kind) for i, kind in enumerate(kinds)]
-            return pa.table(columns, names=["lang", "tile", "block", "keys", "counts"])
-
-        return run
+    """``(lang, a, b, n)``: the pairs with at least ``least`` occurrences in all blocks."""
+
+    def summed(rows: pa.Table, tile: int) -> tuple[np.ndarray, np.ndarray]:
+        return sum_tile(tile, zip(rows["keys"].to_pylist(), rows["counts"].to_pylist(), strict=True))
+
+    def partly(key: tuple, rows: pa.Table) -> pa.Table:
+        lang, tile, share = (k.as_py() for k in key)
+        keys, counts = summed(rows, tile)
+        packed = (lang, tile, share, pack(keys), _numbers(counts))
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        columns = [pa.array([value], kind) for value, kind in zip(packed, kinds, strict=True)]
+        return pa.table(columns, names=["lang", "tile", "block", "keys", "counts"])
+
+    def wholly(key: tuple, rows: pa.Table) -> pa.Table:
+        keys, counts = summed(rows, key[1].as_py())
+        enough = counts >= least
+        keys = keys[enough]
+        return pa.table(
+            {
+                "lang": pa.array([key[0].as_py()] * len(keys), pa.string()),
+                "a": pa.array((keys >> np.uint64(32)).astype(np.int64)),
+                "b": pa.array((keys & np.uint64(LARGEST)).astype(np.int64)),
+                "n": pa.array(counts[enough]),
+            }
+        )
 
-    by = ("lang", "tile", "share")
     now, before = counted, None
     while (hot := _hot(now)) is not None:
         size = hot.agg(F.sum("size")).first()[0]
         if before is not None and size > before // 2:
             break  # what is left are different keys, whose number the parts of a tile bound
-        now, before = settled(_spread(now, hot).groupBy(*by).applyInArrow(total(1), PARTS), "sums"), size
-    return _spread(now, None).groupBy(*by).applyInArrow(total(least), PARTS).drop("block")
-
-
-def _listed(tiles: DataFrame) -> DataFrame:
-    """``(lang, a, b, n)`` of the pairs in rows of TILES."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                keys = unpack(batch.column("keys")[k].as_py())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([batch.column("lang")[k].as_py()] * len(keys), pa.string()),
-                        pa.array((keys >> np.uint64(32)).astype(np.int64)),
-                        pa.array((keys & np.uint64(LARGEST)).astype(np.int64)),
-                        pa.array(_read_numbers(batch.column("counts")[k].as_py())),
-                    ],
-                    names=["lang", "a", "b", "n"],
-                )
-
-    return tiles.mapInArrow(run, "lang string, a long, b long, n long")
+        by = ("lang", "tile", "share")
+        now, before = settled(_spread(now, hot).groupBy(*by).applyInArrow(partly, PARTS), "sums"), size
+    return now.groupBy("lang", "tile").applyInArrow(wholly, "lang string, a long, b long, n long")
 
 
 def _tiled(ranked: DataFrame, parts: int) -> DataFrame:
@@ -459,7 +456,13 @@ def _answered(steps: DataFrame, counted: DataFrame, tiles: DataFrame) -> DataFra
 
 
 def frequent_phrases(
-    docs: DataFrame, *, least: int = 30, longest: int = 4, text: str = "text", lang: str = "lang"
+    docs: DataFrame,
+    *,
+    least: int = 30,
+    longest: int = 4,
+    text: str = "text",
+    lang: str = "lang",
+    block_words: int = BLOCK_WORDS,
 ) -> tuple[DataFrame, dict[int, DataFrame]]:
     """Words of each language, and its phrases of 2 to ``longest`` words with ``least`` occurrences.
 
@@ -469,7 +472,7 @@ def frequent_phrases(
     """
     if least < 1 or longest < 2:
         raise ValueError("least must be 1 or more, longest 2 or more")
-    made = settled(blocks(docs, text, lang, longest - 1), "blocks")
+    made = settled(blocks(docs, text, lang, longest - 1, block_words), "blocks")
     words = made.agg(F.sum("n_words")).first()[0]
     totals = made.groupBy("lang").agg(F.sum("n_words").alias("n")).where("n > 0")
     parts = max(1, (words or 0) // WIDE_WORDS)
@@ -480,7 +483,7 @@ def frequent_phrases(
     steps = settled(_by_rank(made, phrases[1]), "steps")
     for length in range(2, longest + 1):
         counted = settled(_counted(steps, length - 1, parts), "counted")
-        pairs = settled(_listed(_frequent(counted, least)), "pairs")
+        pairs = settled(_frequent(counted, least), "pairs")
         phrases[length] = settled(_ranked(pairs, ["a", "b"]), "phrases")
         _check(phrases[length])
         if length < longest:
@@ -502,6 +505,7 @@ def collocations(
     covered: tuple[int, int] = (80, 100),
     text: str = "text",
     lang: str = "lang",
+    block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
     """``(lang, phrase, a, l, r, n, score)``: the phrases of 2 to ``longest`` words, scored.
 
@@ -513,7 +517,9 @@ def collocations(
     A null language is ``und``. Null and empty texts have no words; repeated rows count each; other columns are not used; an
     empty table gives no rows. Texts are UTF-8. Frequent words and phrases of a language may be 2**32 of each length.
     """
-    totals, phrases = frequent_phrases(docs, least=least, longest=longest, text=text, lang=lang)
+    totals, phrases = frequent_phrases(
+        docs, least=least, longest=longest, text=text, lang=lang, block_words=block_words
+    )
     # What a phrase of each length knows: its words, and the counts of all parts that begin or end it.
     known = phrases[1].select("lang", "id", F.col("word").alias("phrase"), F.array("n").alias("heads"), F.array("n").alias("tails"))
     scored, inside = {}, {}
