@@ -2,7 +2,9 @@
 
     calendar   --target BASE --start 2009-01-01 --end 2030-12-31 [--country CO] [--holidays PATH]
     dimensions --target BASE --source SOURCE
-    facts      --target BASE --source SOURCE [--since DAY] [--until DAY] [--replace] [--null-overflow]
+    facts      --target BASE --source SOURCE [--since DAY] [--until DAY] [--replace | --changed] [--null-overflow]
+    sums       --target BASE
+    clean      --target BASE [--versions 2]
     history    --target BASE --source SOURCE [--as-of DAY]
     tables     --target BASE --database NAME
 
@@ -23,8 +25,11 @@ from pyspark.sql import SparkSession
 from salesmart.catalog.tables import discover_partitions, register_tables
 from salesmart.catalog.views import register_views
 from salesmart.functions.dates import as_date
+from salesmart.plans.kept import refresh_sums
 from salesmart.plans.refresh import (
+    clean_tables,
     refresh_calendar,
+    refresh_changed_facts,
     refresh_dimensions,
     refresh_facts,
     refresh_history,
@@ -55,12 +60,18 @@ def parser() -> argparse.ArgumentParser:
     facts = job("facts", reads_source=True)
     facts.add_argument("--since", type=as_date)
     facts.add_argument("--until", type=as_date)
-    facts.add_argument("--replace", action="store_true")
+    which = facts.add_mutually_exclusive_group()
+    which.add_argument("--replace", action="store_true")
+    which.add_argument("--changed", action="store_true", help="only days that differ from the stored ones")
     facts.add_argument("--null-overflow", action="store_true", help="null for amounts beyond the type")
     history = job("history", reads_source=True)
     history.add_argument("--as-of", type=as_date)
     tables = job("tables")
     tables.add_argument("--database", required=True)
+    tables.add_argument("--years", nargs=2, type=int, metavar=("FIRST", "LAST"))
+    job("sums")
+    clean = job("clean")
+    clean.add_argument("--versions", type=int, default=2)
     return root
 
 
@@ -84,12 +95,18 @@ def main(arguments: Sequence[str] | None = None) -> None:
         refresh_calendar(spark, args.target, args.start, args.end, args.country, holidays)
     elif args.job == "tables":
         register_tables(spark, args.database, args.target)
-        discover_partitions(spark, args.database)
+        discover_partitions(spark, args.database, args.years and tuple(args.years))
         register_views(spark, args.database)
+    elif args.job == "sums":
+        refresh_sums(spark, args.target)
+    elif args.job == "clean":
+        clean_tables(spark, args.target, args.versions)
     else:
         read = source_reader(spark, args.source, args.split, args.partitions, args.jdbc_option)
         if args.job == "dimensions":
             refresh_dimensions(read, args.target)
+        elif args.job == "facts" and args.changed:
+            refresh_changed_facts(read, args.target, args.since, args.until, strict=not args.null_overflow)
         elif args.job == "facts":
             refresh_facts(
                 read,

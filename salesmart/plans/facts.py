@@ -62,6 +62,20 @@ def lines_within(read: ReadTable, ranges: Sequence[tuple]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def invoices_on(invoice: DataFrame, days: Sequence[date], undated: bool = False) -> DataFrame:
+    """Invoices of the given days, and with ``undated`` those without a date.
+
+    The range of the days reaches the scan; the days themselves are joined, and are as few as a calendar has.
+    """
+    empty = invoice.filter(F.col("invoice_date").isNull())
+    if not days:
+        return empty if undated else invoice.filter(F.lit(False))
+    wanted = invoice.sparkSession.createDataFrame([(d,) for d in sorted(days)], "wanted date")
+    within = invoices_between(invoice, min(days), max(days)).filter(F.col("invoice_date").isNotNull())
+    chosen = within.join(F.broadcast(wanted), F.to_date("invoice_date") == F.col("wanted"), "left_semi")
+    return chosen.unionByName(empty) if undated else chosen
+
+
 def fact_sales_between(
     read: ReadTable,
     since: date | str | None = None,
@@ -69,14 +83,19 @@ def fact_sales_between(
     *,
     strict: bool = True,
 ) -> DataFrame:
-    """Sales of some days, and the undated ones, or all without bounds.
+    """Sales of some days, and the undated ones, or all without bounds."""
+    invoice = read("invoice")
+    if since is None and until is None:
+        return fact_sales(invoice, read("invoice_line"), read("customer"), strict=strict)
+    return fact_sales_of(read, invoices_between(invoice, since, until), strict=strict)
+
+
+def fact_sales_of(read: ReadTable, invoice: DataFrame, *, strict: bool = True) -> DataFrame:
+    """Sales of the chosen invoices.
 
-    For some days only the lines in the range of the chosen invoices' ids are read. That range may
+    Only the lines in the range of their ids are read. That range may
     hold others; the join decides. Few invoices are broadcast, so their lines are not shuffled.
     """
-    invoice = invoices_between(read("invoice"), since, until)
-    if since is None and until is None:
-        return fact_sales(invoice, read("invoice_line"), read("customer"), strict=strict)
     chosen, ranges = key_ranges(invoice)
     lines = lines_within(read, ranges)
     few = chosen <= MAX_BROADCAST_ROWS

@@ -24,12 +24,26 @@ DATE_KEYS = ["InvoiceDateKey", *DATE_PARTITIONS]
 class Star:
     """The curated tables the reports read; only the artist report needs tracks.
 
-    Any object with these attributes will do.
+    With ``sums``, those kept per day and track, the fact is not read and may be None. Any object with these attributes will do.
     """
 
-    fact_sales: DataFrame
+    fact_sales: DataFrame | None
     dim_date: DataFrame
     dim_track: DataFrame | None = None
+    sums: DataFrame | None = None
+
+
+def _sums(star: Star) -> DataFrame:
+    """Units, lines and amount per day."""
+    kept = getattr(star, "sums", None)
+    if kept is not None:
+        totals = [F.sum(c).alias(c) for c in ("units", "lines", "amount")]
+        return kept.groupBy(*DATE_KEYS).agg(*totals)
+    return star.fact_sales.groupBy(*DATE_KEYS).agg(
+        F.sum("Quantity").alias("units"),
+        F.count("*").alias("lines"),
+        F.sum("TotalAmount").alias("amount"),
+    )
 
 
 def _calendar(dim_date: DataFrame, *columns: str) -> DataFrame:
@@ -43,13 +57,8 @@ def _calendar(dim_date: DataFrame, *columns: str) -> DataFrame:
 
 def calendar_totals(star: Star, *columns: str) -> DataFrame:
     """Units, lines and revenue per group of calendar columns; days off the calendar drop."""
-    per_day = star.fact_sales.groupBy(*DATE_KEYS).agg(
-        F.sum("Quantity").alias("units"),
-        F.count("*").alias("lines"),
-        F.sum("TotalAmount").alias("amount"),
-    )
     return (
-        per_day.join(_calendar(star.dim_date, *columns), DATE_KEYS)
+        _sums(star).join(_calendar(star.dim_date, *columns), DATE_KEYS)
         .groupBy(*columns)
         .agg(
             F.sum("units").alias("tracks_sold"),
@@ -62,11 +71,13 @@ def calendar_totals(star: Star, *columns: str) -> DataFrame:
 def artist_month_totals(star: Star) -> DataFrame:
     """Units per year, month and artist."""
     months = bounded_broadcast(_calendar(star.dim_date, "Year", "Month"))
+    kept = getattr(star, "sums", None)
+    sold = star.fact_sales.withColumnRenamed("Quantity", "units") if kept is None else kept
     per_track = (
-        star.fact_sales.select(*DATE_KEYS, "TrackKey", "Quantity")
+        sold.select(*DATE_KEYS, "TrackKey", "units")
         .join(months, DATE_KEYS)
         .groupBy("Year", "Month", "TrackKey")
-        .agg(F.sum("Quantity").alias("units"))
+        .agg(F.sum("units").alias("units"))
     )
     return (
         per_track.join(star.dim_track.select("TrackKey", "Artist"), "TrackKey")

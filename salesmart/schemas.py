@@ -9,6 +9,9 @@ from pyspark.sql import types as T
 
 DATE_PARTITIONS = ["partition_year", "partition_month", "partition_day"]
 SNAPSHOT_PARTITIONS = ["snapshot_date"]
+#: Sums kept per day and track; a partition is a month.
+TRACK_DAY_SUMS = "track_day_sums"
+SUMS_PARTITIONS = DATE_PARTITIONS[:2]
 
 
 @dataclass(frozen=True)
@@ -64,9 +67,19 @@ TABLES = {
 }
 
 
+# Kept beside the curated tables, which are derived from no other of them.
+KEPT = {
+    TRACK_DAY_SUMS: CuratedTable(
+        "InvoiceDateKey INT, TrackKey INT, units BIGINT, lines BIGINT, amount DECIMAL(20,2), partition_day INT",
+        "partition_year INT, partition_month INT",
+        SUMS_PARTITIONS,
+    ),
+}
+
+
 def conform(frame: DataFrame, table: str, *, keep_extra: bool = False) -> DataFrame:
     """Cast to the declared columns of ``table``; extra columns are dropped or kept at the end."""
-    schema = TABLES[table].schema
+    schema = (TABLES | KEPT)[table].schema
     columns = [f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema.fields]
     if keep_extra:
         declared = {name.lower() for name in schema.names}

@@ -7,7 +7,8 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from salesmart.schemas import TABLES
+from salesmart.schemas import DATE_PARTITIONS, KEPT, TABLES
+from salesmart.sinks.manifest import LOAD, PartitionLog, day_of
 from salesmart.sinks.versions import current
 
 ReadTable = Callable[[str], DataFrame]
@@ -109,24 +110,46 @@ def split_options(column: str, low: int, high: int, partitions: int) -> dict[str
     }
 
 
-def curated_tables(spark: SparkSession, base: str) -> ReadTable:
+def curated_tables(spark: SparkSession, base: str, years: tuple[int, int] | None = None) -> ReadTable:
     """Curated tables under ``base``, with their declared schemas and no inference.
 
-    Of a table that is replaced as a whole the newest version is read.
+    A partitioned table is read from the partitions that its log names, and no other folder is listed. With ``years`` only
+    days of these years (both included) exist in the calendar and the fact, as if there were no others; sales
+    without a date are then not read either. Of a table that is replaced as a whole the newest version is read.
     """
 
     def read(name: str) -> DataFrame:
-        return spark.read.schema(TABLES[name].schema).parquet(current(spark, f"{base.rstrip('/')}/{name}"))
+        table, path = (TABLES | KEPT)[name], f"{base.rstrip('/')}/{name}"
+        if table.partition_by:
+            log = PartitionLog(spark, path, table.partition_by)
+            if log.is_used():
+                return log.read(table.schema, keep=declared_years(table.partition_by, years))
+        return spark.read.schema(table.schema).parquet(current(spark, path))
 
     return read
 
 
+def declared_years(partition_by: list[str], years: tuple[int, int] | None) -> Callable[[str], bool]:
+    """Whether a partition by day lies in the declared years; any other partition does."""
+    if years is None or partition_by != DATE_PARTITIONS:
+        return lambda part: True
+    first, last = years
+
+    def within(part: str) -> bool:
+        day = day_of(part)
+        return day is not None and first <= day.year <= last
+
+    return within
+
+
 def whole_customer_history(spark: SparkSession, base: str) -> DataFrame:
     """Customer snapshots with all columns that any snapshot has, the declared ones first."""
-    declared = TABLES["customer_history"].schema
+    table = TABLES["customer_history"]
     path = f"{base.rstrip('/')}/customer_history"
-    frame = spark.read.option("mergeSchema", "true").parquet(path)
-    further = [name for name in frame.columns if name not in declared.names]
+    log = PartitionLog(spark, path, table.partition_by)
+    folders = [f"{path}/{f}" for f in log.state().folders()] if log.is_used() else [path]
+    frame = spark.read.option("mergeSchema", "true").option("basePath", path).parquet(*folders).drop(LOAD)
+    further = [name for name in frame.columns if name not in table.schema.names]
     return frame.select(
-        *(F.col(f.name).cast(f.dataType) for f in declared), *("`" + c.replace("`", "``") + "`" for c in further)
+        *(F.col(f.name).cast(f.dataType) for f in table.schema), *("`" + c.replace("`", "``") + "`" for c in further)
     )
