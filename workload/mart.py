@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from salesmart.catalog.tables import discover_partitions, register_tables
 from salesmart.catalog.views import register_views
+from salesmart.plans.kept import refresh_sums
 from salesmart.plans.refresh import (
     refresh_calendar,
+    refresh_changed_facts,
     refresh_dimensions,
     refresh_facts,
     refresh_history,
 )
+from salesmart.schemas import TRACK_DAY_SUMS
 from salesmart.sinks.scratch import scratch_path
 from salesmart.sources.tables import ReadTable, curated_tables
 from workload.sample import SNAPSHOT_DAY, order_days, sample_tables
@@ -80,6 +83,25 @@ def redated(read: ReadTable) -> ReadTable:
     return table
 
 
+def before_corrections(read: ReadTable) -> ReadTable:
+    """As the tables were before some corrections, each of one invoice in about a thousand.
+
+    Invoices got another date (four days earlier now), were added, or lost lines that they had twice.
+    """
+
+    def table(name: str) -> DataFrame:
+        frame = read(name)
+        if name == "invoice":
+            later = F.col("invoice_date") + F.expr("INTERVAL 4 DAYS")
+            moved = F.when(F.col("invoice_id") % 997 == 0, later).otherwise(F.col("invoice_date"))
+            return frame.filter("invoice_id % 1009 <> 1").withColumn("invoice_date", moved)
+        if name == "invoice_line":
+            return frame.unionByName(frame.filter("invoice_id % 1013 = 2"))
+        return frame
+
+    return table
+
+
 def altered(read: ReadTable) -> ReadTable:
     """Tables that differ visibly in every curated table: what the first load is made from."""
     changes: dict[str, Callable[[DataFrame], DataFrame]] = {
@@ -126,6 +148,13 @@ class SampleMart:
                 if self.second:
                     refresh_facts(self.source, self.base)
                     refresh_facts(self.source, self.base, *RELOADED_DAYS)
+        elif part == "sums":
+            self._load("facts")
+            refresh_facts(altered(self.source), self.base, *RELOADED_DAYS)
+            refresh_sums(self.spark, self.base)
+            if self.second:
+                refresh_changed_facts(self.source, self.base)
+                refresh_sums(self.spark, self.base)
         elif part == "history":
             for day in (EARLIER_SNAPSHOT_DAY, SNAPSHOT_DAY):
                 refresh_history(altered(self.source), self.base, day)
@@ -135,7 +164,7 @@ class SampleMart:
 
     def table(self, name: str) -> DataFrame:
         """A curated table, read with its declared schema."""
-        parts = {"dim_date": "calendar", "fact_sales": "facts"}
+        parts = {"dim_date": "calendar", "fact_sales": "facts", TRACK_DAY_SUMS: "sums"}
         kind = "history" if name.endswith("_history") else "dimensions"
         self._load(parts.get(name, kind))
         return curated_tables(self.spark, self.base)(name)

@@ -211,6 +211,22 @@ ORACLES: dict[str, str] = {
         CAST(sum(Quantity) AS BIGINT) AS units FROM fact GROUP BY InvoiceDateKey""",
     "fact_reload_redated": f"""WITH {SALES} SELECT InvoiceDateKey, count(*) AS sale_lines,
         CAST(sum(Quantity) AS BIGINT) AS units FROM fact GROUP BY InvoiceDateKey""",
+    "fact_changed_days": f"""WITH {SALES},
+        corrected AS (
+          SELECT CAST(o_orderdate AS DATE) + unnest(CASE WHEN o_orderkey % 997 = 0 THEN [0, 4] ELSE [0] END) AS day
+          FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 1009 = 1 OR o_orderkey % 1013 = 2
+        )
+        SELECT InvoiceDateKey, count(*) AS sale_lines, CAST(sum(Quantity) AS BIGINT) AS units,
+               InvoiceDateKey IN (SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) FROM corrected) AS rewritten
+        FROM fact GROUP BY InvoiceDateKey""",
+    "fact_declared_years": f"""WITH {SALES}, {ORDER_DAYS}, {DATE_DIM},
+        counted AS (
+          SELECT 'fact_sales' AS table_name, partition_year, count(*) AS table_rows FROM fact GROUP BY ALL
+          UNION ALL SELECT 'dim_date', partition_year, count(*) FROM date_dim GROUP BY ALL
+        )
+        SELECT table_name, how, partition_year, table_rows
+        FROM counted CROSS JOIN (VALUES ('read'), ('registered')) AS t(how)
+        WHERE partition_year BETWEEN 1996 AND 1998""",
     "customer_snapshot": f"""WITH {CUSTOMER} SELECT {_CUSTOMER_COLUMNS},
         DATE '{SNAPSHOT_DAY}' AS snapshot_date FROM customer_src""",
     "employee_reports_snapshot": f"""WITH {EMPLOYEE}
@@ -287,3 +303,4 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'employee_reports_history', 2 * count(*),
           CAST(2 * sum(EmployeeKey) AS BIGINT) FROM reports""",
 }
+ORACLES |= {f"kept_{name.removeprefix('report_')}": ORACLES[name] for name in list(ORACLES) if name.startswith("report_")}

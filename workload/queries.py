@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -24,11 +25,12 @@ from salesmart.plans.reports import (
     calendar_totals,
     top_artist_by_month,
 )
-from salesmart.plans.refresh import refresh_facts
-from salesmart.schemas import DATE_PARTITIONS, TABLES
+from salesmart.plans.refresh import refresh_changed_facts, refresh_facts
+from salesmart.schemas import DATE_PARTITIONS, TABLES, TRACK_DAY_SUMS
+from salesmart.sinks.manifest import day_of
 from salesmart.sinks.scratch import scratch_path
 from salesmart.sources.tables import ReadTable, curated_tables
-from workload.mart import RELOADED_DAYS, more_write_tasks, redated, sample_mart, withdrawn
+from workload.mart import RELOADED_DAYS, before_corrections, more_write_tasks, redated, sample_mart, withdrawn
 from workload.sample import (
     SNAPSHOT_DAY,
     SampleStar,
@@ -41,6 +43,9 @@ from workload.sample import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Fixed value: the years that exist for queries about declared years.
+DECLARED_YEARS = (1996, 1998)
+
 
 def _order_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = given(spark, sf_dir, "orders")
@@ -213,6 +218,50 @@ def q_fact_reload_redated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reloaded(spark, redated(read), read, ())
 
 
+def q_fact_changed_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales per day after a load before some corrections and one of the changed days, and which these were."""
+    read, base = sample_tables(spark, sf_dir), scratch_path(spark, "changed")
+    with more_write_tasks(spark):
+        refresh_facts(before_corrections(read), base)
+        rewritten = refresh_changed_facts(read, base)
+    days = [(int(day_of(part).strftime("%Y%m%d")),) for part in rewritten]
+    listed = spark.createDataFrame(days, "InvoiceDateKey int").withColumn("rewritten", F.lit(True))
+    per_day = _per_day(curated_tables(spark, base)("fact_sales"))
+    joined = per_day.join(F.broadcast(listed), "InvoiceDateKey", "left")
+    return joined.fillna(False, ["rewritten"])
+
+
+def q_fact_declared_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows by year of the fact and the calendar, read and registered, where only some years are declared."""
+    mart = sample_mart(spark, sf_dir)
+    for name in ("fact_sales", "dim_date"):
+        mart.table(name)
+    database = f"salesmart_{uuid.uuid4().hex}"
+    register_tables(spark, database, mart.base)
+    discover_partitions(spark, database, DECLARED_YEARS)
+    read = curated_tables(spark, mart.base, DECLARED_YEARS)
+    frames = {(name, how): frame for name in ("fact_sales", "dim_date") for how, frame in (
+        ("read", read(name)), ("registered", spark.table(f"{database}.{name}"))
+    )}
+    counts = [
+        frame.groupBy("partition_year").agg(F.count("*").alias("table_rows"))
+        .select(F.lit(name).alias("table_name"), F.lit(how).alias("how"), "partition_year", "table_rows")
+        for (name, how), frame in frames.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+def _kept_report(name: str) -> Query:
+    """A report over sums that followed several loads, without the fact."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        mart = sample_mart(spark, sf_dir)
+        sums = mart.table(TRACK_DAY_SUMS)
+        return REPORTS[name](Star(None, mart.table("dim_date"), mart.table("dim_track"), sums))
+
+    return query
+
+
 def q_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_mart(spark, sf_dir).table("customer_history")
 
@@ -301,4 +350,5 @@ QUERIES: dict[str, Query] = {
     name.removeprefix("q_"): query for name, query in list(globals().items()) if name[:2] == "q_"
 }
 QUERIES |= {f"report_{name}": _report(name) for name in REPORTS}
+QUERIES |= {f"kept_{name}": _kept_report(name) for name in REPORTS}
 QUERIES |= {f"view_{name.removeprefix('v_')}": _view(name) for name in VIEWS}
