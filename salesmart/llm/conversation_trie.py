@@ -129,6 +129,11 @@ def _rollup(rows: DataFrame, values: DataFrame, totals: list[str], height: int,
     return both.agg(*(F.sum(t).alias(t) for t in totals))
 
 
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    columns = zip(zip(*rows, strict=True), kinds, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], names=names)
+
+
 def _ends(last: DataFrame) -> DataFrame:
     """``(a, b, ends_sha256)`` of the nodes ``(a, b)`` where conversations ``conv`` end.
 
@@ -138,43 +143,44 @@ def _ends(last: DataFrame) -> DataFrame:
     order = ["a", "b", "conv"]
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, held = None, []
+        kinds = [pa.int64()] * 3 + [pa.binary()]
+        names, rows, node, held = ["a", "b", "first", "ids"], [], None, []
 
-        def block() -> pa.RecordBatch:
+        def close() -> None:
             ids = np.array(held, np.int64)
-            return pa.RecordBatch.from_arrays(
-                [*(pa.array([x], pa.int64()) for x in (*node, held[0])), pa.array([zstandard.compress(ids.tobytes(), 1)])],
-                names=["a", "b", "first", "ids"],
-            )
+            rows.append((*node, held[0], zstandard.compress(ids.tobytes(), 1)))
 
         for batch in batches:
             for a, b, conv in zip(*(batch.column(c).to_pylist() for c in order), strict=True):
                 if held and ((a, b) != node or len(held) == PACKED):
-                    yield block()
+                    close()
                     held = []
                 node = (a, b)
                 held.append(conv)
+            if rows:
+                yield _batch(rows, names, kinds)
+                rows = []
         if held:
-            yield block()
+            close()
+            yield _batch(rows, names, kinds)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, state = None, hashlib.sha256()
-
-        def told() -> pa.RecordBatch:
-            values = [pa.array([x], pa.int64()) for x in node]
-            return pa.RecordBatch.from_arrays([*values, pa.array([state.hexdigest()])], names=["a", "b", "ends_sha256"])
-
+        kinds = [pa.int64()] * 2 + [pa.string()]
+        names, rows, node, state = ["a", "b", "ends_sha256"], [], None, hashlib.sha256()
         for batch in batches:
             for a, b, ids in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ids")), strict=True):
                 if node is not None and (a, b) != node:
-                    yield told()
+                    rows.append((*node, state.hexdigest()))
                     state = hashlib.sha256()
                 elif node is not None:
                     state.update(b",")
                 node = (a, b)
                 state.update(",".join(map(str, np.frombuffer(zstandard.decompress(ids), np.int64).tolist())).encode())
+            if rows:
+                yield _batch(rows, names, kinds)
+                rows = []
         if node is not None:
-            yield told()
+            yield _batch([(*node, state.hexdigest())], names, kinds)
 
     sorted_ = last.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     packed = sorted_.mapInArrow(pack, "a long, b long, first long, ids binary")
