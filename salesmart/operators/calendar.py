@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import as_date, calendar_columns, partition_columns
-from salesmart.operators.holidays import FIRST_YEAR, holidays_co
+from salesmart.operators.holiday_rules import country_holidays, first_year
 from salesmart.operators.lookups import bounded_broadcast
 from salesmart.schemas import conform
 
@@ -76,16 +76,14 @@ def dim_date(
 ) -> DataFrame:
     """Calendar dimension for a range of days.
 
-    ``holidays`` is a frame ``(country, holiday_date, ...)``; without it the built-in rules are
-    used, which exist for ``CO`` only.
+    ``holidays`` is a frame ``(country, holiday_date, ...)``; without it the built-in rules of the
+    country are used. A country without rules raises, and so do years before a country's first one.
     """
     start, end = as_date(start), as_date(end)
     days = date_range(spark, start, end)
     if holidays is None:
-        if country != "CO":
-            raise ValueError(f"no built-in holidays for {country!r}: pass a holidays frame")
-        if start.year < FIRST_YEAR:
-            raise ValueError(f"built-in holidays start in {FIRST_YEAR}")
+        if start.year < first_year(country):
+            raise ValueError(f"built-in holidays of {country} start in {first_year(country)}")
         years = spark.range(start.year, end.year + 1).select(F.col("id").cast("int").alias("year"))
-        holidays = holidays_co(years)
+        holidays = country_holidays(years, country)
     return calendar_table(days, holidays.filter(F.col("country") == country))

@@ -140,6 +140,60 @@ holidays AS (
   SELECT sunday + off, name FROM easter, ({_rules(_EASTER)}) AS f(off, name)
 )"""
 
+_DATED = [
+    ("US", 1, 1, "New Year''s Day", 1), ("US", 7, 4, "Independence Day", 1), ("US", 11, 11, "Veterans Day", 1),
+    ("US", 12, 25, "Christmas Day", 1), ("DE", 1, 1, "New Year''s Day", 0), ("DE", 5, 1, "Labour Day", 0),
+    ("DE", 10, 3, "German Unity Day", 0), ("DE", 12, 25, "Christmas Day", 0), ("DE", 12, 26, "Second Day of Christmas", 0),
+    ("FR", 1, 1, "New Year''s Day", 0), ("FR", 5, 1, "Labour Day", 0), ("FR", 5, 8, "Victory Day", 0),
+    ("FR", 7, 14, "National Day", 0), ("FR", 8, 15, "Assumption", 0), ("FR", 11, 1, "All Saints'' Day", 0),
+    ("FR", 11, 11, "Armistice Day", 0), ("FR", 12, 25, "Christmas Day", 0), ("GR", 1, 1, "New Year''s Day", 0),
+    ("GR", 1, 6, "Epiphany", 0), ("GR", 3, 25, "Independence Day", 0), ("GR", 5, 1, "Labour Day", 0),
+    ("GR", 8, 15, "Assumption", 0), ("GR", 10, 28, "Ochi Day", 0), ("GR", 12, 25, "Christmas Day", 0),
+    ("GR", 12, 26, "Glorifying of the Mother of God", 0), ("CA", 1, 1, "New Year''s Day", 0), ("CA", 7, 1, "Canada Day", 0),
+    ("CA", 11, 11, "Remembrance Day", 0), ("CA", 12, 25, "Christmas Day", 0),
+]
+# The n-th weekday (1 is Monday) of a month, counted from its end with a negative number.
+_WEEKDAYS = [
+    ("US", 1, 1, 3, "Martin Luther King Jr. Day"), ("US", 2, 1, 3, "Washington''s Birthday"), ("US", 5, 1, -1, "Memorial Day"),
+    ("US", 9, 1, 1, "Labor Day"), ("US", 10, 1, 2, "Columbus Day"), ("US", 11, 4, 4, "Thanksgiving"),
+    ("CA", 9, 1, 1, "Labour Day"), ("CA", 10, 1, 2, "Thanksgiving"),
+]
+_WESTERN = [
+    ("DE", -2, "Good Friday"), ("DE", 1, "Easter Monday"), ("DE", 39, "Ascension"), ("DE", 50, "Whit Monday"),
+    ("FR", 1, "Easter Monday"), ("FR", 39, "Ascension"), ("FR", 50, "Whit Monday"), ("CA", -2, "Good Friday"),
+]
+_EASTERN = [("GR", -48, "Clean Monday"), ("GR", -2, "Good Friday"), ("GR", 1, "Easter Monday"), ("GR", 50, "Whit Monday")]
+
+COUNTRY_HOLIDAYS = f"""
+around AS (SELECT y FROM years UNION SELECT y + 1 FROM years),
+dated AS (
+  SELECT country, make_date(y, m, dd) AS holiday_date, name, moves FROM around, ({_rules(_DATED)}) AS f(country, m, dd, name, moves)
+),
+every AS (
+  SELECT day, isodow(day) AS w, CAST(month(day) AS INTEGER) AS m,
+         row_number() OVER (PARTITION BY year(day), month(day), isodow(day) ORDER BY day) AS n,
+         -row_number() OVER (PARTITION BY year(day), month(day), isodow(day) ORDER BY day DESC) AS back
+  FROM (SELECT CAST(unnest(generate_series(CAST(make_date(y, 1, 1) AS TIMESTAMP),
+          CAST(make_date(y, 12, 31) AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM years)
+),
+eastern AS (
+  SELECT y, make_date(y, 3, 22) + CAST(13 + d + (2 * (y % 4) + 4 * (y % 7) + 6 * d + 6) % 7 AS INTEGER) AS sunday
+  FROM (SELECT y, (19 * (y % 19) + 15) % 30 AS d FROM years)
+),
+by_country AS (
+  SELECT country, holiday_date, name FROM dated
+  UNION ALL SELECT country, holiday_date + 1, name || ' (observed)' FROM dated WHERE moves = 1 AND isodow(holiday_date) = 7
+  UNION ALL SELECT country, holiday_date - 1, name || ' (observed)' FROM dated WHERE moves = 1 AND isodow(holiday_date) = 6
+  UNION ALL SELECT country, day, name FROM every JOIN ({_rules(_WEEKDAYS)}) AS f(country, mm, ww, nn, name)
+    ON mm = m AND ww = w AND nn IN (n, back)
+  UNION ALL SELECT country, sunday + off, name FROM easter, ({_rules(_WESTERN)}) AS f(country, off, name)
+  UNION ALL SELECT country, sunday + off, name FROM eastern, ({_rules(_EASTERN)}) AS f(country, off, name)
+  UNION ALL SELECT 'CA', max(day), 'Victoria Day' FROM every WHERE w = 1 AND m = 5 AND day(day) < 25 GROUP BY year(day)
+  UNION ALL SELECT 'DE', max(day), 'Repentance Day' FROM every
+    WHERE w = 3 AND m = 11 AND day(day) < 23 AND year(day) <= 1994 GROUP BY year(day)
+  UNION ALL SELECT 'CO', holiday_date, name FROM holidays
+)"""
+
 DATE_DIM = f"""{CALENDAR_YEARS}, {HOLIDAYS},
 date_dim AS (
   SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) AS DateKey,
@@ -213,8 +267,10 @@ ORACLES: dict[str, str] = {
         CAST(sum(Quantity) AS BIGINT) AS units FROM fact GROUP BY InvoiceDateKey""",
     "fact_changed_days": f"""WITH {SALES},
         corrected AS (
-          SELECT CAST(o_orderdate AS DATE) + unnest(CASE WHEN o_orderkey % 997 = 0 THEN [0, 4] ELSE [0] END) AS day
-          FROM orders WHERE o_orderkey % 997 = 0 OR o_orderkey % 1009 = 1 OR o_orderkey % 1013 = 2
+          SELECT CAST(o_orderdate AS DATE)
+                   + unnest(CASE WHEN o_orderkey % 997 = 0 AND o_orderkey % 1009 <> 1 THEN [0, 4] ELSE [0] END) AS day
+          FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)
+            AND (o_orderkey % 997 = 0 OR o_orderkey % 1009 = 1 OR o_orderkey % 1013 = 2)
         )
         SELECT InvoiceDateKey, count(*) AS sale_lines, CAST(sum(Quantity) AS BIGINT) AS units,
                InvoiceDateKey IN (SELECT CAST(strftime(day, '%Y%m%d') AS INTEGER) FROM corrected) AS rewritten
@@ -244,6 +300,8 @@ ORACLES: dict[str, str] = {
         CAST(o_orderdate AS DATE) AS parsed_day FROM orders""",
     "holidays_co": f"""WITH {ORDER_YEARS}, {HOLIDAYS}
         SELECT 'CO' AS country, holiday_date, name FROM holidays""",
+    "holidays_by_country": f"""WITH {ORDER_YEARS}, {HOLIDAYS}, {COUNTRY_HOLIDAYS}
+        SELECT country, holiday_date, name FROM by_country WHERE year(holiday_date) IN (SELECT y FROM years)""",
     "order_holidays": f"""WITH {ORDER_YEARS}, {HOLIDAYS}
         SELECT o_orderkey, CAST(o_orderdate AS DATE) IN (SELECT holiday_date FROM holidays)
           AS IsHoliday FROM orders""",

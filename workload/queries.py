@@ -14,6 +14,7 @@ from salesmart.catalog.views import VIEWS
 from salesmart.functions.dates import calendar_columns, date_key, parse_date
 from salesmart.functions.values import line_amount
 from salesmart.operators.calendar import calendar_table, date_span, dim_date, flag_holidays
+from salesmart.operators.holiday_rules import country_holidays
 from salesmart.operators.holidays import holidays_co
 from salesmart.plans.dimensions import dim_customer
 from salesmart.plans.facts import fact_sales, fact_sales_between
@@ -43,6 +44,8 @@ from workload.sample import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+# Countries with rules for the years of the given orders.
+HOLIDAY_COUNTRIES = ("CA", "CO", "DE", "FR", "GR", "US")
 # Fixed value: the years that exist for queries about declared years.
 DECLARED_YEARS = (1996, 1998)
 
@@ -123,6 +126,12 @@ def q_holidays_co(spark: SparkSession, sf_dir: str) -> DataFrame:
     return holidays_co(_order_years(spark, sf_dir))
 
 
+def q_holidays_by_country(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Holidays of several countries in the years of the orders."""
+    years = _order_years(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [country_holidays(years, c) for c in HOLIDAY_COUNTRIES])
+
+
 def q_order_holidays(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = given(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     flagged = flag_holidays(orders, "o_orderdate", holidays_co(_order_years(spark, sf_dir)))
