@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections import OrderedDict
 from collections.abc import Iterable
 from math import ceil
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,25 +69,51 @@ def bounded_broadcast(
     return F.broadcast(frame) if rows <= max_rows and (size or 0) <= max_bytes else frame
 
 
+#: Hot keys found before, by the plan of the keys: (session, plan, tasks, least rows) to key and rows.
+_FOUND: OrderedDict[tuple, dict] = OrderedDict()
+
+
 def hot_keys(frame: DataFrame, key: str, min_rows: int = MIN_HOT_ROWS) -> dict:
     """Keys with more rows than a mean task of a shuffle, and the parts to cut each into.
 
     They are found with a sketch of frequent items, whose size is fixed and which is merged from the
-    map tasks; nothing is shuffled. There are at most as many such keys as shuffle partitions.
+    map tasks; nothing is shuffled. There are at most as many such keys as shuffle partitions. For one
+    plan they are looked for once in a session: should the data have changed since, other keys
+    are split, and no row is joined otherwise.
     """
-    tasks = int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = frame.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = "`" + key.replace("`", "``") + "`"
+    keys = frame.select(F.col(name).alias("key"))
+    known = (spark.sparkContext.applicationId, keys.semanticHash(), tasks, min_rows)
+    if known in _FOUND:
+        _FOUND.move_to_end(known)
+        return _FOUND[known]
     listed = min(tasks, TRACKED_KEYS)
-    found = frame.where(F.col(key).isNotNull()).agg(
+    found = keys.where(F.col("key").isNotNull()).agg(
         F.count(F.lit(1)).alias("rows"),
-        F.expr(f"approx_top_k(`{key}`, {listed}, {TRACKED_KEYS})").alias("top"),
+        F.expr(f"approx_top_k(key, {listed}, {TRACKED_KEYS})").alias("top"),
     )
     total, top = found.first()
     mean = max(1.0, total / tasks)
-    return {
+    _FOUND[known] = {
         item["item"]: min(tasks, ceil(item["count"] / mean) * 2)
         for item in top or ()
         if item["count"] >= min_rows and item["count"] > mean
     }
+    if len(_FOUND) > 256:
+        _FOUND.popitem(last=False)
+    return _FOUND[known]
+
+
+def _place_in_file(frame: DataFrame) -> list[Column]:
+    """What tells a row from an identical one wherever it is read again; nothing for rows that come from no file."""
+    place = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+    try:
+        frame.select(*place)
+    except AnalysisException:
+        return []
+    return place
 
 
 def salted_join(
@@ -93,10 +121,11 @@ def salted_join(
 ) -> DataFrame:
     """Join on ``key``, inner or left, with the rows of hot keys of ``left`` spread over tasks.
 
-    Only the rows of ``right`` with a hot key are repeated, once for each part. The part of a left row
-    follows from its values, so a repeated task deals it as before; rows that are alike in all
-    columns stay together. Rows with a null key match nothing and are not shuffled at all. Where the
-    planner will broadcast ``right`` anyway, nothing is looked for.
+    The hot keys and their parts are a small table that is broadcast to both sides. Only the rows of ``right`` with a hot key
+    are repeated, once for each part. The part of a left row follows from its values and, where it is read from a
+    Parquet file, its place in it: so a repeated task deals it as before, and rows that are alike in all columns are split
+    too. Of other sources such rows stay together. Rows with a null key match nothing and are not
+    shuffled at all. Where the planner will broadcast ``right`` anyway, nothing is looked for.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"an inner or left join, not {how!r}")
@@ -108,14 +137,24 @@ def salted_join(
     if not hot:
         joined = keyed.join(right, key, how)
     else:
-        parts = F.create_map(*(F.lit(x) for item in hot.items() for x in item))
-        share = F.coalesce(parts[F.col(name)], F.lit(1))
-        dealt = keyed.withColumn("__part", F.pmod(F.xxhash64(*keyed.columns), share.cast("long")))
-        copies = right.select("*", F.explode(F.sequence(F.lit(0).cast("long"), (share - 1).cast("long"))).alias("__part"))
-        joined = dealt.join(copies, [key, "__part"], how).drop("__part")
+        joined = _joined_in_parts(keyed, right, key, how, hot)
     if how == "inner":
         return joined
     nulls = left.where(F.col(name).isNull())
     added = [f for f in right.schema if f.name != key]
     empty = nulls.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in added))
     return joined.unionByName(empty.select(*joined.columns))
+
+
+def _joined_in_parts(left: DataFrame, right: DataFrame, key: str, how: str, hot: dict) -> DataFrame:
+    name = "`" + key.replace("`", "``") + "`"
+    kind = left.schema[key].dataType.simpleString()
+    table = F.broadcast(left.sparkSession.createDataFrame(sorted(hot.items()), f"__hot {kind}, __parts int"))
+    values = [F.col("`" + c.replace("`", "``") + "`") for c in left.columns]
+    seed = F.xxhash64(*values, *_place_in_file(left))
+    shared = left.withColumn("__seed", seed).join(table, F.col(name) == F.col("__hot"), "left")
+    dealt = shared.withColumn("__part", F.pmod("__seed", F.coalesce("__parts", F.lit(1)).cast("long")))
+    parts = F.sequence(F.lit(0).cast("long"), (F.coalesce("__parts", F.lit(1)) - 1).cast("long"))
+    copies = right.join(table, F.col(name) == F.col("__hot"), "left").withColumn("__part", F.explode(parts))
+    extra = ("__seed", "__hot", "__parts")
+    return dealt.drop(*extra).join(copies.drop(*extra), [key, "__part"], how).drop("__part")

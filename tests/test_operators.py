@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from salesmart.functions.values import full_name
@@ -162,3 +163,52 @@ def test_full_name_skips_nulls(spark):
         [("a", "b"), ("a", None), (None, None)], "f string, l string"
     ).select(full_name("f", "l").alias("n"))
     assert [r.n for r in frame.collect()] == ["a b", "a", ""]
+
+
+def test_identical_rows_of_a_hot_key_are_split(spark, conf, tmp_path):
+    """A third of all rows are alike in all columns; in a file each has a place of its own."""
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    )
+    n = 600_000
+    path = str(tmp_path / "rows")
+    made = spark.range(n, numPartitions=2).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("key"))
+    made.write.parquet(path)
+    lookup = spark.range(n).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    for rows in (spark.read.parquet(path), spark.read.parquet(path).where("key >= 0").select("key")):
+        joined = salted_join(rows, lookup, "key", "left")
+        assert joined.columns == ["key", "value"]
+        per_task = joined.groupBy(F.spark_partition_id()).count().collect()
+        assert max(r["count"] for r in per_task) <= 2 * n / 8
+        total = sum(14 if i % 3 == 0 else 2 * i for i in range(n))
+        assert joined.agg(F.count("*"), F.sum("value")).first()[:] == (n, total)
+
+
+def test_the_plan_does_not_grow_with_hot_keys(spark, conf, plan):
+    conf(
+        spark__sql__autoBroadcastJoinThreshold="-1",
+        spark__sql__adaptive__autoBroadcastJoinThreshold="-1",
+        spark__sql__shuffle__partitions="200",
+    )
+    lookup = spark.range(1000).select(F.col("id").alias("key"), (F.col("id") * 2).alias("value"))
+    sizes = {}
+    for keys in (3, 60):
+        rows = spark.range(200_000, numPartitions=8).select("id", (F.col("id") % keys).alias("key"))
+        hot = hot_keys(rows, "key", 1000)
+        assert hot.keys() == set(range(keys))
+        joined = salted_join(rows, lookup, "key", min_rows=1000)
+        sizes[keys] = len(plan(joined))
+        assert joined.agg(F.sum("value")).first()[0] == sum(2 * (i % keys) for i in range(200_000))
+    assert abs(sizes[60] - sizes[3]) < 200
+
+
+def test_hot_keys_are_looked_for_once(spark, monkeypatch):
+    rows = spark.range(1000).select((F.col("id") % 2 * 5).alias("key"))
+    found = hot_keys(rows, "key", 10)
+    assert found.keys() == {0, 5}
+    monkeypatch.setattr(type(rows), "agg", lambda *_: 1 / 0)
+    assert hot_keys(spark.range(1000).select((F.col("id") % 2 * 5).alias("key")), "key", 10) == found
+    with pytest.raises(ZeroDivisionError):
+        hot_keys(rows, "key", 11)
