@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from salesmart.llm.quality import RATIOS, SMALLEST_GROUP
+from salesmart.llm.quality import PRIOR, RATIOS, REACH, WALK
 from salesmart.llm.secret_scan import RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -80,7 +80,7 @@ failing AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS bas
 
 
 def _quality() -> str:
-    """Quartiles of each group's ratios, from its documents and not from merged counts."""
+    """Quantiles of each group's ratios, from its documents and not from merged counts."""
     values = []
     for place, rule in enumerate(RATIOS):
         scaled = (
@@ -89,46 +89,53 @@ def _quality() -> str:
             else f"({rule.over} * 10 // {rule.under}) * 100"
         )
         values.append(
-            f"SELECT doc_id, lang, source, base_failed, {place} AS place, '{rule.name}' AS ratio, {rule.slack} AS slack, "
-            f"{rule.low} AS low, least({scaled}, {rule.most}) AS value FROM failing WHERE {rule.under} > 0"
+            f"SELECT doc_id, lang, source, base_failed, {place} AS place, '{rule.name}' AS ratio, {rule.step} AS step, "
+            f"{rule.sign} * {rule.over} * 1000 AS counted, {rule.under} AS base, {rule.spare} AS spare, "
+            f"{rule.sign} * least({scaled}, {rule.most}) AS value FROM failing WHERE {rule.under} > 0"
         )
 
-    def fence(name: str, keys: str) -> str:
+    def level(name: str, keys: str) -> str:
         by = f"{keys}, " if keys else ""
+        quantiles = ", ".join(f"min(CASE WHEN 100 * place_in >= {p} * n THEN value END) AS q{p}" for p in WALK)
+        first, found = f"q{WALK[0]}", f"{name}_0"
+        walk = []
+        for k, p in enumerate(WALK):
+            tail = "tail" if k else first
+            following = f"CASE WHEN q{p} - tail <= step + {REACH} * (tail - {first}) THEN q{p} ELSE tail END" if k else tail
+            source = f"{name}_{k}"
+            walk.append(f"{name}_{k + 1} AS (SELECT * {'EXCLUDE (tail)' if k else ''}, {following} AS tail FROM {source})")
         return f"""
-{name} AS (
-  SELECT {by}ratio, any_value(low) AS low, any_value(slack) AS slack,
-         min(CASE WHEN 4 * place_in >= n THEN value END) AS q1, min(CASE WHEN 4 * place_in >= 3 * n THEN value END) AS q3
+{found} AS (
+  SELECT {by}ratio, any_value(step) AS step, any_value(n) AS n, {quantiles}
   FROM (SELECT *, row_number() OVER (PARTITION BY {by}ratio ORDER BY value) AS place_in,
                count(*) OVER (PARTITION BY {by}ratio) AS n FROM valued WHERE NOT base_failed)
-  GROUP BY {by}ratio HAVING any_value(n) >= {SMALLEST_GROUP}
-)"""
+  GROUP BY {by}ratio
+),
+{", ".join(walk)},
+{name} AS (SELECT *, tail + {REACH} * (tail - {first}) + step AS own_limit FROM {name}_{len(WALK)})"""
 
-    def limits(name: str) -> tuple[str, str]:
-        away = f"greatest({name}.slack, 3 * ({name}.q3 - {name}.q1))"
-        return (
-            f"CASE WHEN {name}.low THEN {name}.q1 - {away} ELSE -1 END",
-            f"CASE WHEN {name}.low THEN 1099511627776 ELSE {name}.q3 + {away} END",
-        )
+    def drawn(own: str, larger: str) -> str:
+        shift = 1_000_000
+        return f"({own}.n * ({own}.own_limit + {shift}) + {PRIOR} * ({larger} + {shift})) // ({own}.n + {PRIOR}) - {shift}"
 
-    least, most = zip(*(limits(n) for n in ("own", "spoken", "everything")), strict=True)
-    chosen = [
-        f"CASE WHEN own.q1 IS NOT NULL THEN {x[0]} WHEN spoken.q1 IS NOT NULL THEN {x[1]} "
-        f"WHEN everything.q1 IS NOT NULL THEN {x[2]} END"
-        for x in (least, most)
-    ]
     return f"""{_MEASURES}
 valued AS ({" UNION ALL ".join(values)}),
-{fence("own", "lang, source")},
-{fence("spoken", "lang")},
-{fence("everything", "")},
+{level("everything", "")},
+{level("of_lang", "lang")},
+{level("of_source", "lang, source")},
+spoken AS (
+  SELECT l.lang, l.ratio, l.step, {drawn("l", "e.own_limit")} AS most FROM of_lang l JOIN everything e ON e.ratio = l.ratio
+),
+own AS (
+  SELECT s.lang, s.source, s.ratio, least({drawn("s", "l.most")}, l.most + l.step + abs(l.most) // 2) AS most
+  FROM of_source s JOIN spoken l ON l.ratio = s.ratio AND l.lang IS NOT DISTINCT FROM s.lang
+),
 outside AS (
-  SELECT doc_id, string_agg(valued.ratio, ',' ORDER BY place) AS failed FROM valued
-  LEFT JOIN own ON own.ratio = valued.ratio AND own.lang IS NOT DISTINCT FROM valued.lang
-    AND own.source IS NOT DISTINCT FROM valued.source
-  LEFT JOIN spoken ON spoken.ratio = valued.ratio AND spoken.lang IS NOT DISTINCT FROM valued.lang
-  LEFT JOIN everything ON everything.ratio = valued.ratio
-  WHERE value < {chosen[0]} OR value > {chosen[1]} GROUP BY doc_id
+  SELECT doc_id, string_agg(v.ratio, ',' ORDER BY place) AS failed FROM valued v
+  LEFT JOIN own ON own.ratio = v.ratio AND own.lang IS NOT DISTINCT FROM v.lang AND own.source IS NOT DISTINCT FROM v.source
+  LEFT JOIN spoken ON spoken.ratio = v.ratio AND spoken.lang IS NOT DISTINCT FROM v.lang
+  LEFT JOIN everything ON everything.ratio = v.ratio
+  WHERE counted > coalesce(own.most, spoken.most, everything.own_limit) * base + 1000 * spare GROUP BY doc_id
 )
 SELECT f.doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
        CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,

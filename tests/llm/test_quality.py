@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from salesmart.llm import quality
@@ -42,16 +43,66 @@ def test_query_equals_brute_force(spark, texts):
         assert not (failed and row.kept)
 
 
-def test_fences_are_the_quartiles_of_merged_sketches(spark):
-    values = [(("en", "a"), v) for v in range(0, 200)] + [(("en", "b"), v) for v in range(300, 360)]
-    rows = [(*group, "symbols", v, 1) for group, v in values]
-    sketch = spark.createDataFrame(rows, "lang string, source string, ratio string, value long, n long")
-    own = {r.source: r.most for r in quality.fences(sketch, "lang", "source").collect()}
-    assert own == {"a": 149 + 3 * (149 - 49), "b": 344 + 150}
-    both = quality.fences(quality.merged(sketch, "lang"), "lang").collect()
-    assert [(r.lang, r.most) for r in both] == [("en", 194 + 3 * (194 - 64))]
+def sketch_of(spark, groups, ratio="symbols"):
+    rows = [(*group, ratio, v, n) for group, values in groups.items() for v, n in Counter(values).items()]
+    return spark.createDataFrame(rows, "lang string, source string, ratio string, value long, n long")
+
+
+def walked(values, step):
+    """The limit of a group, from its sorted values."""
+    values = sorted(values)
+    found = [values[-(-p * len(values) // 100) - 1] for p in quality.WALK]
+    tail = found[0]
+    for value in found[1:]:
+        if value - tail > step + quality.REACH * (tail - found[0]):
+            break
+        tail = value
+    return tail + quality.REACH * (tail - found[0]) + step
+
+
+def test_limits_walk_the_quantiles_of_merged_sketches(spark):
+    groups = {("en", "a"): [*range(200)], ("en", "b"): [0] * 70 + [400] * 30, ("en", "c"): [7], ("de", "a"): [0, 60, 170, 500]}
+    sketch = sketch_of(spark, groups)
+    own = {(r.lang, r.source): (r.n, r.own) for r in quality.limits(sketch, "lang", "source").collect()}
+    assert own == {g: (len(v), walked(v, 50)) for g, v in groups.items()}
+    assert own["en", "b"] == (100, 50)  # not the junk
+    english = [v for (lang, _), values in groups.items() if lang == "en" for v in values]
+    both = {r.lang: r.own for r in quality.limits(quality.merged(sketch, "lang"), "lang").collect()}
+    assert both == {"en": walked(english, 50), "de": walked(groups["de", "a"], 50)}
     halves = sketch.where("value % 2 = 0").unionByName(sketch.where("value % 2 = 1"))
-    assert quality.fences(quality.merged(halves, "lang"), "lang").collect() == both
+    assert {r.lang: r.own for r in quality.limits(quality.merged(halves, "lang"), "lang").collect()} == both
+
+
+def test_limits_differ_between_groups(spark):
+    docs = spark.read.parquet(f"{SF_DIR[:-5]}0.1/documents.parquet")
+    sketch = quality.sketches(quality.measures(docs), "lang", "source")
+    found = quality.limits(sketch, "lang", "source").groupBy("ratio").agg(F.countDistinct("own").alias("n")).collect()
+    assert sum(r.n > 10 for r in found) >= 4
+
+
+@pytest.mark.parametrize("others", [0, 400])
+def test_a_source_with_much_junk_does_not_keep_it(spark, others):
+    """30 of 100 documents with about 400 symbols in 1,000 words, alone or among clean sources."""
+    def text(i, symbols):
+        words = [f"word{i:04}x{k:02}" for k in range(100)]
+        for k in range(symbols):
+            words[2 * k] += "#"
+        return " ".join(words)
+
+    rows = [(i, text(i, 40 if i % 10 < 3 else i % 3), "en", "junk") for i in range(100)]
+    rows += [(1000 + i, text(i, i % 2), "en", f"s{i % 4}") for i in range(others)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    gone = {r.doc_id for r in quality.judge(frame).where("not kept").collect()}
+    assert gone == {i for i in range(100) if i % 10 < 3}
+
+
+def test_limits_move_with_the_size_of_a_group(spark):
+    """49 and 50 documents are no different matter, and few documents follow their language."""
+    def limit(n):
+        values = F.lit(n).cast("long"), F.lit(100).cast("long"), F.lit(20).cast("long")
+        return spark.range(1).select(quality._drawn(*values).alias("x")).first().x
+
+    assert [limit(n) for n in (0, 1, 49, 50, 51, 10**9)] == [20, 21, 59, 60, 60, 99]
 
 
 def test_junk_goes_and_clean_documents_stay(spark):
