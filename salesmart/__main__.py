@@ -10,7 +10,7 @@
 
 SOURCE is a folder of Parquet tables or a ``jdbc:`` URL. A database user and password are taken
 from the environment variables SALESMART_JDBC_USER and SALESMART_JDBC_PASSWORD; other options of the
-connection are given as ``--jdbc-option NAME=VALUE``. PATH is a Parquet folder of holidays (country,
+connection are given as ``--jdbc-option NAME=VALUE``; ``--balanced`` splits its tables into parts of equally many rows. PATH is a Parquet folder of holidays (country,
 holiday_date). The calendar should cover all sales: reports leave out days that it lacks.
 """
 
@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
             added.add_argument("--source", required=True)
             added.add_argument("--split", action="append", default=[], metavar="TABLE=COLUMN")
             added.add_argument("--partitions", type=int, default=64)
+            added.add_argument("--balanced", action="store_true", help="split reads by rows, not by keys")
             added.add_argument("--jdbc-option", action="append", default=[], metavar="NAME=VALUE")
         return added
 
@@ -76,7 +77,12 @@ def parser() -> argparse.ArgumentParser:
 
 
 def source_reader(
-    spark: SparkSession, source: str, split: Sequence[str], partitions: int, further: Sequence[str] = ()
+    spark: SparkSession,
+    source: str,
+    split: Sequence[str],
+    partitions: int,
+    further: Sequence[str] = (),
+    balanced: bool = False,
 ) -> ReadTable:
     if not source.startswith("jdbc:"):
         return parquet_tables(spark, source)
@@ -84,7 +90,7 @@ def source_reader(
     options = {key: os.environ[name] for key, name in login.items() if name in os.environ}
     options |= dict(pair.split("=", 1) for pair in further)
     split_on = dict(pair.split("=", 1) for pair in split)
-    return jdbc_tables(spark, source, split_on=split_on, partitions=partitions, **options)
+    return jdbc_tables(spark, source, split_on=split_on, partitions=partitions, balanced=balanced, **options)
 
 
 def main(arguments: Sequence[str] | None = None) -> None:
@@ -102,7 +108,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     elif args.job == "clean":
         clean_tables(spark, args.target, args.versions)
     else:
-        read = source_reader(spark, args.source, args.split, args.partitions, args.jdbc_option)
+        read = source_reader(spark, args.source, args.split, args.partitions, args.jdbc_option, args.balanced)
         if args.job == "dimensions":
             refresh_dimensions(read, args.target)
         elif args.job == "facts" and args.changed:

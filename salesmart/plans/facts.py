@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from dataclasses import dataclass, replace
 from datetime import date
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from salesmart.functions.dates import as_date, date_key, partition_columns
@@ -16,6 +18,56 @@ from salesmart.schemas import conform
 from salesmart.sources.tables import ReadTable, read_within
 
 
+@dataclass(frozen=True)
+class Losses:
+    """Counts what a load of the fact loses, while it is written.
+
+    ``days`` are runs of days of the calendar, as pairs of their ends; without them days off the calendar are not counted.
+    ``orphans``: whether lines without an invoice are counted. The counts are there once the load was written.
+    """
+
+    seen: Observation
+    days: tuple[tuple[date, date], ...] | None = None
+    orphans: bool = True
+
+    def observe(self, joined: DataFrame, strict: bool) -> DataFrame:
+        met = F.col("__met").isNotNull() if self.orphans else F.lit(True)
+        day, zero = F.col("invoice_day"), F.lit(0).cast("long")
+        whole = F.col("unit_price").isNotNull() & F.col("quantity").isNotNull()
+        counts = {
+            "lines": F.count(F.lit(1)),
+            "lines_without_invoice": F.count_if(~met),
+            "lines_without_day": F.count_if(met & day.isNull()),
+        }
+        if self.days is not None:
+            within = reduce(Column.__or__, [day.between(F.lit(a), F.lit(b)) for a, b in self.days], F.lit(False))
+            counts["lines_off_the_calendar"] = F.count_if(met & day.isNotNull() & ~within)
+        if not strict:
+            amount = line_amount("unit_price", "quantity", strict=False)
+            counts["amounts_out_of_range"] = F.count_if(met & whole & amount.isNull())
+        return joined.observe(self.seen, *(F.coalesce(c, zero).alias(n) for n, c in counts.items()))
+
+    def counted(self) -> dict[str, int]:
+        """The counts; no line was read where the planner found that there can be none, and left the counter out."""
+        try:
+            return dict(self.seen.get)
+        except Py4JJavaError as error:
+            if "AssertionError" not in str(error.java_exception):
+                raise
+            return {"lines": 0}
+
+
+def runs_of_days(days: Iterable[date]) -> tuple[tuple[date, date], ...]:
+    """First and last day of each run of days without a gap."""
+    runs: list[tuple[date, date]] = []
+    for day in sorted(set(days)):
+        if runs and (day - runs[-1][1]).days == 1:
+            runs[-1] = (runs[-1][0], day)
+        else:
+            runs.append((day, day))
+    return tuple(runs)
+
+
 def invoices_between(
     invoice: DataFrame, since: date | str | None = None, until: date | str | None = None
 ) -> DataFrame:
@@ -82,15 +134,18 @@ def fact_sales_between(
     until: date | str | None = None,
     *,
     strict: bool = True,
+    losses: Losses | None = None,
 ) -> DataFrame:
     """Sales of some days, and the undated ones, or all without bounds."""
     invoice = read("invoice")
     if since is None and until is None:
-        return fact_sales(invoice, read("invoice_line"), read("customer"), strict=strict)
-    return fact_sales_of(read, invoices_between(invoice, since, until), strict=strict)
+        return fact_sales(invoice, read("invoice_line"), read("customer"), strict=strict, losses=losses)
+    return fact_sales_of(read, invoices_between(invoice, since, until), strict=strict, losses=losses)
 
 
-def fact_sales_of(read: ReadTable, invoice: DataFrame, *, strict: bool = True) -> DataFrame:
+def fact_sales_of(
+    read: ReadTable, invoice: DataFrame, *, strict: bool = True, losses: Losses | None = None
+) -> DataFrame:
     """Sales of the chosen invoices.
 
     Only the lines in the range of their ids are read. That range may
@@ -99,7 +154,9 @@ def fact_sales_of(read: ReadTable, invoice: DataFrame, *, strict: bool = True) -
     chosen, ranges = key_ranges(invoice)
     lines = lines_within(read, ranges)
     few = chosen <= MAX_BROADCAST_ROWS
-    return fact_sales(invoice, lines, read("customer"), strict=strict, few_invoices=few)
+    # A line in the range without a chosen invoice may belong to another day's, so it is no loss.
+    own = None if losses is None else replace(losses, orphans=False)
+    return fact_sales(invoice, lines, read("customer"), strict=strict, few_invoices=few, losses=own)
 
 
 def fact_sales(
@@ -109,6 +166,7 @@ def fact_sales(
     *,
     strict: bool = True,
     few_invoices: bool = False,
+    losses: Losses | None = None,
 ) -> DataFrame:
     """One row per invoice line; lines without an invoice drop, unknown customers stay.
 
@@ -116,7 +174,7 @@ def fact_sales(
     are shuffled once, on ``invoice_id``. The rows of a hot customer or invoice are salted; below
     that adaptive execution splits what it finds too large. ``few_invoices`` tells that the invoices
     were counted to be few enough for a broadcast. ``strict`` decides whether an amount beyond
-    ``decimal(10,2)`` raises or becomes null.
+    ``decimal(10,2)`` raises or becomes null. ``losses`` counts in the same pass what no report will show.
     """
     reps = customer.select("customer_id", "support_rep_id")
     headers = salted_join(
@@ -126,10 +184,17 @@ def fact_sales(
         "left",
     )
     lines = invoice_line.select("invoice_id", "track_id", "unit_price", "quantity")
+    counts = losses is not None and losses.orphans
+    if counts:
+        headers = headers.withColumn("__met", F.lit(True))
     if few_invoices:
-        joined = lines.join(F.broadcast(headers), "invoice_id")
+        joined = lines.join(F.broadcast(headers), "invoice_id", "left" if counts else "inner")
     else:
-        joined = salted_join(lines, headers, "invoice_id")
+        joined = salted_join(lines, headers, "invoice_id", "left" if counts else "inner")
+    if losses is not None:
+        joined = losses.observe(joined, strict)
+    if counts:
+        joined = joined.filter("__met").drop("__met")
     sales = joined.select(
         F.col("customer_id").alias("CustomerKey"),
         F.col("track_id").alias("TrackKey"),

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from salesmart.functions.dates import as_date
 from salesmart.operators.calendar import dim_date
 from salesmart.plans.dimensions import dim_customer, dim_track
 from salesmart.plans.changes import changed_parts, day_digests
-from salesmart.plans.facts import fact_sales_between, fact_sales_of, invoices_on
+from salesmart.plans.facts import Losses, fact_sales_between, fact_sales_of, invoices_on, runs_of_days
 from salesmart.plans.history import customer_history, employee_reports
 from salesmart.schemas import DATE_PARTITIONS, KEPT, SNAPSHOT_PARTITIONS, TABLES
 from salesmart.sinks.manifest import PartitionLog, Scope, State, day_of
@@ -58,7 +58,7 @@ def refresh_facts(
     *,
     replace: bool = False,
     strict: bool = True,
-) -> State:
+) -> dict[str, int]:
     """Rewrite the fact partitions of the days from ``since`` to ``until``, or of all days.
 
     Sales without a date are loaded each time. Readers see either all former rows or all new ones; days of the range that no
@@ -66,6 +66,9 @@ def refresh_facts(
     these days only: where an invoice got another date, both its old and its new day must lie in the
     range (``refresh_changed_facts`` finds both by itself). ``replace`` insists on a load of all days. Of two loads of the
     same days at a time the later one raises LoadConflict and changes nothing.
+
+    Returns what was counted while the fact was written: lines read, lines without an invoice (of a load of all days), without a
+    day, on days off the calendar (once there is one), and without ``strict`` amounts out of range.
     """
     if replace and (since is not None or until is not None):
         raise ValueError("replace reloads all days: give no bounds")
@@ -74,8 +77,12 @@ def refresh_facts(
     spark = read("invoice").sparkSession
     log = PartitionLog(spark, f"{base}/fact_sales", DATE_PARTITIONS)
     before = log.state()  # what is published while the source is read may be newer than what was read
-    sales = gather_partitions(fact_sales_between(read, since, until, strict=strict), DATE_PARTITIONS)
-    return log.publish(before, Scope(first, last), log.write(sales))
+    calendar = PartitionLog(spark, f"{base}/dim_date", DATE_PARTITIONS).state().holder
+    days = runs_of_days(day_of(p) for p in calendar) if calendar else None
+    losses = Losses(Observation(), days)
+    sales = gather_partitions(fact_sales_between(read, since, until, strict=strict, losses=losses), DATE_PARTITIONS)
+    log.publish(before, Scope(first, last), log.write(sales))
+    return losses.counted()
 
 
 def refresh_changed_facts(

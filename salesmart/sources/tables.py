@@ -59,6 +59,7 @@ def jdbc_tables(
     split_on: Mapping[str, str] | None = None,
     partitions: int = 64,
     fetch_size: int = 10_000,
+    balanced: bool = False,
     **options: str,
 ) -> ReadTable:
     """Source tables in a relational database.
@@ -67,6 +68,9 @@ def jdbc_tables(
     value, which are asked of the database first. ``split_on`` names other columns: invoice
     lines are best split on a unique key of their own if they have one, since all lines of one
     invoice fall into one range. Filters and column lists are pushed into the query by Spark.
+
+    Ranges are equally wide. With ``balanced`` they hold about equally many rows instead, also where keys have gaps or lie
+    close together: the database counts rows by stretches of keys first, and again within stretches that hold too many.
     """
     columns = SOURCE_KEYS | dict(split_on or {})
 
@@ -77,11 +81,26 @@ def jdbc_tables(
         query = f"SELECT MIN({column}) AS lo, MAX({column}) AS hi FROM {name}{condition}"
         return reader().option("query", query).load().first()
 
+    def counted(name: str, column: str) -> Count:
+        def count(low: int, high: int, width: int) -> list[tuple[int, int]]:
+            stretch = f"FLOOR(({column} - {low}) / {width})"
+            query = f"SELECT {stretch} AS stretch, COUNT(*) AS n FROM {name} WHERE {column} BETWEEN {low} AND {high} GROUP BY {stretch}"
+            return [(int(r[0]), int(r[1])) for r in reader().option("query", query).load().collect()]
+
+        return count
+
+    def in_equal_parts(name: str, column: str, low: int, high: int) -> DataFrame:
+        cuts = balanced_cuts(counted(name, column), low, high, partitions)
+        properties = {"fetchsize": str(fetch_size)} | {k: str(v) for k, v in options.items()}
+        return spark.read.jdbc(url=url, table=name, predicates=cut_predicates(column, cuts), properties=properties)
+
     def read(name: str) -> DataFrame:
         table = reader().option("dbtable", name)
         column = columns.get(name)
         if column is not None:
             low, high = ends(name, column)
+            if low is not None and balanced:
+                return in_equal_parts(name, column, int(low), int(high))
             if low is not None:
                 table = table.options(**split_options(column, int(low), int(high), partitions))
         return table.load()
@@ -92,6 +111,8 @@ def jdbc_tables(
         by = columns.get(name, column)
         if by != column:
             low, high = ends(name, by, f" WHERE {column} BETWEEN {int(low)} AND {int(high)}")
+        if low is not None and balanced:
+            return in_equal_parts(name, by, int(low), int(high))
         if low is not None:
             table = table.options(**split_options(by, int(low), int(high), partitions))
         return table.load()
@@ -110,6 +131,54 @@ def split_options(column: str, low: int, high: int, partitions: int) -> dict[str
     }
 
 
+Count = Callable[[int, int, int], list[tuple[int, int]]]
+
+
+def balanced_cuts(count: Count, low: int, high: int, parts: int, stretches: int = 1024) -> list[int]:
+    """Keys from ``low`` to ``high`` at which ranges of about equally many rows begin, the first of them ``low``.
+
+    ``count(low, high, width)`` gives the number of the stretch of ``width`` keys from ``low`` on, and its rows, for each that
+    has any. A stretch with more than half a part is counted again in shorter ones, down to single keys, which are never cut.
+    There are at most twice as many such stretches as parts at a time.
+    """
+    found: list[tuple[int, int]] = []
+    total = 0
+    open_ = [(low, high)]
+    while open_:
+        closer = []
+        for start, end in open_:
+            width = -(-(end - start + 1) // stretches)
+            rows = count(start, end, width)
+            total = total or sum(n for _, n in rows)
+            for k, n in sorted(rows):
+                first = start + k * width
+                if width > 1 and 2 * n * parts > total:
+                    closer.append((first, min(end, first + width - 1)))
+                else:
+                    found.append((first, n))
+        open_ = closer
+    cuts, held, part = [low], 0, 1
+    for first, n in sorted(found):
+        # The end of a part falls before this stretch if it lies before its middle.
+        ends = part
+        while (2 * held + n) * parts > 2 * ends * total:
+            ends += 1
+        if ends > part and held:
+            cuts.append(first)
+        part = ends
+        held += n
+    return cuts
+
+
+def cut_predicates(column: str, cuts: list[int]) -> list[str]:
+    """Conditions that hold for each row exactly once; rows without a key belong to the first."""
+    if len(cuts) == 1:
+        return ["1 = 1"]
+    conditions = [f"{column} < {cuts[1]} OR {column} IS NULL"]
+    conditions += [f"{column} >= {a} AND {column} < {b}" for a, b in zip(cuts[1:], cuts[2:], strict=False)]
+    return [*conditions, f"{column} >= {cuts[-1]}"]
+
+
 def curated_tables(spark: SparkSession, base: str, years: tuple[int, int] | None = None) -> ReadTable:
     """Curated tables under ``base``, with their declared schemas and no inference.
 

@@ -222,6 +222,33 @@ def test_only_changed_days_are_rewritten(spark, read, base, tmp_path):  # noqa:
     assert curated_tables(spark, base)("fact_sales").count() == 40
 
 
+def test_a_load_counts_what_it_loses(spark, read, base, plan):  # noqa: F811
+    """Lines without an invoice or day, off the calendar, and amounts that do not fit, in the pass that writes."""
+
+    def broken(name):
+        frame = read(name)
+        if name == "invoice":
+            day = F.expr("CASE invoice_id WHEN 5 THEN NULL WHEN 6 THEN TIMESTAMP'2031-01-01 00:00:00' ELSE invoice_date END")
+            return frame.where("invoice_id <> 4").withColumn("invoice_date", day)
+        if name == "invoice_line":
+            price = F.expr("CAST(IF(invoice_id = 7 AND track_id % 2 = 0, 99999999.99, unit_price) AS DECIMAL(10,2))")
+            return frame.withColumn("unit_price", price).withColumn("quantity", F.expr("IF(invoice_id = 7, 2, quantity)"))
+        return frame
+
+    told = {"lines": 40, "lines_without_invoice": 2, "lines_without_day": 2}
+    refresh_facts(read, base)
+    assert refresh_facts(broken, base, strict=False) == told | {"amounts_out_of_range": 1}
+    assert curated_tables(spark, base)("fact_sales").count() == 38
+    refresh_calendar(spark, base, "2024-01-01", "2024-02-04")
+    told |= {"lines_off_the_calendar": 2 + sum(2 for i, _, d in SOURCES["invoice"][1] if i != 4 and d.date() > on(2, 4))}
+    assert refresh_facts(broken, base, strict=False) == told | {"amounts_out_of_range": 1}
+    some = refresh_facts(read, base, "2024-02-05", "2024-02-05")
+    assert some["lines_without_invoice"] == 0 and some["lines_off_the_calendar"] == some["lines"] == 4
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        refresh_facts(broken, base)
+    assert refresh_facts(lambda n: read(n).limit(0), base)["lines"] == 0
+
+
 def test_changed_days_within_bounds(spark, read, base):  # noqa: F811
     refresh_facts(read, base)
     assert refresh_changed_facts(altered(read), base, "2024-01-27", "2024-01-29") == sorted(

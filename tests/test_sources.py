@@ -1,10 +1,11 @@
 import tempfile
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 
 from salesmart.sinks.scratch import scratch_path
-from salesmart.sources.tables import curated_tables, jdbc_tables, split_options
+from salesmart.sources.tables import balanced_cuts, curated_tables, cut_predicates, jdbc_tables, split_options
 
 
 def test_split_options_cover_the_range():
@@ -94,3 +95,85 @@ def test_scratch_path_without_a_shared_folder():
     assert scratch_path(session(None), "x").startswith(tempfile.gettempdir())
     with pytest.raises(RuntimeError):
         scratch_path(session(None, "yarn"), "x")
+
+
+def histogram(keys):
+    """What a database counts, and how often it is asked."""
+    asked = []
+
+    def count(low, high, width):
+        asked.append((low, high, width))
+        found = {}
+        for key, n in keys.items():
+            if low <= key <= high:
+                found[(key - low) // width] = found.get((key - low) // width, 0) + n
+        return sorted(found.items())
+
+    return count, asked
+
+
+@pytest.mark.parametrize(
+    "keys",
+    [
+        {k: 1 for k in range(1, 100_001)},
+        {k * k: 1 for k in range(1, 30_000)},  # gaps that grow
+        {**{k: 1 for k in range(5000)}, **{10**12 + k: 1 for k in range(60_000)}},  # a hot range far away
+        {**{k * 1000: 1 for k in range(20_000)}, 7: 20_000},  # a hot key
+        {5: 3},
+    ],
+)
+def test_cuts_give_even_parts(keys):
+    count, asked = histogram(keys)
+    parts = 16
+    cuts = balanced_cuts(count, min(keys), max(keys), parts)
+    assert cuts == sorted(set(cuts)) and cuts[0] == min(keys) and len(cuts) <= parts + 1
+    ends = [*cuts[1:], max(keys) + 1]
+    sizes = [sum(n for k, n in keys.items() if a <= k < b) for a, b in zip(cuts, ends, strict=True)]
+    assert sum(sizes) == sum(keys.values())
+    fair = sum(sizes) / parts
+    assert max(sizes) <= max(2 * fair, max(keys.values()) + fair)
+    assert len(asked) <= 2 * parts * 5
+
+
+def test_predicates_hold_once_for_each_row():
+    assert cut_predicates("k", [3]) == ["1 = 1"]
+    rows = [None, 1, 3, 4, 7, 8, 100]
+    for cuts in ([1, 4], [1, 4, 8]):
+        connection = duckdb.connect()
+        connection.execute("CREATE TABLE t AS SELECT unnest($1::INT[]) AS k", [rows])
+        found = [connection.execute(f"SELECT count(*) FROM t WHERE {p}").fetchone()[0] for p in cut_predicates("k", cuts)]
+        assert sum(found) == len(rows) and len(found) == len(cuts)
+
+
+def test_balanced_jdbc_tables_are_read_by_predicates():
+    loads, made = [], []
+
+    class Reader(RecordingReader):
+        def load(self):
+            self.loads.append(self.settings)
+            rows = [(0, 10), (1, 10), (3, 20)]
+            return SimpleNamespace(first=lambda: self.bounds, collect=lambda: rows)
+
+        def format(self, source):
+            return Reader(self.loads, self.bounds, self.settings | {"format": source})
+
+        def options(self, **more):
+            return Reader(self.loads, self.bounds, self.settings | more)
+
+        def jdbc(self, **given):
+            made.append(given)
+
+    spark = SimpleNamespace(read=Reader(loads, (1, 4)))
+    read = jdbc_tables(spark, "jdbc:x", partitions=2, balanced=True, user="u")
+    read("track")
+    assert "FLOOR((track_id - 1) / 1)" in loads[-1]["query"] and "GROUP BY" in loads[-1]["query"]
+    assert made == [
+        {
+            "url": "jdbc:x",
+            "table": "track",
+            "predicates": ["track_id < 4 OR track_id IS NULL", "track_id >= 4"],
+            "properties": {"fetchsize": "10000", "user": "u"},
+        }
+    ]
+    read.within("invoice_line", "invoice_id", 1, 4)
+    assert made[-1]["table"] == "invoice_line" and len(made[-1]["predicates"]) == 2

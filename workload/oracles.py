@@ -336,6 +336,10 @@ ORACLES: dict[str, str] = {
         SELECT {_CUSTOMER_COLUMNS}, snapshot_date FROM customer_src CROSS JOIN {_TWO_DAYS}""",
     "employee_snapshot_roundtrip": f"""WITH {EMPLOYEE}
         SELECT reports.*, snapshot_date FROM reports CROSS JOIN {_TWO_DAYS}""",
+    "history_by_change": f"""WITH {CUSTOMER}
+        SELECT customer_id, CASE WHEN customer_id % 97 = k THEN 'moved' ELSE company END AS company, city,
+               DATE '2001-01-01' + CAST(k AS INTEGER) AS snapshot_date
+        FROM customer_src CROSS JOIN range(10) AS t(k) WHERE customer_id % 89 <> k""",
     "dim_full_refresh": f"WITH {TRACK} SELECT * FROM track_dim",
     "dim_date_overwrite": f"""WITH {ORDER_DAYS}, {DATE_DIM}
         SELECT date_dim.*, count(o_orderkey) AS orders FROM date_dim

@@ -19,6 +19,7 @@ from salesmart.operators.holidays import holidays_co
 from salesmart.plans.dimensions import dim_customer
 from salesmart.plans.facts import fact_sales, fact_sales_between
 from salesmart.plans.history import customer_history, employee_reports
+from salesmart.plans.intervals import ChangeHistory
 from salesmart.plans.reports import (
     REPORTS,
     Star,
@@ -279,6 +280,17 @@ def q_employee_snapshot_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame
     return sample_mart(spark, sf_dir).table("employee_reports_history")
 
 
+def q_history_by_change(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Full copies of ten days of customers, kept as changes."""
+    customers = sample_tables(spark, sf_dir)("customer").select("customer_id", "company", "city")
+    history = ChangeHistory(spark, scratch_path(spark, "changes"))
+    for k in range(10):
+        company = F.when(F.col("customer_id") % 97 == k, "moved").otherwise(F.col("company"))
+        there = customers.filter(F.col("customer_id") % 89 != k).withColumn("company", company)
+        history.take(there, f"2001-01-{k + 1:02}")
+    return history.copies()
+
+
 def q_dim_full_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sample_mart(spark, sf_dir).table("dim_track")
 
