@@ -2,8 +2,8 @@
 
 All windows of a search have the same number of words m. SHIFT tells for the last BLOCK words of a
 position how far the search may jump before a window can end there; 0 means that one may end here.
-Then the hash of these words names the bucket of windows with that end, and their words are compared
-directly. Items shorter than a window are searched with others of their length.
+Then the hash of these words names the bucket of windows with that end, that of the first words the windows in it
+with that beginning, and their words are compared directly. Items shorter than a window are searched with others of their length.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ from collections import defaultdict
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmart.llm.batches import with_columns
+from salesmart.llm.steps import settled
 
 #: Bytes of benchmark texts that one pass over the documents searches for, and that are broadcast.
 BLOCK_BYTES = 16 << 20
@@ -41,12 +43,13 @@ class WuManber:
         self.block = block = min(2, m)
         self.default = m - block + 1
         self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list[int]]]] = defaultdict(list)
+        Bucket = dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], list[int]]]]
+        self.buckets: dict[tuple[bytes, ...], Bucket] = defaultdict(dict)
         for window, items in windows.items():
             for end in range(block, m + 1):
                 key = window[end - block : end]
                 self.shift[key] = min(self.shift.get(key, self.default), m - end)
-            self.buckets[window[m - block :]].append((window, items))
+            self.buckets[window[m - block :]].setdefault(window[:block], []).append((window, items))
 
     def search(self, words: Sequence[bytes]) -> Iterator[tuple[int, list[int]]]:
         """Start of each occurrence, and the items of its window."""
@@ -58,7 +61,8 @@ class WuManber:
                 if jump:
                     end += jump
                     continue
-                yield end - 1, buckets[(words[end - 1],)][0][1]
+                word = (words[end - 1],)
+                yield end - 1, buckets[word][word][0][1]
                 end += 1
             return
         while end <= n:
@@ -66,10 +70,12 @@ class WuManber:
             if jump:
                 end += jump
                 continue
-            found = tuple(words[end - m : end])
-            for window, items in buckets[words[end - 2], words[end - 1]]:
-                if window == found:
-                    yield end - m, items
+            begun = buckets[words[end - 2], words[end - 1]].get((words[end - m], words[end - m + 1]))
+            if begun:
+                found = tuple(words[end - m : end])
+                for window, items in begun:
+                    if window == found:
+                        yield end - m, items
             end += 1
 
 
@@ -148,7 +154,7 @@ def mark(
     have none, and items with a null id mark words but are not listed. ``items`` are the distinct ids
     as strings, sorted. Null and empty texts have no words. Repeated rows stay, other columns pass
     through, columns called as the new ones are replaced. The benchmark is searched in blocks of
-    ``BLOCK_BYTES``, all of them on one pass of the documents each, so what is broadcast has a bound.
+    ``BLOCK_BYTES``, each on a pass of the documents that is written before the next, so what is broadcast has a bound.
     """
     added = T.StructType(
         [
@@ -157,15 +163,19 @@ def mark(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    marked: DataFrame | None = None
+    marked, last = None, None
     for items in _blocks(benchmark, item_id, item_text):
-        marked = _mark_block(docs, items, m, text, added) if marked is None else _merge(marked, items, m, text)
-    return marked if marked is not None else _mark_block(docs, [], m, text, added)
+        if last is not None:
+            marked = settled(marked, "marked")
+            last.unpersist()
+        last = docs.sparkSession.sparkContext.broadcast((items, m))
+        marked = _mark_block(docs, last, text, added) if marked is None else _merge(marked, last, text)
+    if marked is None:
+        marked = _mark_block(docs, docs.sparkSession.sparkContext.broadcast(([], m)), text, added)
+    return marked
 
 
-def _mark_block(docs: DataFrame, items: list, m: int, text: str, added: T.StructType) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((items, m))
-
+def _mark_block(docs: DataFrame, shared: Broadcast, text: str, added: T.StructType) -> DataFrame:
     def setup():
         searcher = Searcher(*shared.value)
 
@@ -184,7 +194,7 @@ def _mark_block(docs: DataFrame, items: list, m: int, text: str, added: T.Struct
     return with_columns(docs, text, added, setup)
 
 
-def _merge(marked: DataFrame, items: list, m: int, text: str) -> DataFrame:
+def _merge(marked: DataFrame, shared: Broadcast, text: str) -> DataFrame:
     """Add the hits of a further block to those found before; spans that meet are joined."""
     before = [c for c in marked.columns if c not in ("n_words", "hit_spans", "items")]
     kept = marked.withColumnsRenamed({"hit_spans": "__spans", "items": "__items"})
@@ -195,7 +205,7 @@ def _merge(marked: DataFrame, items: list, m: int, text: str) -> DataFrame:
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    found = _mark_block(kept, items, m, text, added)
+    found = _mark_block(kept, shared, text, added)
     both = F.array_sort(F.concat("__spans", "hit_spans"))
 
     def join(done, span):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from salesmart.llm.batches import with_columns
+from salesmart.llm.steps import settled
 
 #: The name for texts without a letter.
 UNDETERMINED = "und"
@@ -60,6 +61,7 @@ def learn_dictionaries(
         .select("lang", "text", F.pmod(order, F.lit(1_000_000)).alias("place"))
         .distinct()
     )
+    few = settled(few, "pieces")  # one scan of the texts for all languages
     for row in sorted(found, key=lambda r: (-r["bytes"], r["lang"])):
         # Ordered by hash and text, cut at the size: a top-k, not a sort of all rows.
         rows = few.where(F.col("lang") == row["lang"]).orderBy("place", "text").limit(size)

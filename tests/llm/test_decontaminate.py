@@ -69,3 +69,14 @@ def test_query_equals_brute_force(spark, texts):
         assert (row.n_words, row.n_hit, row.n_items, row.items_sha256) == (n_words, n_hit, len(found), digest)
         assert row.contaminated == (n_hit > 0)
     assert any(r.contaminated for r in rows)
+
+
+def test_windows_with_one_end_are_told_apart_by_their_beginning():
+    """20,000 windows that end alike cost no more than others."""
+    windows = {(*(b"w%d" % (k + i) for i in range(8)), b"of", b"the"): [k] for k in range(20_000)}
+    search = decontaminate.WuManber(10, windows)
+    assert max(len(found) for bucket in search.buckets.values() for found in bucket.values()) == 1
+    words = [w for k in (5, 77) for w in (*(b"w%d" % (k + i) for i in range(8)), b"of", b"the")]
+    assert list(search.search(words)) == [(0, [5]), (10, [77])]
+    two = decontaminate.WuManber(2, {(b"a", b"b"): [0], (b"b", b"b"): [1]})
+    assert list(two.search([b"a", b"b", b"b"])) == [(0, [0]), (1, [1])]
