@@ -218,6 +218,52 @@ FROM doc LEFT JOIN size ON size.doc_id = doc.doc_id LEFT JOIN least_of ON least_
 """
 
 
+_URL_FILTER = rf"""
+WITH RECURSIVE address AS (
+  SELECT DISTINCT url FROM pages
+  UNION SELECT target FROM (
+    SELECT unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?\s*(https?://[^"''\s>]+)', 1)) AS target
+    FROM pages)
+),
+parted AS (
+  SELECT url, translate(coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
+         coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path,
+         list_sort(list_filter(string_split(coalesce(regexp_extract(url, '^[^?#]*\?([^#]*)', 1), ''), '&'),
+           lambda q: q <> '' AND NOT regexp_matches(q, '^(utm_[^=]*|ref)(=|$)'))) AS asked
+  FROM address
+),
+keyed AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(/index)?\.html?$|/$', '')
+           || CASE WHEN len(asked) > 0 THEN '?' || array_to_string(asked, '&') ELSE '' END END AS key FROM parted
+),
+rule(verdict, on_host, on_path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+),
+ruled AS (
+  SELECT url, arg_max(on_host || on_path, length(on_host || on_path)) AS name, arg_max(verdict, length(on_host || on_path)) AS verdict
+  FROM keyed JOIN rule ON (host = on_host OR ends_with(host, '.' || on_host)) AND starts_with(path, on_path) GROUP BY url
+),
+link AS (
+  SELECT DISTINCT x.key AS a, y.key AS b FROM (
+    SELECT url, unnest(regexp_extract_all(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?\s*(https?://[^"''\s>]+)', 1)) AS target
+    FROM pages) l
+  JOIN keyed x ON x.url = l.url JOIN keyed y ON y.url = l.target WHERE x.key IS NOT NULL AND y.key IS NOT NULL
+),
+either AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reached AS (SELECT a, b FROM either UNION SELECT r.a, l.b FROM reached r JOIN either l ON l.a = r.b),
+least_of AS (SELECT a, min(b) AS b FROM reached GROUP BY a),
+placed AS (SELECT k.*, least(k.key, coalesce(l.b, k.key)) AS component FROM keyed k LEFT JOIN least_of l ON l.a = k.key),
+blocked AS (
+  SELECT DISTINCT component FROM placed JOIN ruled ON ruled.url = placed.url WHERE verdict = 'block' AND component IS NOT NULL
+)
+SELECT page_id, host, path, ruled.name AS rule,
+       coalesce(ruled.verdict, CASE WHEN placed.component IN (SELECT component FROM blocked) THEN 'block' ELSE 'allow' END) AS verdict,
+       placed.component
+FROM pages JOIN placed ON placed.url IS NOT DISTINCT FROM pages.url LEFT JOIN ruled ON ruled.url = placed.url
+"""
+
+
 _LINE_DEDUP = rf"""
 WITH line AS (
   SELECT doc_id, generate_subscripts(lines, 1) AS place, unnest(lines) AS line
@@ -341,6 +387,7 @@ LEFT JOIN valued p ON p.key = v.up AND p.depth = v.depth - 1
 
 ORACLES: dict[str, str] = {
     "op2_ngram_join": _NGRAM_JOIN,
+    "op3_url_filter": _URL_FILTER,  # with whole canonical links, the only ones that pages of this kind may have
     "op4_decontaminate": _DECONTAMINATE,
     "op5_quality": _quality(),
     "op7_secret_scan": _secrets(),
