@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from salesmart.llm.queries import QUERIES
 from salesmart.llm.steps import importable
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -13,6 +14,21 @@ def workers(spark):
     importable(spark)
 
 
+@pytest.fixture(scope="session")
+def result_of(spark):
+    """Column names and rows of a registered query over the small tables, computed once."""
+    found = {}
+
+    def result(name):
+        if name not in found:
+            importable(spark)
+            frame = QUERIES[name](spark, SF_DIR)
+            found[name] = frame.columns, frame.collect()
+        return found[name]
+
+    return result
+
+
 @pytest.fixture
 def edge(spark):
     """Odd texts, a null id, a repeated row, and columns called like those that operators add."""

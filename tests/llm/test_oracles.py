@@ -3,18 +3,13 @@
 import pytest
 
 from salesmart.llm.oracles import ORACLES
-from salesmart.llm.queries import QUERIES
-from workload.compare import connect, oracle_rows, spark_rows
-
-SF_DIR = "/root/testdata/sf0.001"
+from tests.llm.conftest import SF_DIR
+from workload.compare import connect, oracle_rows, sorted_rows
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
-def test_query_equals_its_sql(spark, name):
-    frame = QUERIES[name](spark, SF_DIR)
-    connection = connect(SF_DIR)
-    connection.execute(f"DESCRIBE {ORACLES[name]}")
-    columns = [row[0] for row in connection.fetchall()]
-    actual, expected = spark_rows(frame.select(*columns)), oracle_rows(connection, ORACLES[name])
-    assert len(actual) > 1
-    assert actual == expected
+def test_query_equals_its_sql(result_of, name):
+    columns, rows = result_of(name)
+    expected = oracle_rows(connect(SF_DIR), ORACLES[name])
+    assert len(rows) > 1
+    assert sorted_rows(columns, [tuple(r) for r in rows]) == expected
