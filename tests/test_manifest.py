@@ -96,6 +96,15 @@ def part(day):
     return f"partition_year={day.year}/partition_month={day.month}/partition_day={day.day}"
 
 
+def test_a_file_is_renamed_only_to_a_free_name(log, monkeypatch):
+    """As on file systems whose rename does not replace."""
+    monkeypatch.setattr(manifest, "LINKED", ())
+    assert log._create("1.json", '"first"')
+    monkeypatch.setattr(log, "_names", lambda: [])  # the other file came after the look
+    assert not log._create("1.json", '"second"')
+    assert log._read("1.json") == "first"
+
+
 def test_a_number_is_given_once(log):
     made = []
     names = [f"{7:020d}.json"] * 8
