@@ -13,10 +13,14 @@ from pyspark.sql import functions as F
 
 from salesmart.functions.dates import as_date, date_key, partition_columns
 from salesmart.functions.values import line_amount
-from salesmart.operators.lookups import MAX_BROADCAST_ROWS, salted_join
+from salesmart.operators.lookups import salted_join
 from salesmart.schemas import conform
+from salesmart.sinks.parquet import gather_partitions
 from salesmart.sources.tables import ReadTable, read_within
 
+#: Headers of invoices are four numbers, so more of them are broadcast than of other lookups: about 60 bytes each.
+MAX_BROADCAST_INVOICES = 1_000_000
+
 
 @dataclass(frozen=True)
 class Losses:
@@ -135,16 +139,23 @@ def fact_sales_between(
     *,
     strict: bool = True,
     losses: Losses | None = None,
+    gathered: bool = False,
 ) -> DataFrame:
     """Sales of some days, and the undated ones, or all without bounds."""
     invoice = read("invoice")
+    how = {"strict": strict, "losses": losses, "gathered": gathered}
     if since is None and until is None:
-        return fact_sales(invoice, read("invoice_line"), read("customer"), strict=strict, losses=losses)
-    return fact_sales_of(read, invoices_between(invoice, since, until), strict=strict, losses=losses)
+        return fact_sales(invoice, read("invoice_line"), read("customer"), **how)
+    return fact_sales_of(read, invoices_between(invoice, since, until), **how)
 
 
 def fact_sales_of(
-    read: ReadTable, invoice: DataFrame, *, strict: bool = True, losses: Losses | None = None
+    read: ReadTable,
+    invoice: DataFrame,
+    *,
+    strict: bool = True,
+    losses: Losses | None = None,
+    gathered: bool = False,
 ) -> DataFrame:
     """Sales of the chosen invoices.
 
@@ -153,10 +164,11 @@ def fact_sales_of(
     """
     chosen, ranges = key_ranges(invoice)
     lines = lines_within(read, ranges)
-    few = chosen <= MAX_BROADCAST_ROWS
+    few = chosen <= MAX_BROADCAST_INVOICES
     # A line in the range without a chosen invoice may belong to another day's, so it is no loss.
     own = None if losses is None else replace(losses, orphans=False)
-    return fact_sales(invoice, lines, read("customer"), strict=strict, few_invoices=few, losses=own)
+    how = {"strict": strict, "few_invoices": few, "losses": own, "gathered": gathered}
+    return fact_sales(invoice, lines, read("customer"), **how)
 
 
 def fact_sales(
@@ -167,6 +179,7 @@ def fact_sales(
     strict: bool = True,
     few_invoices: bool = False,
     losses: Losses | None = None,
+    gathered: bool = False,
 ) -> DataFrame:
     """One row per invoice line; lines without an invoice drop, unknown customers stay.
 
@@ -175,6 +188,7 @@ def fact_sales(
     that adaptive execution splits what it finds too large. ``few_invoices`` tells that the invoices
     were counted to be few enough for a broadcast. ``strict`` decides whether an amount beyond
     ``decimal(10,2)`` raises or becomes null. ``losses`` counts in the same pass what no report will show.
+    ``gathered`` brings the sales of a day together for the writer, before the columns that follow from others are added.
     """
     reps = customer.select("customer_id", "support_rep_id")
     headers = salted_join(
@@ -195,6 +209,8 @@ def fact_sales(
         joined = losses.observe(joined, strict)
     if counts:
         joined = joined.filter("__met").drop("__met")
+    if gathered:
+        joined = gather_partitions(joined, ["invoice_day"])
     sales = joined.select(
         F.col("customer_id").alias("CustomerKey"),
         F.col("track_id").alias("TrackKey"),

@@ -19,7 +19,7 @@ from salesmart.plans.facts import Losses, fact_sales_between, fact_sales_of, inv
 from salesmart.plans.history import customer_history, employee_reports
 from salesmart.schemas import DATE_PARTITIONS, KEPT, SNAPSHOT_PARTITIONS, TABLES
 from salesmart.sinks.manifest import PartitionLog, Scope, State, day_of
-from salesmart.sinks.parquet import gather_partitions
+from salesmart.sinks.parquet import partitions_for
 from salesmart.sinks.versions import write_version
 from salesmart.sources.tables import ReadTable
 
@@ -80,8 +80,9 @@ def refresh_facts(
     calendar = PartitionLog(spark, f"{base}/dim_date", DATE_PARTITIONS).state().holder
     days = runs_of_days(day_of(p) for p in calendar) if calendar else None
     losses = Losses(Observation(), days)
-    sales = gather_partitions(fact_sales_between(read, since, until, strict=strict, losses=losses), DATE_PARTITIONS)
-    log.publish(before, Scope(first, last), log.write(sales))
+    with partitions_for(read("invoice_line")):
+        load = log.write(fact_sales_between(read, since, until, strict=strict, losses=losses, gathered=True))
+    log.publish(before, Scope(first, last), load)
     return losses.counted()
 
 
@@ -117,8 +118,8 @@ def refresh_changed_facts(
         return []
     days = [day_of(p) for p in changed]
     chosen = invoices_on(read("invoice"), [d for d in days if d is not None], undated=None in days)
-    sales = gather_partitions(fact_sales_of(read, chosen, strict=strict), DATE_PARTITIONS)
-    log.publish(before, Scope(parts=frozenset(changed)), log.write(sales), fresh)
+    load = log.write(fact_sales_of(read, chosen, strict=strict, gathered=True))
+    log.publish(before, Scope(parts=frozenset(changed)), load, fresh)
     return sorted(changed)
 
 
