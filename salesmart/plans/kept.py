@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from salesmart.schemas import DATE_PARTITIONS, SUMS_PARTITIONS, TABLES, TRACK_DAY_SUMS, conform
 from salesmart.sinks.manifest import PartitionLog, Scope
-from salesmart.sinks.parquet import gather_partitions
+from salesmart.sinks.parquet import gather_partitions, partitions_for
+
+#: Most bytes gathered in one task: nearly every sale may be a sum of its own, and takes eight times as much in memory.
+SUMMED_BYTES = 16 << 20
 
 
 def track_day_sums(sales: DataFrame) -> DataFrame:
@@ -45,6 +48,9 @@ def refresh_sums(spark: SparkSession, base: str) -> list[str]:
     if not stale and not gone:
         return []
     sales = facts.read(TABLES["fact_sales"].schema, source, lambda p: _month(p) in stale)
-    load = sums.write(gather_partitions(track_day_sums(sales), SUMS_PARTITIONS)) if stale else None
+    load = None
+    if stale:
+        with partitions_for(sales, SUMMED_BYTES):
+            load = sums.write(gather_partitions(track_day_sums(sales), SUMS_PARTITIONS))
     sums.publish(before, Scope(parts=frozenset(stale | gone)), load, {m: notes[m] for m in stale})
     return sorted(stale | gone)

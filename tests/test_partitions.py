@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from salesmart.plans.kept import refresh_sums
 from salesmart.plans.refresh import refresh_facts
 from salesmart.sinks import parquet
 from salesmart.sinks.parquet import partitions_for
@@ -50,6 +51,16 @@ def test_days_of_a_load_have_few_files(spark, large):
     assert len(counts) == DAYS and sum(counts) <= 2 * DAYS
 
 
+def test_months_of_sums_have_few_files(spark, large):
+    read, base = large
+    refresh_facts(read, base)
+    assert len(refresh_sums(spark, base)) == DAYS
+    sums = curated_tables(spark, base)("track_day_sums")
+    assert sums.agg(F.count("*"), F.countDistinct("TrackKey"), F.sum("units")).first()[:] == (100_000,) * 3
+    counts = files_of_parts(sums, "partition_year", "partition_month")
+    assert len(counts) == DAYS and sum(counts) <= 2 * DAYS
+
+
 def test_settings_are_put_back_and_never_coarser(spark, conf):
     sizes = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     conf(spark__sql__shuffle__partitions="5000", spark__sql__adaptive__advisoryPartitionSizeInBytes="3KB")
