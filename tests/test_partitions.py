@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from salesmart.plans.kept import refresh_sums
-from salesmart.plans.refresh import refresh_facts
+from salesmart.plans.refresh import refresh_changed_facts, refresh_facts
 from salesmart.sinks import parquet
 from salesmart.sinks.parquet import partitions_for
 from salesmart.sources.tables import curated_tables, parquet_tables
@@ -61,6 +61,15 @@ def test_months_of_sums_have_few_files(spark, large):
     assert len(counts) == DAYS and sum(counts) <= 2 * DAYS
 
 
+def test_changed_days_have_few_files(spark, large):
+    read, base = large
+    assert len(refresh_changed_facts(read, base)) == DAYS
+    sales = curated_tables(spark, base)("fact_sales")
+    assert sales.agg(F.count("*"), F.countDistinct("TrackKey")).first()[:] == (100_000, 100_000)
+    counts = files_of_parts(sales, "InvoiceDateKey")
+    assert len(counts) == DAYS and sum(counts) <= 2 * DAYS
+
+
 def test_settings_are_put_back_and_never_coarser(spark, conf):
     sizes = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
     conf(spark__sql__shuffle__partitions="5000", spark__sql__adaptive__advisoryPartitionSizeInBytes="3KB")
