@@ -104,6 +104,26 @@ def test_copies_in_several_chunks_lose_all_their_bytes(spark):
         assert [(s.start, s.end) for s in row.removed] == expected
 
 
+def test_query_tells_which_documents_repeat_a_passage(spark, tmp_path):
+    """Over several chunks; passages of over 50 words that are shorter than 400 bytes stay."""
+    rng = random.Random(6)
+
+    def words(n):
+        return " ".join(f"{rng.getrandbits(20):05x}" for _ in range(n))
+
+    passages = {0: words(70), 5: words(60)}
+    assert len(passages[0]) > 400 > len(passages[5]) + 40
+    rows = [(i, " ".join([words(150), passages.get(i % 10, words(10)), words(150)])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    assert exchange.layout(frame, "text", 0.1, exchange.ROW_BYTES).chunks > 1
+    found = QUERIES["op6_suffix_dedup"](spark, str(tmp_path)).collect()
+    assert len(found) == 3000
+    for row in found:
+        assert row.repeated == (row.doc_id % 10 == 0)
+        assert row.n_removed >= len(passages[0]) if row.repeated else row.n_removed == 0
+
+
 def test_query_equals_brute_force(spark, texts):
     rows = {r.doc_id: r for r in QUERIES["op6_suffix_dedup"](spark, SF_DIR).collect()}
     assert len(rows) == len(texts)
